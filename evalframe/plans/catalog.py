@@ -491,3 +491,100 @@ def latest_metric(spark, sf_dir):
 
 
 QUERIES["extract_code"] = QUERIES.pop("extract_code_q")
+
+
+# ---------------------------------------------------------------- A: sources and sinks
+@query
+def detailed_flatten(spark, sf_dir):
+    """Detailed-results documents (one per task, a list per prompt type) flattened back to rows."""
+    from evalframe.sources.files import flatten_detailed
+    g = Fixture(spark, sf_dir).view("v_generations")
+    item = F.struct(F.col("task_id"), F.col("sample_idx"), F.col("passed"), F.col("error_type"))
+    docs = g.groupBy("task_id").agg(F.to_json(F.struct(
+        F.collect_list(F.when(F.col("candidate_id") == 0, item)).alias("seed_results"),
+        F.collect_list(F.when(F.col("candidate_id") == 1, item)).alias("optimized_results"))).alias("doc"))
+    t = "struct<task_id:bigint,sample_idx:bigint,passed:boolean,error_type:string>"
+    return flatten_detailed(docs, "doc", t).select("prompt_type", "task_id", "sample_idx", "passed", "error_type")
+
+
+@query
+def split_roundtrip(spark, sf_dir):
+    """Code tasks written as a split CSV (multi-line quoted texts) and read back."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import code_split_rows, read_split, write_split
+    path = scratch_path(spark, "split")
+    write_split(code_split_rows(Fixture(spark, sf_dir).view("v_code_tasks")), path, mode="overwrite")
+    r = read_split(spark, path)
+    return r.select("task_id", "entry_point", "input", "answer", "test",
+                    F.col("additional_context")["test"].alias("ctx_test"))
+
+
+@query
+def fewshot_roundtrip(spark, sf_dir):
+    """Validated few-shots written to a few-shot CSV and read back (items or raw text)."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import read_fewshot, write_fewshot
+    fx = Fixture(spark, sf_dir)
+    p = shaping.parse_fewshot(fx.view("v_fewshot"))
+    rows = p.select("id", "input", F.lit(None).cast("string").alias("answer"),
+                    F.when(F.col("id") % 5 == 0, F.lit("not json"))
+                     .otherwise(F.to_json(F.create_map(F.lit("id"), F.col("id").cast("string")))).alias("additional_context"),
+                    F.col("stored").alias("few_shot"))
+    path = scratch_path(spark, "fewshot")
+    write_fewshot(rows, path)
+    r = read_fewshot(spark, path)
+    return r.select("id", F.size("items").alias("n_items"), F.col("few_shot_raw").isNotNull().alias("is_raw"),
+                    F.array_join(F.transform("items", lambda x: x["label"]), ",").alias("labels"),
+                    F.col("context")["id"].alias("ctx_id"))
+
+
+@query
+def synthetic_claims(spark, sf_dir):
+    """One synthetic claim per document id (md5-seeded words and labels)."""
+    from evalframe.sources.files import synthetic_claims as synth
+    docs = Fixture(spark, sf_dir).table("documents")
+    return synth(docs.select(F.col("doc_id").alias("id")), "id", seed=0)
+
+
+# ---------------------------------------------------------------- E6: prediction through a user function
+def stub_model(batch):
+    """Deterministic stand-in for a model: the fixture reply for (claim, candidate)."""
+    from evalframe.plans.views import FIXTURE_REPLIES
+    idx = (batch["claim_id"] * 7 + batch["candidate_id"] * 5) % 14
+    return [FIXTURE_REPLIES[int(i)] for i in idx]
+
+
+@query
+def predict_stub(spark, sf_dir):
+    from evalframe.operators.inference import predict
+    fx = Fixture(spark, sf_dir)
+    grid = joins.evaluation_grid(claims(fx).select("claim_id", "input"), fx.view("v_candidates"))
+    req = shaping.build_requests(grid, style="claims", items="items", system_prompt="prompt_type")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = predict(req, stub_model, keys=["claim_id", "candidate_id"], inputs=["messages"], parallelism=parts)
+    return out.withColumn("predicted_label", parse_verdict(F.col("response")))
+
+
+# ---------------------------------------------------------------- H6 / H7: streaming
+@query
+def stream_accuracy(spark, sf_dir):
+    """Accuracy per candidate computed by a stream over the documents file (complete mode)."""
+    from evalframe.plans.views import responses_for
+    from evalframe.streaming.live import live_accuracy, parquet_stream, run_complete
+    fx = Fixture(spark, sf_dir)
+    docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
+    resp = responses_for(docs.select(F.col("doc_id").alias("claim_id")), fx.view("v_candidates"))
+    return run_complete(live_accuracy(resp, claims(fx).select("claim_id", "answer")), "stream_accuracy")
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """Event counts and tokens per run in tumbling (1 h), sliding (2 h / 1 h) and session (30 min) windows."""
+    from evalframe.streaming.live import parquet_stream, run_complete, token_windows
+    static = Fixture(spark, sf_dir)
+    ev = parquet_stream(spark, sf_dir, "events", static.table("events").schema)
+    log = Fixture(spark, sf_dir, overrides={"events": ev}).view("v_event_log")
+    parts = [run_complete(token_windows(log, "tumbling", size="1 hour"), "win_tumbling"),
+             run_complete(token_windows(log, "sliding", size="2 hours", slide="1 hour"), "win_sliding"),
+             run_complete(token_windows(log, "session", gap="30 minutes"), "win_session")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

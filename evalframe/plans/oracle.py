@@ -422,3 +422,52 @@ SELECT name, max(step) AS latest_step, arg_max(value, (step, ts, event_id)) AS l
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in ORACLE_BODY.items()}
+
+# ---------------------------------------------------------------- A
+ORACLE_BODY["detailed_flatten"] = """
+SELECT CASE candidate_id WHEN 0 THEN 'seed_results' ELSE 'optimized_results' END AS prompt_type, task_id, sample_idx, passed, error_type
+FROM v_generations"""
+ORACLE_BODY["split_roundtrip"] = """
+SELECT CAST(task_id AS VARCHAR) AS task_id, coalesce(entry_point, '') AS entry_point, coalesce(prompt, '') AS input, '' AS answer,
+       coalesce(test, '') AS test, coalesce(test, '') AS ctx_test FROM v_code_tasks"""
+ORACLE_BODY["fewshot_roundtrip"] = f"""WITH src AS (SELECT * FROM v_fewshot), v AS ({_fewshot_valid('reply')})
+SELECT id, CASE WHEN valid THEN CAST(json_array_length(j) AS INTEGER) END AS n_items, NOT valid AS is_raw,
+       CASE WHEN valid THEN array_to_string(list_transform(json_extract(j, '$[*]'),
+            lambda x: upper({S.strip("json_extract_string(x, '$.label')")})), ',') END AS labels,
+       CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id AS VARCHAR) END AS ctx_id
+FROM v"""
+
+
+def _pick_sql(key: str, salt: str, n: int) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '0', CAST({key} AS VARCHAR), {salt})), 1, 8) AS BIGINT) % {n})"
+
+
+def _sentence_sql(tag: str, lo: int, hi: int) -> str:
+    from evalframe.functions.constants import SYNTHETIC_WORDS
+    words = "[" + ", ".join(S.lit(w) for w in SYNTHETIC_WORDS) + "]"
+    n = f"({_pick_sql('doc_id', S.lit(tag + '_n'), hi - lo + 1)} + {lo})"
+    body = (f"array_to_string(list_transform(generate_series(1, {n}), lambda i: {words}[{_pick_sql('doc_id', f'{S.lit(tag + chr(95))} || CAST(i AS VARCHAR)', len(SYNTHETIC_WORDS))} + 1]), ' ')")
+    return f"(upper(substr({body}, 1, 1)) || substr({body}, 2) || '.')"
+
+
+ORACLE_BODY["synthetic_claims"] = f"""
+SELECT doc_id AS id, 'Claim: ' || {_sentence_sql('claim', 6, 14)} || chr(10) || 'Context: ' || {_sentence_sql('context', 20, 40)} AS input,
+       ['SUPPORTED', 'NOT_SUPPORTED'][{_pick_sql('doc_id', "'label'", 2)} + 1] AS answer
+FROM documents"""
+
+# ---------------------------------------------------------------- E6, H6, H7
+ORACLE_BODY["predict_stub"] = f"SELECT claim_id, candidate_id, response, false AS failed, {S.verdict('response')} AS predicted_label FROM v_responses"
+ORACLE_BODY["stream_accuracy"] = ORACLE_BODY["accuracy"]
+ORACLE_BODY["stream_windows"] = """
+WITH e AS (SELECT run_name, epoch_us(ts) AS us, total_tokens FROM v_event_log),
+t AS (SELECT 'tumbling' AS kind, run_name, (us // 3600000000) * 3600000000 AS window_start_us,
+             (us // 3600000000) * 3600000000 + 3600000000 AS window_end_us, count(*) AS n_events, CAST(sum(total_tokens) AS BIGINT) AS tokens
+      FROM e GROUP BY ALL),
+s AS (SELECT 'sliding' AS kind, run_name, (us // 3600000000 - o) * 3600000000 AS window_start_us,
+             (us // 3600000000 - o) * 3600000000 + 7200000000 AS window_end_us, count(*) AS n_events, CAST(sum(total_tokens) AS BIGINT) AS tokens
+      FROM e CROSS JOIN (VALUES (0), (1)) k(o) GROUP BY ALL),
+q AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run_name ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS new FROM e),
+q2 AS (SELECT *, sum(new) OVER (PARTITION BY run_name ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM q),
+se AS (SELECT 'session' AS kind, run_name, min(us) AS window_start_us, max(us) + 1800000000 AS window_end_us, count(*) AS n_events,
+              CAST(sum(total_tokens) AS BIGINT) AS tokens FROM q2 GROUP BY run_name, sid)
+SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT kind, run_name, window_start_us, window_end_us, n_events, tokens FROM se"""

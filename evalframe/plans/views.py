@@ -142,10 +142,11 @@ def with_views(body: str) -> str:
 class Fixture:
     """Driver tables of one scale-factor folder plus the derived views, as Spark DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, overrides: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
+        # overrides replace base tables (e.g. a stream over the same file)
+        self._cache: dict[str, DataFrame] = dict(overrides or {})
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -180,15 +181,22 @@ class Fixture:
         return df
 
     def _responses(self) -> DataFrame:
-        # v_responses in Spark: the evaluation grid (no cross join) plus the reply table.
-        from pyspark.sql import functions as F
+        return responses_for(self.view("v_claims").select("claim_id"), self.view("v_candidates"))
 
-        from evalframe.operators.joins import evaluation_grid
 
-        grid = evaluation_grid(self.view("v_claims").select("claim_id"), self.view("v_candidates"))
-        replies = ["SUPPORTED", "NOT_SUPPORTED", "not supported", "Not-Supported.", "The claim is SUPPORTED",
+# Replies of the fixture response table, picked by (claim_id * 7 + candidate_id * 5) % 14.
+FIXTURE_REPLIES = ("SUPPORTED", "NOT_SUPPORTED", "not supported", "Not-Supported.", "The claim is SUPPORTED",
                    "REFUTES", "entailment", "contradicted", "unsure", "", "supports", "UNSUPPORTED",
-                   "NOT  SUPPORTED", "not entailed"]
-        idx = (F.col("claim_id") * 7 + F.col("candidate_id") * 5) % 14
-        return grid.select("claim_id", "candidate_id",
-                           F.element_at(F.array(*[F.lit(r) for r in replies]), (idx + 1).cast("int")).alias("response"))
+                   "NOT  SUPPORTED", "not entailed")
+
+
+def responses_for(claim_ids: DataFrame, candidates: DataFrame) -> DataFrame:
+    """v_responses in Spark: the evaluation grid (no cross join) plus the reply table; works on streams too."""
+    from pyspark.sql import functions as F
+
+    from evalframe.operators.joins import evaluation_grid
+
+    grid = evaluation_grid(claim_ids, candidates)
+    idx = (F.col("claim_id") * 7 + F.col("candidate_id") * 5) % 14
+    return grid.select("claim_id", "candidate_id",
+                       F.element_at(F.array(*[F.lit(r) for r in FIXTURE_REPLIES]), (idx + 1).cast("int")).alias("response"))
