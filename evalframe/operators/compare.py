@@ -14,13 +14,19 @@ def compare(metrics: DataFrame, baseline: str = "1", zero_baseline: float | None
 
     ``delta_absolute``, ``delta_percent`` (``zero_baseline`` when the baseline
     accuracy is 0: None for the comparison file, 0.0 for reports) and
-    ``additional_correct``. The baseline rows are one per run; the join is on run.
+    ``additional_correct``. ``metrics`` is an aggregate (one row per run and
+    variant); the baseline values come from a window over each run's rows, so
+    the upstream plan runs once (no self-join).
     """
     m = metrics.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0)))
-    b = m.filter(F.col(variant) == baseline).select(run, F.col("accuracy").alias("baseline_accuracy"),
-                                                      F.col("correct").alias("baseline_correct"),
-                                                      F.col("total").alias("baseline_total"))
-    j = m.join(b, run, "left")
+    w = Window.partitionBy(run)
+    is_base = F.col(variant) == baseline
+    base = F.max(F.when(is_base, F.struct(F.col("accuracy").alias("a"), F.col("correct").alias("c"),
+                                          F.col("total").alias("t")))).over(w)
+    j = (m.withColumn("_ef_b", base)
+          .withColumn("baseline_accuracy", F.col("_ef_b.a"))
+          .withColumn("baseline_correct", F.col("_ef_b.c"))
+          .withColumn("baseline_total", F.col("_ef_b.t")).drop("_ef_b"))
     d = F.col("accuracy") - F.col("baseline_accuracy")
     return (j.withColumn("delta_absolute", d)
              .withColumn("delta_percent", F.when(F.col("baseline_accuracy") != 0, d / F.col("baseline_accuracy") * 100)
