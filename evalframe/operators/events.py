@@ -49,11 +49,17 @@ def batch_audit(events: DataFrame, run: str = "run_name", ts: str = "ts", tie: s
     e = running_count(events, run, ts, tie, flag=F.col("event_type") == "batch_start", name="batch_seq")
     is_start = F.col("event_type") == "batch_start"
     is_done = F.col("event_type") == "batch_complete"
+    extra = []
+    # logs read with ``read_events`` also carry the declared and processed counts
+    if "num_failures" in events.columns:
+        extra.append(F.max(F.when(is_start, F.col("num_failures"))).alias("declared"))
+    if "num_processed" in events.columns:
+        extra.append(F.max(F.when(is_done, F.col("num_processed"))).alias("processed"))
     b = e.groupBy(run, "batch_seq").agg(
         F.min(F.when(is_start, F.col(ts))).alias("_start"),
         F.min(F.when(is_done, F.col(ts))).alias("_done"),
         F.count_if(F.col("event_type") == "reflector_invocation").alias("n_invocations"),
-        F.count_if(is_done).alias("n_completes"))
+        F.count_if(is_done).alias("n_completes"), *extra)
     return (b.withColumn("complete", F.col("n_completes") > 0)
              .withColumn("duration_us", micros_between("_start", "_done"))
              .drop("_start", "_done"))

@@ -115,3 +115,21 @@ def test_synthetic_claims_shape(spark):
         assert claim[0].isupper() and claim.endswith(".")
         assert 6 <= len(claim[:-1].split(" ")) <= 14
         assert r.answer in ("SUPPORTED", "NOT_SUPPORTED")
+
+
+def test_batch_audit_on_read_log(spark, tmp):
+    from evalframe.operators.events import batch_audit, token_rollup
+    ev = spark.createDataFrame([
+        ("2026-04-07T22:49:08", "batch_start", ("run", 2, None, None, None, None, None, None, None, None)),
+        ("2026-04-07T22:49:12", "reflector_invocation", ("run", None, None, "29", "f", "MissingFunction", "m", "o", "g", (1, 2, 3))),
+        ("2026-04-07T22:49:16", "reflector_invocation", ("run", None, None, "15", "g", "SyntaxError", "m", "o", "g", (1, 3, 4))),
+        ("2026-04-07T22:49:28", "batch_complete", ("run", None, 2, None, None, None, None, None, None, None))],
+        files.EVENT_SCHEMA)
+    p = os.path.join(tmp, "ev")
+    files.append_events(ev, p)
+    log = files.read_events(spark, p).withColumn("event_id", F.monotonically_increasing_id()) \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    a = batch_audit(log).filter("batch_seq = 1").collect()[0]
+    assert (a.declared, a.processed, a.n_invocations, a.complete, a.duration_us) == (2, 2, 2, True, 20_000_000)
+    t = {(r.run_name, r.error_type, r.level): r.sum_tokens for r in token_rollup(log).collect()}
+    assert t[(None, None, 3)] == 7
