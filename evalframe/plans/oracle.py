@@ -420,8 +420,27 @@ ORACLE_BODY["latest_metric"] = """
 SELECT name, max(step) AS latest_step, arg_max(value, (step, ts, event_id)) AS latest_value, count(*) AS n_points FROM v_metrics GROUP BY name"""
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's returns BIGINT. Wrap each call in a cast."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(tok) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(count_if(" + _bigint_counts(sql[j + len(tok):k]) + ") AS BIGINT)")
+        i = k + 1
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: with_views(v) for k, v in ORACLE_BODY.items()}
+    return {k: _bigint_counts(with_views(v)) for k, v in ORACLE_BODY.items()}
 
 # ---------------------------------------------------------------- A
 ORACLE_BODY["detailed_flatten"] = """
