@@ -24,15 +24,16 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row in the order ``order_cols``.
+def number_rows(df: DataFrame, order_cols: list, name: str = "rn",
+                num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``name`` = 1-based position of each row in the order ``order_cols``; also return the row count.
 
     ``order_cols`` must form a unique key (append a tie-breaker); then the
-    numbering is deterministic, also when a lost shuffle is recomputed.
+    numbering is deterministic, also when a task is rerun.
     """
+    spark = df.sparkSession
     cols = [col_of(c) for c in order_cols]
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(spark)
     # Materialised once (reliable checkpoint in the shared folder): the counts
     # and the numbering below read the same partitions. Two live branches would
     # each plan their own range exchange and sample different bounds.
@@ -41,15 +42,23 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
                 .withColumn("_ef_pid", F.spark_partition_id())
                 .withColumn("_ef_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
-    stats = ranged.groupBy("_ef_pid").agg(F.count(F.lit(1)).alias("_ef_n"),
-                                          F.min("_ef_mid").alias("_ef_mid0"))
-    before = Window.orderBy("_ef_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a proven bound, so it is broadcast
-    stats = stats.select("_ef_pid", "_ef_mid0",
-                         F.coalesce(F.sum("_ef_n").over(before), F.lit(0)).alias("_ef_off"))
-    out = ranged.join(F.broadcast(stats), "_ef_pid")
-    return (out.withColumn(name, (F.col("_ef_off") + F.col("_ef_mid") - F.col("_ef_mid0") + 1).cast("long"))
-               .drop("_ef_pid", "_ef_mid", "_ef_mid0", "_ef_off"))
+    # one row per partition: bounded metadata
+    stats = sorted(ranged.groupBy("_ef_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_ef_mid").alias("m0")).collect())
+    offsets, total = [], 0
+    for r in stats:
+        offsets.append((r["_ef_pid"], r["m0"], total))
+        total += r["n"]
+    off = spark.createDataFrame(offsets, "_ef_pid int, _ef_mid0 long, _ef_off long")
+    out = ranged.join(F.broadcast(off), "_ef_pid")
+    out = (out.withColumn(name, (F.col("_ef_off") + F.col("_ef_mid") - F.col("_ef_mid0") + 1).cast("long"))
+              .drop("_ef_pid", "_ef_mid", "_ef_mid0", "_ef_off"))
+    return out, total
+
+
+def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
+                      num_partitions: int | None = None) -> DataFrame:
+    """``number_rows`` without the count."""
+    return number_rows(df, order_cols, name, num_partitions)[0]
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.operators.ordering import global_row_number
+from evalframe.operators.ordering import global_row_number, number_rows
 
 SMALL_SAMPLE = 100_000
 
@@ -22,18 +22,21 @@ def shuffle_key(id_col, seed) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit("|"), c.cast("string")))
 
 
+def shuffled_with_total(df: DataFrame, id_col: str, seed, name: str = "rank") -> tuple[DataFrame, int]:
+    r, n = number_rows(df.withColumn("_ef_key", shuffle_key(id_col, seed)), ["_ef_key", id_col], name=name)
+    return r.drop("_ef_key"), n
+
+
 def shuffled(df: DataFrame, id_col: str, seed, name: str = "rank") -> DataFrame:
     """Add the 1-based position in the seeded shuffle."""
-    return global_row_number(df.withColumn("_ef_key", shuffle_key(id_col, seed)),
-                             ["_ef_key", id_col], name=name).drop("_ef_key")
+    return shuffled_with_total(df, id_col, seed, name)[0]
 
 
 def split_fraction(df: DataFrame, id_col: str, fraction: float = 0.8, seed=42,
                    names: tuple[str, str] = ("train", "val")) -> DataFrame:
     """Seeded shuffle, first ``int(n * fraction)`` rows are ``names[0]``, the rest ``names[1]``."""
-    n = df.count()
+    r, n = shuffled_with_total(df, id_col, seed)
     cut = int(n * fraction)
-    r = shuffled(df, id_col, seed)
     return r.withColumn("split", F.when(F.col("rank") <= cut, F.lit(names[0])).otherwise(F.lit(names[1])))
 
 
@@ -70,9 +73,9 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed=42) -> DataFrame:
 
 def head_pct(df: DataFrame, order_col: str, pct: float) -> DataFrame:
     """First ``max(1, int(n * pct / 100))`` rows in ``order_col`` order (a unique key)."""
-    n = df.count()
+    r, n = number_rows(df, [order_col], name="position")
     k = max(1, int(n * pct / 100))
-    return global_row_number(df, [order_col], name="position").filter(F.col("position") <= k)
+    return r.filter(F.col("position") <= k)
 
 
 def holdout(all_rows: DataFrame, train: DataFrame, key: str = "input") -> DataFrame:
