@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.functions.code import extract_code, missing_function, status_of
+from evalframe.functions.code import extract_code, status_of
 from evalframe.functions.verdicts import normalize_gold, parse_verdict
 from evalframe.operators import (candidates, compare, events, feedback,
                                  joins, metrics, shaping, splits)
@@ -245,18 +245,10 @@ def extract_code_q(spark, sf_dir):
 
 
 def classified(fx: Fixture) -> DataFrame:
+    from evalframe.operators.scoring import classify_generations as classify
     gens = fx.view("v_code_replies").select("reply_id", "entry_point", extract_code(F.col("reply")).alias("code"))
-    tasks = fx.view("v_code_tasks").select("entry_point", "test")
-    res = fx.view("v_exec_results").select("reply_id", F.col("passed").alias("_rp"),
-                                           F.col("error_type").alias("_re"), F.lit(True).alias("_has"))
-    j = gens.join(tasks, "entry_point", "left").join(res, "reply_id", "left")
-    no_test = F.coalesce(F.col("test"), F.lit("")) == ""
-    missing = missing_function(F.col("code"), F.col("entry_point"))
-    err = (F.when(no_test, F.lit("NoTestCode")).when(missing, F.lit("MissingFunction"))
-            .when(F.col("_has").isNull(), F.lit("UnknownError")).otherwise(F.col("_re")))
-    passed = F.when(no_test | missing | F.col("_has").isNull(), F.lit(False)).otherwise(F.col("_rp"))
-    out = j.select("reply_id", "entry_point", passed.alias("passed"), err.alias("error_type"))
-    return exec_status(out)
+    out = classify(gens, fx.view("v_code_tasks"), fx.view("v_exec_results"))
+    return out.select("reply_id", "entry_point", "passed", "error_type", "status")
 
 
 @query
