@@ -23,14 +23,20 @@ def event_time(ts) -> Column:
 
 
 def live_accuracy(responses: DataFrame, examples: DataFrame, keys=("claim_id", "candidate_id"),
-                  by: str = "candidate_id", key: str = "claim_id") -> DataFrame:
+                  by: str = "candidate_id", key: str = "claim_id", event_time_col: str | None = None,
+                  delay: str = "1 hour") -> DataFrame:
     """Accuracy totals that refresh as outputs land; each (example, candidate) counts once.
 
     ``responses`` is a stream (claim_id, candidate_id, response); ``examples`` a
-    static (claim_id, answer) table joined stream-static. Deduplication state is
-    one key per output.
+    static (claim_id, answer) table joined stream-static. Without an event-time
+    column the deduplication state holds one key per output; with one, duplicates
+    are dropped within the watermark (``delay``) and older keys leave the state.
     """
-    r = responses.dropDuplicates(list(keys)).withColumn("predicted_label", parse_verdict(F.col("response")))
+    if event_time_col:
+        r = responses.withWatermark(event_time_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    else:
+        r = responses.dropDuplicates(list(keys))
+    r = r.withColumn("predicted_label", parse_verdict(F.col("response")))
     j = r.join(examples.select(key, "answer"), key, "left")
     ok = label_match(F.col("predicted_label"), F.col("answer"))
     return j.groupBy(by).agg(F.count_if(ok).alias("correct"), F.count(F.lit(1)).alias("total")) \
@@ -66,18 +72,37 @@ def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) ->
     Every micro-batch replaces the result folder (the complete result); the
     last one is read back.
     """
+    return run_stream(stream, name, "complete", checkpoint)
+
+
+def run_stream(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Drive a stream to the end of the available input and read its output back.
+
+    ``complete``: each micro-batch replaces the output. ``append``: each
+    micro-batch adds the rows finalised by the watermark (windowed state is then
+    evicted, so state stays bounded on an endless stream); a replayed batch
+    overwrites its own ``batch_id`` folder.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     checkpoint = checkpoint or scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if mode != "complete":
+        import os
+        if not os.path.exists(out) and "://" not in out:
+            return spark.createDataFrame([], stream.schema)
+        return spark.read.parquet(out).drop("batch_id")
     return spark.read.parquet(out)
 
 
