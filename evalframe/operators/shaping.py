@@ -120,6 +120,8 @@ def render_fewshot(items, raw, style: str, drop_errors: bool = True) -> Column:
         raise ValueError(f"unknown style {style!r}")
     has_items = F.coalesce(F.size(items), F.lit(0)) > 0
     raw = col_of(raw) if raw is not None else F.lit(None).cast("string")
+    # a stored {"raw": "..."} wrapper renders its text
+    raw = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.raw", "string"), raw)
     use_raw = F.coalesce(raw, F.lit("")) != ""
     if drop_errors:
         use_raw = use_raw & ~raw.startswith("ERROR:")
