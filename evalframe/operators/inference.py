@@ -57,7 +57,10 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
     """Call ``fn`` on batches of rows and return (keys..., output, failed).
 
     ``fn(batch: pandas.DataFrame) -> Sequence[str]``; with ``factory=True``,
-    ``fn()`` builds that callable once per task (e.g. a model client). A batch
+    ``fn()`` builds that callable once per task (e.g. a model client). Prefer
+    flat string inputs (``system_content``, ``user_content``) over the nested
+    ``messages`` array: nested values cost a Python object per element on the
+    way into pandas; build the chat messages inside ``fn``. A batch
     call that raises is retried row by row; a row that still raises gets ``''``
     and ``failed = true``. Output rows keep their keys, so order never matters.
     """
@@ -70,30 +73,36 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(output, T.StringType()),
                                                            T.StructField("failed", T.BooleanType())])
 
+    def one_group(call, part):
+        try:
+            outs = [("" if o is None else str(o)) for o in call(part)]
+            if len(outs) != len(part):
+                raise ValueError("prediction function returned a different number of rows")
+            return outs, [False] * len(outs)
+        except Exception:
+            outs, failed = [], []
+            for i in range(len(part)):
+                try:
+                    o = call(part.iloc[i:i + 1].reset_index(drop=True))[0]
+                    outs.append("" if o is None else str(o))
+                    failed.append(False)
+                except Exception:
+                    outs.append("")
+                    failed.append(True)
+            return outs, failed
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = fn() if factory else fn
         for pdf in it:
+            outs, failed = [], []
             for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
-                try:
-                    outs = [("" if o is None else str(o)) for o in call(part)]
-                    failed = [False] * len(outs)
-                    if len(outs) != len(part):
-                        raise ValueError("prediction function returned a different number of rows")
-                except Exception:
-                    outs, failed = [], []
-                    for i in range(len(part)):
-                        try:
-                            o = call(part.iloc[i:i + 1].reset_index(drop=True))[0]
-                            outs.append("" if o is None else str(o))
-                            failed.append(False)
-                        except Exception:
-                            outs.append("")
-                            failed.append(True)
-                res = part[keys].copy()
-                res[output] = outs
-                res["failed"] = failed
-                yield res
+                o, f = one_group(call, pdf.iloc[start:start + batch_size].reset_index(drop=True))
+                outs.extend(o)
+                failed.extend(f)
+            res = pdf[keys].reset_index(drop=True)
+            res[output] = outs
+            res["failed"] = failed
+            yield res
 
     return src.mapInPandas(run, schema)
 

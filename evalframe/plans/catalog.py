@@ -553,7 +553,8 @@ def predict_stub(spark, sf_dir):
     grid = joins.evaluation_grid(claims(fx).select("claim_id", "input"), fx.view("v_candidates"))
     req = shaping.build_requests(grid, style="claims", items="items", system_prompt="prompt_type")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = predict(req, stub_model, keys=["claim_id", "candidate_id"], inputs=["messages"], parallelism=parts)
+    out = predict(req, stub_model, keys=["claim_id", "candidate_id"], inputs=["system_content", "user_content"],
+                  parallelism=parts, batch_size=64)
     return out.withColumn("predicted_label", parse_verdict(F.col("response")))
 
 
