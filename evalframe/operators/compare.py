@@ -87,3 +87,34 @@ def leaderboard(compared: DataFrame, baseline: str = "1", run: str = "run_id", v
         F.max(F.when(F.col(variant) == baseline, F.col("accuracy"))).alias("baseline_accuracy"))
     per_run = per_run.withColumn("gain", F.col("best_accuracy") - F.col("baseline_accuracy"))
     return per_run.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("best_accuracy").desc())))
+
+
+def compare_pass_at_k(pk: DataFrame, seed_id: int = 0, other_id: int = 1, ks=(1, 3, 5),
+                      cand: str = "candidate_id") -> DataFrame:
+    """Code comparison document: seed vs other candidate on pass@k (input: ``metrics.pass_at_k``).
+
+    ``relative_improvement_percent`` is 0.0 when the seed's pass@1 is 0 (the code
+    report's rule); pass@k improvements for k > 1 are null unless both sides have
+    them; the verdict and the signed improvement string use exact counts.
+    One row, from a conditional aggregate over the per-candidate table (no join).
+    """
+    def side(c, cid):
+        return F.max(F.when(F.col(cand) == cid, F.col(c)))
+    cols = [side("n_tasks", seed_id).alias("seed_total"), side("n_tasks", other_id).alias("optimized_total")]
+    for k in ks:
+        cols += [side(f"pass_at_{k}", seed_id).alias(f"seed_pass_at_{k}"), side(f"pass_at_{k}", other_id).alias(f"optimized_pass_at_{k}")]
+    cols += [side("solved_at_1", seed_id).alias("seed_passed"), side("solved_at_1", other_id).alias("optimized_passed")]
+    a = pk.agg(*cols)
+    imp = F.col("optimized_pass_at_1") - F.col("seed_pass_at_1")
+    a = (a.withColumn("absolute_improvement", imp)
+          .withColumn("relative_improvement_percent",
+                      F.when(F.col("seed_pass_at_1") > 0, imp / F.col("seed_pass_at_1") * 100).otherwise(F.lit(0.0)))
+          .withColumn("additional_problems_solved", F.col("optimized_passed") - F.col("seed_passed")))
+    for k in ks:
+        if k != 1:
+            a = a.withColumn(f"pass_at_{k}_improvement", F.col(f"optimized_pass_at_{k}") - F.col(f"seed_pass_at_{k}"))
+    lhs = F.col("optimized_passed") * F.col("seed_total")
+    rhs = F.col("seed_passed") * F.col("optimized_total")
+    return (a.withColumn("verdict", F.when(lhs > rhs, F.lit("IMPROVED")).when(lhs < rhs, F.lit("DEGRADED"))
+                         .otherwise(F.lit("NO_CHANGE")))
+             .withColumn("improvement", pct_string(lhs - rhs, F.col("seed_total") * F.col("optimized_total"), signed=True)))

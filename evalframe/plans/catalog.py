@@ -581,3 +581,10 @@ def stream_windows(spark, sf_dir):
              run_complete(token_windows(log, "sliding", size="2 hours", slide="1 hour"), "win_sliding"),
              run_complete(token_windows(log, "session", gap="30 minutes"), "win_session")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def code_comparison(spark, sf_dir):
+    """Seed (candidate 0) vs optimised (candidate 1) on pass@1/3/5 over all generations."""
+    pk = metrics.pass_at_k(Fixture(spark, sf_dir).view("v_generations"), ks=(1, 3, 5))
+    return compare.compare_pass_at_k(pk, 0, 1, (1, 3, 5))

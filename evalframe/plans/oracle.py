@@ -490,3 +490,25 @@ q2 AS (SELECT *, sum(new) OVER (PARTITION BY run_name ORDER BY us ROWS BETWEEN U
 se AS (SELECT 'session' AS kind, run_name, min(us) AS window_start_us, max(us) + 1800000000 AS window_end_us, count(*) AS n_events,
               CAST(sum(total_tokens) AS BIGINT) AS tokens FROM q2 GROUP BY run_name, sid)
 SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT kind, run_name, window_start_us, window_end_us, n_events, tokens FROM se"""
+
+ORACLE_BODY["code_comparison"] = f"""
+WITH t AS (SELECT candidate_id, task_id,
+                  bool_or(coalesce(passed, false) AND sample_idx <= 1) AS s1, bool_or(coalesce(passed, false) AND sample_idx <= 3) AS s3,
+                  bool_or(coalesce(passed, false) AND sample_idx <= 5) AS s5
+           FROM v_generations GROUP BY candidate_id, task_id),
+p AS (SELECT candidate_id, count(*) AS n, count_if(s1) AS c1, count_if(s1) / count(*) AS p1, count_if(s3) / count(*) AS p3,
+             count_if(s5) / count(*) AS p5 FROM t GROUP BY candidate_id),
+a AS (SELECT max(n) FILTER (WHERE candidate_id = 0) AS seed_total, max(n) FILTER (WHERE candidate_id = 1) AS optimized_total,
+             max(p1) FILTER (WHERE candidate_id = 0) AS seed_pass_at_1, max(p1) FILTER (WHERE candidate_id = 1) AS optimized_pass_at_1,
+             max(p3) FILTER (WHERE candidate_id = 0) AS seed_pass_at_3, max(p3) FILTER (WHERE candidate_id = 1) AS optimized_pass_at_3,
+             max(p5) FILTER (WHERE candidate_id = 0) AS seed_pass_at_5, max(p5) FILTER (WHERE candidate_id = 1) AS optimized_pass_at_5,
+             max(c1) FILTER (WHERE candidate_id = 0) AS seed_passed, max(c1) FILTER (WHERE candidate_id = 1) AS optimized_passed FROM p)
+SELECT *, optimized_pass_at_1 - seed_pass_at_1 AS absolute_improvement,
+       CASE WHEN seed_pass_at_1 > 0 THEN (optimized_pass_at_1 - seed_pass_at_1) / seed_pass_at_1 * 100 ELSE CAST(0.0 AS DOUBLE) END
+         AS relative_improvement_percent,
+       optimized_passed - seed_passed AS additional_problems_solved,
+       optimized_pass_at_3 - seed_pass_at_3 AS pass_at_3_improvement, optimized_pass_at_5 - seed_pass_at_5 AS pass_at_5_improvement,
+       CASE WHEN optimized_passed * seed_total > seed_passed * optimized_total THEN 'IMPROVED'
+            WHEN optimized_passed * seed_total < seed_passed * optimized_total THEN 'DEGRADED' ELSE 'NO_CHANGE' END AS verdict,
+       {S.pct_string('(optimized_passed * seed_total - seed_passed * optimized_total)', '(seed_total * optimized_total)', signed=True)} AS improvement
+FROM a"""
