@@ -78,12 +78,12 @@ SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'no structure'
                    'PRIORITY_LEVEL: ', CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END) END AS reflector_output
 FROM events""",
     # ---- views added here (not in the fixture list): execution details -------
-    # execution results per code reply; some replies have no result row
+    # execution results: replies of labelled conversations were executed (quality 1 passed,
+    # toxic ones timed out); replies of other conversations have no result row
     "v_exec_results": """
-SELECT conv_id * 100 + turn AS reply_id,
-       (conv_id + turn) % 4 = 0 AS passed,
-       CASE (conv_id + turn) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'AssertionError' WHEN 2 THEN 'SyntaxError' ELSE 'TimeoutError' END AS error_type
-FROM conversations WHERE role = 'assistant' AND turn % 3 <> 1""",
+SELECT c.conv_id * 100 + c.turn AS reply_id, l.quality = 1 AS passed,
+       CASE WHEN l.quality = 1 THEN NULL WHEN l.toxic = 1 THEN 'TimeoutError' ELSE 'AssertionError' END AS error_type
+FROM conversations c JOIN labels l ON c.conv_id = l.doc_id WHERE c.role = 'assistant'""",
     # execution details per generation: message, traceback, stdout, stderr
     "v_exec_details": """
 SELECT task_id, candidate_id, sample_idx, passed, error_type,
