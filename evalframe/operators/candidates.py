@@ -1,4 +1,8 @@
-"""Candidate analytics: scoreboard, best candidate, per-example frontier, coverage, minibatch gate."""
+"""Candidate analytics: scoreboard, best candidate, per-example frontier, coverage, minibatch gate.
+
+Every function takes ``by``: the columns that identify a run (empty = the table
+is one run). Many runs are then analysed in one pass, grouped by run.
+"""
 
 from __future__ import annotations
 
@@ -6,46 +10,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def candidate_scores(scored: DataFrame, cand: str = "candidate_id", score: str = "score") -> DataFrame:
+def candidate_scores(scored: DataFrame, cand: str = "candidate_id", score: str = "score", by=()) -> DataFrame:
     """Mean score per candidate (sum / count)."""
-    return (scored.groupBy(cand).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("score_sum"))
+    return (scored.groupBy(*by, cand).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("score_sum"))
                   .withColumn("val_score", F.col("score_sum") / F.col("n")))
 
 
-def best_candidate(scores: DataFrame, cand: str = "candidate_id", score: str = "val_score") -> DataFrame:
+def best_candidate(scores: DataFrame, cand: str = "candidate_id", score: str = "val_score", by=()) -> DataFrame:
     """Highest score; ties go to the lowest candidate id."""
-    return scores.agg(F.max_by(F.col(cand), F.struct(F.col(score), -F.col(cand))).alias("best_candidate_id"),
-                      F.max(score).alias("best_score"))
+    return scores.groupBy(*by).agg(F.max_by(F.col(cand), F.struct(F.col(score), -F.col(cand))).alias("best_candidate_id"),
+                                   F.max(score).alias("best_score"))
 
 
 def instance_frontier(scored: DataFrame, key: str = "claim_id", cand: str = "candidate_id",
-                      score: str = "score") -> DataFrame:
+                      score: str = "score", by=()) -> DataFrame:
     """Per example: the best score and the sorted set of candidates reaching it.
 
     One aggregate per example; the per-example list holds at most one entry per
     candidate (the grid's candidate count is checked).
     """
-    agg = scored.groupBy(key).agg(F.max(score).alias("best_score"),
-                                  F.collect_list(F.struct(F.col(score).alias("s"), F.col(cand).alias("c"))).alias("_all"))
+    agg = scored.groupBy(*by, key).agg(F.max(score).alias("best_score"),
+                                       F.collect_list(F.struct(F.col(score).alias("s"), F.col(cand).alias("c"))).alias("_all"))
     frontier = F.array_sort(F.array_distinct(F.transform(
         F.filter(F.col("_all"), lambda x: x["s"] == F.col("best_score")), lambda x: x["c"])))
     return agg.withColumn("frontier", frontier).withColumn("frontier_size", F.size("frontier")).drop("_all")
 
 
-def frontier_score(frontier: DataFrame) -> DataFrame:
+def frontier_score(frontier: DataFrame, by=()) -> DataFrame:
     """Share of examples with a non-empty frontier (always 1.0 when every example was scored)
     and the share whose best score is positive (``solved_by_any``)."""
-    a = frontier.agg(F.count(F.lit(1)).alias("n_examples"),
-                     F.count_if(F.col("frontier_size") > 0).alias("_ne"),
-                     F.count_if(F.col("best_score") > 0).alias("_solved"))
-    ratio = lambda c: F.when(F.col("n_examples") > 0, F.col(c) / F.col("n_examples")).otherwise(F.lit(0.0))
-    return a.select("n_examples", ratio("_ne").alias("frontier_score"), ratio("_solved").alias("solved_by_any"))
+    a = frontier.groupBy(*by).agg(F.count(F.lit(1)).alias("n_examples"),
+                                  F.count_if(F.col("frontier_size") > 0).alias("_ne"),
+                                  F.count_if(F.col("best_score") > 0).alias("_solved"))
+
+    def ratio(c):
+        return F.when(F.col("n_examples") > 0, F.col(c) / F.col("n_examples")).otherwise(F.lit(0.0))
+
+    return a.select(*by, "n_examples", ratio("_ne").alias("frontier_score"), ratio("_solved").alias("solved_by_any"))
 
 
-def frontier_coverage(frontier: DataFrame, candidates: DataFrame, cand: str = "candidate_id") -> DataFrame:
-    """How many examples each candidate is on the frontier of (zeros kept)."""
-    wins = frontier.select(F.explode("frontier").alias(cand)).groupBy(cand).agg(F.count(F.lit(1)).alias("n_wins"))
-    return candidates.select(cand).join(wins, cand, "left").withColumn("n_wins", F.coalesce(F.col("n_wins"), F.lit(0)))
+def frontier_coverage(frontier: DataFrame, candidates: DataFrame, cand: str = "candidate_id", by=()) -> DataFrame:
+    """How many examples each candidate is on the frontier of (zeros kept for listed candidates)."""
+    wins = frontier.select(*by, F.explode("frontier").alias(cand)).groupBy(*by, cand).agg(F.count(F.lit(1)).alias("n_wins"))
+    return (candidates.select(*by, cand).join(wins, [*by, cand], "left")
+                      .withColumn("n_wins", F.coalesce(F.col("n_wins"), F.lit(0))))
 
 
 def minibatch_gate(scored: DataFrame, minibatches: DataFrame, pairs: DataFrame, key: str = "claim_id",
@@ -70,13 +78,13 @@ def minibatch_gate(scored: DataFrame, minibatches: DataFrame, pairs: DataFrame,
                .withColumn("promote", F.col("new_score") > F.col("parent_score")))
 
 
-def score_progression(scores: DataFrame, cand: str = "candidate_id", score: str = "val_score") -> DataFrame:
+def score_progression(scores: DataFrame, cand: str = "candidate_id", score: str = "val_score", by=()) -> DataFrame:
     """Candidate scores in id order with the previous score, the change and the best so far.
 
-    One row per candidate (bounded), so the ordered window is small.
+    The window is partitioned by run and holds one row per candidate (bounded).
     """
-    w = Window.orderBy(cand)
-    return (scores.select(cand, score)
+    w = Window.partitionBy(*by).orderBy(cand) if by else Window.orderBy(cand)
+    return (scores.select(*by, cand, score)
                   .withColumn("prev_score", F.lag(score).over(w))
                   .withColumn("delta", F.col(score) - F.col("prev_score"))
                   .withColumn("best_so_far", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, 0))))

@@ -55,18 +55,26 @@ def comparison_doc(compared: DataFrame, variants, run: str = "run_id", variant:
 
 
 def run_summary(scores: DataFrame, frontier_summary: DataFrame, cand: str = "candidate_id",
-                score: str = "val_score", seed_id: int = 0) -> DataFrame:
-    """Best, seed, improvement, percent (0.0 when seed <= 0), frontier score and its gap, counts."""
-    s = scores.agg(F.max_by(F.col(cand), F.struct(F.col(score), -F.col(cand))).alias("best_candidate_id"),
-                   F.max(score).alias("best_score"),
-                   F.max(F.when(F.col(cand) == seed_id, F.col(score))).alias("seed_score"),
-                   F.count(F.lit(1)).alias("num_candidates"))
+                score: str = "val_score", seed_id: int = 0, by=()) -> DataFrame:
+    """Best, seed, improvement, percent (0.0 when seed <= 0), frontier score and its gap, counts.
+
+    ``by`` names the run columns; with them the two per-run aggregates meet in an
+    equi-join on the run key. ``num_candidates`` is also the iteration count.
+    """
+    s = scores.groupBy(*by).agg(
+        F.max_by(F.col(cand), F.struct(F.col(score), -F.col(cand))).alias("best_candidate_id"),
+        F.max(score).alias("best_score"),
+        F.max(F.when(F.col(cand) == seed_id, F.col(score))).alias("seed_score"),
+        F.count(F.lit(1)).alias("num_candidates"))
     s = (s.withColumn("improvement", F.col("best_score") - F.col("seed_score"))
           .withColumn("improvement_pct", F.when(F.col("seed_score") > 0,
                                                 (F.col("best_score") - F.col("seed_score")) / F.col("seed_score") * 100)
                       .otherwise(F.lit(0.0))))
-    # both sides are single-row aggregates
-    j = s.withColumn("_k", F.lit(1)).join(frontier_summary.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    if by:
+        j = s.join(frontier_summary, list(by))
+    else:
+        # both sides are single-row aggregates
+        j = s.withColumn("_k", F.lit(1)).join(frontier_summary.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return j.withColumn("frontier_improvement", F.col("frontier_score") - F.col("best_score"))
 
 

@@ -130,3 +130,18 @@ def test_code_feedback_traceback_only_when_present(spark):
     assert "Traceback" not in fb[1] and "\nTraceback:\ntb" in fb[2]
     assert fb[1].endswith("- Edge cases may not be handled properly")
     assert fb[3].startswith("PASSED: Task 3")
+
+
+def test_candidate_analytics_per_run(spark):
+    rows = [("a", 1, 0, 1.0), ("a", 1, 1, 0.0), ("a", 2, 0, 0.0), ("a", 2, 1, 1.0),
+            ("b", 1, 0, 0.0), ("b", 1, 1, 1.0), ("b", 2, 0, 0.0), ("b", 2, 1, 1.0)]
+    s = spark.createDataFrame(rows, "run string, claim_id long, candidate_id int, score double")
+    sc = candidates.candidate_scores(s, by=["run"])
+    best = {r.run: (r.best_candidate_id, r.best_score) for r in candidates.best_candidate(sc, by=["run"]).collect()}
+    assert best == {"a": (0, 0.5), "b": (1, 1.0)}
+    fr = candidates.instance_frontier(s, by=["run"])
+    summ = {r.run: (r.best_candidate_id, r.frontier_score, r.num_candidates)
+            for r in compare.run_summary(sc, candidates.frontier_score(fr, by=["run"]), by=["run"]).collect()}
+    assert summ == {"a": (0, 1.0, 2), "b": (1, 1.0, 2)}
+    prog = {(r.run, r.candidate_id): r.prev_score for r in candidates.score_progression(sc, by=["run"]).collect()}
+    assert prog[("b", 1)] == 0.0 and prog[("a", 0)] is None
