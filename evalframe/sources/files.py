@@ -223,7 +223,7 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event log as a flat table; ``task_id`` is a string (logs hold both 29 and "HumanEval/29")."""
+    """Event log as a flat table; ``task_id`` is a string (logs hold both 29 and "Bench/29")."""
     d = spark.read.schema(EVENT_SCHEMA).json(path)
     return d.select(F.to_timestamp("timestamp").alias("ts"), "event_type", "data.run_name", "data.num_failures",
                     "data.num_processed", "data.task_id", "data.entry_point", "data.error_type",

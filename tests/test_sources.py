@@ -87,14 +87,14 @@ def test_detailed_results_shapes(spark):
 def test_events_and_metrics_append(spark, tmp):
     ev = spark.createDataFrame([("2026-04-07T22:49:08", "batch_start", ("run", 5, None, None, None, None, None, None, None, None)),
                                 ("2026-04-07T22:49:12", "reflector_invocation",
-                                 ("run", None, None, "HumanEval/29", "f", "MissingFunction", "m", "out", "m1", (10, 20, 30)))],
+                                 ("run", None, None, "Bench/29", "f", "MissingFunction", "m", "out", "m1", (10, 20, 30)))],
                                files.EVENT_SCHEMA)
     p = os.path.join(tmp, "events")
     files.append_events(ev, p)
     files.append_events(ev.limit(1), p)
     e = files.read_events(spark, p)
     assert e.count() == 3
-    assert e.filter(F.col("task_id") == "HumanEval/29").select("total_tokens").collect()[0][0] == 30
+    assert e.filter(F.col("task_id") == "Bench/29").select("total_tokens").collect()[0][0] == 30
     m = spark.createDataFrame([("2025-01-01T00:00:00", "acc", 0.5, 1)], "timestamp string, name string, value double, step long")
     files.append_metrics(m, os.path.join(tmp, "m"))
     assert files.read_metrics(spark, os.path.join(tmp, "m")).count() == 1
