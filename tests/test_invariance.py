@@ -22,6 +22,8 @@ def _names():
     if os.environ.get("EVALFRAME_FULL_INVARIANCE") == "1":
         return list(E.queries())
     return [n for n in ORDER_SENSITIVE if n in E.queries()]
+
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
