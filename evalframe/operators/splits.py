@@ -79,8 +79,12 @@ def head_pct(df: DataFrame, order_col: str, pct: float) -> DataFrame:
 
 
 def holdout(all_rows: DataFrame, train: DataFrame, key: str = "input") -> DataFrame:
-    """Rows whose key text is not in train (their duplicates go too)."""
-    return all_rows.join(train.select(key), key, "left_anti")
+    """Rows whose key text is not in train (their duplicates go too).
+
+    The train keys are made distinct first (a map-side partial aggregate), so a
+    text repeated across many train rows reaches the join once.
+    """
+    return all_rows.join(train.select(key).distinct(), key, "left_anti")
 
 
 def assign_batches(df: DataFrame, order_col: str, k: int) -> DataFrame:
@@ -97,8 +101,9 @@ def batch_ranges(df: DataFrame, order_col: str, k: int) -> DataFrame:
 
 
 def remaining(examples: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Work still to do after an interruption: examples whose key has no output yet."""
-    return examples.join(done.select(*keys), keys, "left_anti")
+    """Work still to do after an interruption: examples whose key has no output yet (keys of
+    repeated outputs are collapsed before the join)."""
+    return examples.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def minibatches(df: DataFrame, id_col: str, size: int, iters: int, seed=42) -> DataFrame:
