@@ -23,9 +23,12 @@ SAMPLE_SEED = 7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, name: str | None = None):
+    """Register a query under its function name (or ``name``)."""
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        return f
+    return register(fn) if fn is not None else register
 
 
 # ---------------------------------------------------------------- shared steps
@@ -238,8 +241,8 @@ def parse_verdicts(spark, sf_dir):
     return fx.view("v_responses").withColumn("predicted_label", parse_verdict(F.col("response")))
 
 
-@query
-def extract_code_q(spark, sf_dir):
+@query(name="extract_code")
+def extract_code_query(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     return fx.view("v_code_replies").select("reply_id", "entry_point", extract_code(F.col("reply")).alias("code"))
 
@@ -482,8 +485,6 @@ def latest_metric(spark, sf_dir):
     return events.latest_metric(Fixture(spark, sf_dir).view("v_metrics"))
 
 
-QUERIES["extract_code"] = QUERIES.pop("extract_code_q")
-
 
 # ---------------------------------------------------------------- A: sources and sinks
 @query
