@@ -184,17 +184,16 @@ DETAILED_ITEM = "struct<task_id:string,entry_point:string,passed:boolean,score:d
 
 def flatten_detailed(df: DataFrame, doc: str = "doc", item_type: str = DETAILED_ITEM) -> DataFrame:
     """A detailed-results document: an object whose list-valued keys are concatenated (the key is
-    kept as ``prompt_type``), or a bare list (``prompt_type`` null). Non-list keys are ignored."""
-    # from_json would read a JSON object as a one-element list, so only texts that
-    # start with '[' are parsed as lists
-    def is_list(c):
-        return py_strip(c).startswith("[")
-    text = F.col(doc)
-    obj = F.when(py_strip(text).startswith("{"), F.from_json(text, "map<string,string>"))
-    keyed = df.select(F.explode(obj).alias("prompt_type", "_v")).filter(is_list(F.col("_v")))
-    keyed = keyed.select("prompt_type", F.explode(F.from_json(F.col("_v"), f"array<{item_type}>")).alias("r"))
-    bare = df.filter(is_list(text)).select(F.lit(None).cast("string").alias("prompt_type"),
-                                           F.explode(F.from_json(text, f"array<{item_type}>")).alias("r"))
+    kept as ``prompt_type``), or a bare list (``prompt_type`` null). Other keys are ignored.
+
+    The text is parsed once to VARIANT; typed extraction returns null for values
+    that are not lists (an object is never read as a one-element list).
+    """
+    v = F.try_parse_json(F.col(doc))
+    items = f"array<{item_type}>"
+    keyed = df.select(F.explode(F.try_variant_get(v, "$", "map<string,variant>")).alias("prompt_type", "_v"))
+    keyed = keyed.select("prompt_type", F.explode(F.try_variant_get(F.col("_v"), "$", items)).alias("r"))
+    bare = df.select(F.lit(None).cast("string").alias("prompt_type"), F.explode(F.try_variant_get(v, "$", items)).alias("r"))
     return keyed.unionByName(bare).select("prompt_type", "r.*")
 
 
@@ -204,6 +203,37 @@ def read_detailed(spark: SparkSession, glob: str, item_type: str = DETAILED_ITEM
     return flatten_detailed(d, "doc", item_type)
 
 
+# ---------------------------------------------------------------- comparison documents
+_VARIANT_BLOCK = T.StructType([T.StructField(c, T.DoubleType()) for c in
+                               ("accuracy", "pass_at_1", "pass_at_3", "pass_at_5", "delta_absolute", "delta_percent")]
+                              + [T.StructField(c, T.LongType()) for c in
+                                 ("correct", "passed", "total", "additional_correct", "additional_problems_solved")])
+COMPARISON_SCHEMA = T.StructType([
+    T.StructField("timestamp", T.StringType()), T.StructField("test_size", T.LongType()),
+    T.StructField("few_shot", T.StructType([T.StructField("injected", T.BooleanType()), T.StructField("file", T.StringType()),
+                                            T.StructField("k", T.LongType())])),
+    T.StructField("baseline", _VARIANT_BLOCK), T.StructField("optimized", _VARIANT_BLOCK),
+    T.StructField("fewshot_optimized", _VARIANT_BLOCK)])
+
+
+def read_comparisons(spark: SparkSession, glob: str) -> DataFrame:
+    """Comparison documents of both shapes (accuracy or pass@k; optional few-shot block and
+    optional pass@3/@5) as a long table: one row per (file, variant present)."""
+    d = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", "true").json(glob)
+    d = d.withColumn("file_path", F.col("_metadata.file_path"))
+    blocks = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("b"))
+                       for v in ("baseline", "optimized", "fewshot_optimized")])
+    e = d.select("file_path", "timestamp", "test_size", F.col("few_shot.injected").alias("few_shot_injected"),
+                 F.explode(blocks).alias("x")).filter(F.col("x.b").isNotNull())
+    b = F.col("x.b")
+    return e.select(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("run_dir"), "timestamp", "test_size",
+                    "few_shot_injected", F.col("x.variant").alias("variant"),
+                    F.coalesce(b["accuracy"], b["pass_at_1"]).alias("score"), b["pass_at_3"].alias("pass_at_3"),
+                    b["pass_at_5"].alias("pass_at_5"), F.coalesce(b["correct"], b["passed"]).alias("correct"),
+                    b["total"].alias("total"), b["delta_absolute"].alias("delta_absolute"),
+                    b["delta_percent"].alias("delta_percent"))
+
+
 # ---------------------------------------------------------------- A8 best outputs
 def read_best_outputs(spark: SparkSession, glob: str) -> DataFrame:
     """Best-output files: a bare float per file; task, iteration and program come from the path."""

@@ -133,3 +133,27 @@ def test_batch_audit_on_read_log(spark, tmp):
     assert (a.declared, a.processed, a.n_invocations, a.complete, a.duration_us) == (2, 2, 2, True, 20_000_000)
     t = {(r.run_name, r.error_type, r.level): r.sum_tokens for r in token_rollup(log).collect()}
     assert t[(None, None, 3)] == 7
+
+
+def test_comparisons_two_shapes(spark, tmp):
+    _write(f"{tmp}/cmp/r1/comparison.json", json.dumps({
+        "timestamp": "t1", "test_size": 500, "few_shot": {"injected": True, "file": "f.csv", "k": 3},
+        "baseline": {"accuracy": 0.628, "correct": 314, "total": 500},
+        "optimized": {"accuracy": 0.654, "correct": 327, "total": 500, "delta_absolute": 0.026, "delta_percent": 4.14},
+        "fewshot_optimized": {"accuracy": 0.622, "correct": 311, "total": 500}}, indent=2))
+    _write(f"{tmp}/cmp/r2/comparison.json", json.dumps({
+        "timestamp": "t2", "test_size": 64,
+        "baseline": {"pass_at_1": 0.0, "passed": 0, "total": 64},
+        "optimized": {"pass_at_1": 1.0, "passed": 64, "total": 64, "delta_percent": 0}}, indent=2))
+    r = {(x.run_dir, x.variant): (x.score, x.pass_at_3, x.correct, x.few_shot_injected)
+         for x in files.read_comparisons(spark, f"{tmp}/cmp/*/comparison.json").collect()}
+    assert r[("r1", "fewshot_optimized")] == (0.622, None, 311, True)
+    assert r[("r2", "optimized")] == (1.0, None, 64, None)
+    assert ("r2", "fewshot_optimized") not in r and len(r) == 5
+
+
+def test_detailed_task_id_int_or_string(spark):
+    docs = [json.dumps({"seed_results": [{"task_id": 29, "passed": False}]}),
+            json.dumps({"seed_results": [{"task_id": "Bench/15", "passed": False}]})]
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    assert sorted(r.task_id for r in files.flatten_detailed(df).collect()) == ["29", "Bench/15"]
