@@ -64,3 +64,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def cluster_settings(input_bytes: int, executor_cores: int = 1000, target_partition_bytes: int = 256 << 20,
+                     avg_request_bytes: int = 8 << 10, python_batch_bytes: int = 64 << 20) -> dict[str, str]:
+    """Settings for a large run, derived from the input size.
+
+    * shuffle partitions: enough for ``target_partition_bytes`` per partition
+      (at least 3 waves of the cores); AQE coalesces small ones and splits skewed ones.
+    * file splits of the same target size, so each scan task reads about that much.
+    * Arrow batches for the Python stage sized so that one batch of requests stays
+      near ``python_batch_bytes`` (long prompts make 10,000-row batches too large).
+    """
+    parts = max(3 * executor_cores, -(-input_bytes // target_partition_bytes))
+    rows_per_batch = max(64, python_batch_bytes // max(1, avg_request_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_per_batch),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }

@@ -101,3 +101,11 @@ def test_preview_and_pct(spark):
     df = spark.createDataFrame([(314, 500), (1, 8), (0, 0), (-13, 500), (97, 800)], "a long, b long")
     got = [r[0] for r in df.select(pct_string("a", "b")).collect()]
     assert got == ["62.80%", "12.50%", "0.00%", "-2.60%", "12.13%"]
+
+
+def test_cluster_settings_scale():
+    from evalframe.session import cluster_settings
+    s = cluster_settings(100 * 1024 ** 4, executor_cores=1000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(s["spark.sql.execution.arrow.maxRecordsPerBatch"]) == 8192
+    assert int(cluster_settings(10 ** 6, executor_cores=8)["spark.sql.shuffle.partitions"]) == 24
