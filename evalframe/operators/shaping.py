@@ -136,7 +136,8 @@ def build_requests(df: DataFrame, style: str = "claims", input_col: str = "input
     few-shot text is used verbatim; failed few-shots (``ERROR: ...``) are
     dropped unless ``drop_errors=False``; nothing to render -> plain input.
     """
-    few = render_fewshot(F.col(items) if items in df.columns else F.lit(None).cast("array<struct<input:string,label:string>>"),
+    none = "array<struct<input:string,label:string>>" if style == "claims" else "array<struct<input:string,solution:string>>"
+    few = render_fewshot(F.col(items) if items in df.columns else F.lit(None).cast(none),
                          F.col(raw) if raw and raw in df.columns else None, style, drop_errors)
     inp = F.col(input_col)
     if style == "claims":

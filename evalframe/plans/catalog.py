@@ -589,3 +589,16 @@ def code_comparison(spark, sf_dir):
     """Seed (candidate 0) vs optimised (candidate 1) on pass@1/3/5 over all generations."""
     pk = metrics.pass_at_k(Fixture(spark, sf_dir).view("v_generations"), ks=(1, 3, 5))
     return compare.compare_pass_at_k(pk, 0, 1, (1, 3, 5))
+
+
+@query
+def claims_evaluation(spark, sf_dir):
+    """The claims evaluation flow end to end: requests -> stub model -> persisted outputs -> comparison."""
+    from evalframe.plans.evaluate import evaluate_claims
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = evaluate_claims(claims(fx).select("claim_id", "input", "answer"), cands, stub_model, parallelism=parts,
+                        batch_size=64)
+    return r["comparison"].select("candidate_id", "correct", "total", "accuracy", "delta_absolute", "delta_percent",
+                                  "additional_correct", "verdict", "accuracy_pct", "improvement_pct")

@@ -512,3 +512,6 @@ SELECT *, optimized_pass_at_1 - seed_pass_at_1 AS absolute_improvement,
             WHEN optimized_passed * seed_total < seed_passed * optimized_total THEN 'DEGRADED' ELSE 'NO_CHANGE' END AS verdict,
        {S.pct_string('(optimized_passed * seed_total - seed_passed * optimized_total)', '(seed_total * optimized_total)', signed=True)} AS improvement
 FROM a"""
+
+# the evaluation flow with the fixture's reply table as its model must equal the flagship comparison
+ORACLE_BODY["claims_evaluation"] = ORACLE_BODY["candidate_comparison"]
