@@ -602,3 +602,38 @@ def claims_evaluation(spark, sf_dir):
                         batch_size=64)
     return r["comparison"].select("candidate_id", "correct", "total", "accuracy", "delta_absolute", "delta_percent",
                                   "additional_correct", "verdict", "accuracy_pct", "improvement_pct")
+
+
+def stub_coder(batch):
+    """Deterministic stand-in for a code model: four reply shapes chosen by (task, candidate, sample)."""
+    fence = "`" * 3
+    out = []
+    for t, c, i in zip(batch["task_id"], batch["candidate_id"], batch["sample_idx"]):
+        k = (int(t) + 3 * int(c) + int(i)) % 4
+        name = f"f{int(t)}"
+        out.append([f"{fence}python\ndef {name}(x):\n    return 1\n{fence}",
+                    f"{fence}python\ndef {name}(x):\n    return 0\n{fence}",
+                    "def g(x): return 1",
+                    f"{fence}\npy\ndef {name}(x): return 1\n{fence}"][k])
+    return out
+
+
+def stub_runner(batch):
+    """Deterministic stand-in for a sandboxed test run: passes iff the code returns 1."""
+    import pandas as pd
+    ok = ["return 1" in c for c in batch["code"]]
+    return pd.DataFrame({"passed": ok, "error_type": [None if o else "AssertionError" for o in ok],
+                         "error_message": [None if o else "assert failed" for o in ok], "traceback": None})
+
+
+@query
+def code_evaluation(spark, sf_dir):
+    """The code evaluation flow end to end: 5 samples per (task, candidate) -> stub model -> extraction ->
+    pre-classification -> stub runner -> pass@1/3/5."""
+    from evalframe.plans.evaluate import evaluate_code
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = evaluate_code(fx.view("v_code_tasks"), cands, stub_coder, stub_runner, ks=(1, 3, 5), parallelism=parts,
+                      batch_size=64)
+    return r["pass_at_k"]

@@ -67,26 +67,31 @@ def guidance_sql(status: str, err: str, pick_key: bool) -> str:
     return f"(CASE {whens} ELSE {S.lit('default' if pick_key else DEFAULT_GUIDANCE)} END)"
 
 
-EXTRACT = f"""v_x0 AS (
-  SELECT reply_id, entry_point, {S.strip("coalesce(reply, '')")} AS r FROM v_code_replies
-), v_x1 AS (
-  SELECT *, instr(r, '```python') AS p, instr(r, '```') AS q FROM v_x0
-), v_x2 AS (
+def extract_cte(src: str, keys: str, reply: str = "reply", name: str = "v_code") -> str:
+    """Fence extraction over ``src`` (same steps as the Spark expression); keeps ``keys``."""
+    return f"""{name}_0 AS (
+  SELECT {keys}, {S.strip(f"coalesce({reply}, '')")} AS r FROM {src}
+), {name}_1 AS (
+  SELECT *, instr(r, '```python') AS p, instr(r, '```') AS q FROM {name}_0
+), {name}_2 AS (
   SELECT *, CASE WHEN p > 0 AND instr(substr(r, p + 9), '```') > 0 THEN p + 9 + instr(substr(r, p + 9), '```') - 1 ELSE 0 END AS p_end,
          CASE WHEN q > 0 AND instr(substr(r, q + 3), '```') > 0 THEN q + 3 + instr(substr(r, q + 3), '```') - 1 ELSE 0 END AS q_end
-  FROM v_x1
-), v_x3 AS (
-  SELECT *, {S.strip("substr(r, q + 3, q_end - (q + 3))")} AS body FROM v_x2
-), v_x4 AS (
+  FROM {name}_1
+), {name}_3 AS (
+  SELECT *, {S.strip("substr(r, q + 3, q_end - (q + 3))")} AS body FROM {name}_2
+), {name}_4 AS (
   SELECT *, CASE WHEN instr(body, chr(10)) > 0 THEN substr(body, 1, instr(body, chr(10)) - 1) ELSE body END AS first_line,
          CASE WHEN instr(body, chr(10)) > 0 THEN substr(body, instr(body, chr(10)) + 1) ELSE '' END AS rest
-  FROM v_x3
-), v_code AS (
-  SELECT reply_id, entry_point,
+  FROM {name}_3
+), {name} AS (
+  SELECT {keys},
          CASE WHEN p > 0 AND p_end > 0 THEN {S.strip("substr(r, p + 9, p_end - (p + 9))")}
               WHEN q > 0 AND q_end > 0 THEN {S.strip(f"CASE WHEN {S.strip('first_line')} IN ('python', 'py', '') THEN rest ELSE body END")}
               ELSE r END AS code
-  FROM v_x4)"""
+  FROM {name}_4)"""
+
+
+EXTRACT = extract_cte("v_code_replies", "reply_id, entry_point")
 
 EXEC = f"""v_st AS (SELECT *, {STATUS} AS status FROM v_exec_details)"""
 
@@ -515,3 +520,21 @@ FROM a"""
 
 # the evaluation flow with the fixture's reply table as its model must equal the flagship comparison
 ORACLE_BODY["claims_evaluation"] = ORACLE_BODY["candidate_comparison"]
+
+ORACLE_BODY["code_evaluation"] = f"""
+WITH g AS (SELECT t.task_id, k.candidate_id, s.range AS sample_idx, t.entry_point, t.test,
+                  CASE (t.task_id + 3 * k.candidate_id + s.range) % 4
+                    WHEN 0 THEN '```python' || chr(10) || 'def f' || CAST(t.task_id AS VARCHAR) || '(x):' || chr(10) || '    return 1' || chr(10) || '```'
+                    WHEN 1 THEN '```python' || chr(10) || 'def f' || CAST(t.task_id AS VARCHAR) || '(x):' || chr(10) || '    return 0' || chr(10) || '```'
+                    WHEN 2 THEN 'def g(x): return 1'
+                    ELSE '```' || chr(10) || 'py' || chr(10) || 'def f' || CAST(t.task_id AS VARCHAR) || '(x): return 1' || chr(10) || '```' END AS reply
+           FROM v_code_tasks t CROSS JOIN v_candidates k CROSS JOIN range(1, 6) s),
+{extract_cte("g", "task_id, candidate_id, sample_idx, entry_point, test", name="gc")},
+c AS (SELECT *, CASE WHEN coalesce(test, '') = '' THEN false WHEN NOT contains(coalesce(code, ''), coalesce(entry_point, '')) THEN false
+                     ELSE contains(code, 'return 1') END AS passed FROM gc),
+t AS (SELECT candidate_id, task_id,
+             bool_or(passed AND sample_idx <= 1) AS s1, bool_or(passed AND sample_idx <= 3) AS s3, bool_or(passed AND sample_idx <= 5) AS s5
+      FROM c GROUP BY candidate_id, task_id)
+SELECT candidate_id, count(*) AS n_tasks, count_if(s1) AS solved_at_1, count_if(s3) AS solved_at_3, count_if(s5) AS solved_at_5,
+       count_if(s1) / count(*) AS pass_at_1, count_if(s3) / count(*) AS pass_at_3, count_if(s5) / count(*) AS pass_at_5
+FROM t GROUP BY candidate_id"""
