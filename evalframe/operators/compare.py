@@ -126,3 +126,38 @@ def compare_pass_at_k(pk: DataFrame, seed_id: int = 0, other_id: int = 1, ks=(1,
     return (a.withColumn("verdict", F.when(lhs > rhs, F.lit("IMPROVED")).when(lhs < rhs, F.lit("DEGRADED"))
                          .otherwise(F.lit("NO_CHANGE")))
              .withColumn("improvement", pct_string(lhs - rhs, F.col("seed_total") * F.col("optimized_total"), signed=True)))
+
+
+def summarize_run(scored: DataFrame, key: str = "claim_id", cand: str = "candidate_id", score: str = "score",
+                  seed_id: int = 0, max_candidates: int = 10_000) -> DataFrame:
+    """``run_summary`` in one pass over a scored grid (one score per example and candidate).
+
+    The candidate ids are a checked, bounded list, so each example becomes one row
+    with a score column per candidate (a partial aggregate), and one global
+    aggregate yields candidate means, best / seed scores and the frontier shares.
+    """
+    ids = sorted(r[0] for r in scored.select(cand).distinct().limit(max_candidates + 1).collect())
+    if len(ids) > max_candidates:
+        raise ValueError(f"more than {max_candidates} candidates")
+    per_ex = scored.groupBy(key).agg(*[F.max(F.when(F.col(cand) == c, F.col(score))).alias(f"_s{i}")
+                                       for i, c in enumerate(ids)])
+    best_ex = F.greatest(*[F.col(f"_s{i}") for i in range(len(ids))]) if len(ids) > 1 else F.col("_s0")
+    g = per_ex.agg(F.count(F.lit(1)).alias("n_examples"),
+                   F.count_if(best_ex.isNotNull()).alias("_ne"), F.count_if(best_ex > 0).alias("_solved"),
+                   *[F.sum(f"_s{i}").alias(f"_sum{i}") for i in range(len(ids))],
+                   *[F.count(f"_s{i}").alias(f"_n{i}") for i in range(len(ids))])
+    means = [(F.col(f"_sum{i}") / F.col(f"_n{i}"), c) for i, c in enumerate(ids)]
+    best = F.greatest(*[F.struct(m.alias("s"), F.lit(-c).alias("neg_id")) for m, c in means]) if len(ids) > 1 \
+        else F.struct(means[0][0].alias("s"), F.lit(-ids[0]).alias("neg_id"))
+    seed = [m for m, c in means if c == seed_id]
+    ratio = lambda c: F.when(F.col("n_examples") > 0, F.col(c) / F.col("n_examples")).otherwise(F.lit(0.0))
+    out = g.select(
+        (-best["neg_id"]).cast(scored.schema[cand].dataType).alias("best_candidate_id"), best["s"].alias("best_score"),
+        (seed[0] if seed else F.lit(None).cast("double")).alias("seed_score"),
+        F.lit(len(ids)).cast("long").alias("num_candidates"), "n_examples",
+        ratio("_ne").alias("frontier_score"), ratio("_solved").alias("solved_by_any"))
+    out = (out.withColumn("improvement", F.col("best_score") - F.col("seed_score"))
+              .withColumn("improvement_pct", F.when(F.col("seed_score") > 0,
+                                                    (F.col("best_score") - F.col("seed_score")) / F.col("seed_score") * 100)
+                          .otherwise(F.lit(0.0))))
+    return out.withColumn("frontier_improvement", F.col("frontier_score") - F.col("best_score"))

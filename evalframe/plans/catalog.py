@@ -371,8 +371,8 @@ def comparison_wide(spark, sf_dir):
 
 @query
 def run_summary(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
-    return compare.run_summary(candidate_val_scores(fx), candidates.frontier_score(frontier(fx)))
+    # one pass over the scored grid (compare.run_summary composes the same from separate tables)
+    return compare.summarize_run(scored_claims(Fixture(spark, sf_dir)))
 
 
 @query
