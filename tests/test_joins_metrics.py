@@ -145,3 +145,16 @@ def test_candidate_analytics_per_run(spark):
     assert summ == {"a": (0, 1.0, 2), "b": (1, 1.0, 2)}
     prog = {(r.run, r.candidate_id): r.prev_score for r in candidates.score_progression(sc, by=["run"]).collect()}
     assert prog[("b", 1)] == 0.0 and prog[("a", 0)] is None
+
+
+def test_summarize_run_equals_composed(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(e, c, float(rnd.random() < 0.4 + 0.1 * c)) for e in range(300) for c in range(4)]
+    s = spark.createDataFrame(rows, "claim_id long, candidate_id int, score double")
+    one = compare.summarize_run(s).collect()[0].asDict()
+    composed = compare.run_summary(candidates.candidate_scores(s),
+                                   candidates.frontier_score(candidates.instance_frontier(s))).collect()[0].asDict()
+    assert one.keys() == composed.keys()
+    for k in one:
+        assert one[k] == pytest.approx(composed[k]), k
