@@ -637,3 +637,20 @@ def code_evaluation(spark, sf_dir):
     r = evaluate_code(fx.view("v_code_tasks"), cands, stub_coder, stub_runner, ks=(1, 3, 5), parallelism=parts,
                       batch_size=64)
     return r["pass_at_k"]
+
+
+@query
+def stream_scored_append(spark, sf_dir):
+    """Scored claims appended batch by batch by a resumable stream (batch-id keyed overwrite), read back."""
+    from evalframe.plans.views import responses_for
+    from evalframe.session import scratch_path
+    from evalframe.streaming.live import parquet_stream, stream_score
+    fx = Fixture(spark, sf_dir)
+    docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
+    resp = responses_for(docs.select(F.col("doc_id").alias("claim_id")), fx.view("v_candidates"))
+    scored = joins.parse_and_score(resp, claims(fx).select("claim_id", "answer"))
+    sink = scratch_path(spark, "scored")
+    q = stream_score(scored.select("claim_id", "candidate_id", "predicted_label", "answer", "correct", "score"),
+                     sink, scratch_path(spark, "scored-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")

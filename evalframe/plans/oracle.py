@@ -538,3 +538,5 @@ t AS (SELECT candidate_id, task_id,
 SELECT candidate_id, count(*) AS n_tasks, count_if(s1) AS solved_at_1, count_if(s3) AS solved_at_3, count_if(s5) AS solved_at_5,
        count_if(s1) / count(*) AS pass_at_1, count_if(s3) / count(*) AS pass_at_3, count_if(s5) / count(*) AS pass_at_5
 FROM t GROUP BY candidate_id"""
+
+ORACLE_BODY["stream_scored_append"] = ORACLE_BODY["score_claims"]
