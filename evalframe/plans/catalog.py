@@ -654,3 +654,25 @@ def stream_scored_append(spark, sf_dir):
                      sink, scratch_path(spark, "scored-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
+
+
+def stub_reflector(batch):
+    """Deterministic stand-in for a reflector: answers from the error type named in the request."""
+    out = []
+    for idx, req in zip(batch["failure_idx"], batch["request"]):
+        err = req.split("\n- Error Type: ", 1)[1].split("\n", 1)[0]
+        prio = "HIGH" if int(idx) % 2 == 0 else "LOW"
+        out.append(f"MUTATION_ANALYSIS: {err} seen\n\nSUGGESTED_PROMPT_CHANGE: handle {err}\n\nPRIORITY_LEVEL: {prio}")
+    return out
+
+
+@query
+def reflection_flow(spark, sf_dir):
+    """Failures -> reflection requests -> stub reflector -> parsed suggestions, over all generations."""
+    from evalframe.plans.evaluate import reflection_log
+    fx = Fixture(spark, sf_dir)
+    d = fx.view("v_exec_details").select("task_id", "candidate_id", "sample_idx", "passed", "error_type",
+                                         "error_message", "traceback")
+    r = reflection_log(d, stub_reflector, ["task_id", "candidate_id", "sample_idx"], run_name="reflection_run",
+                       batch_size=64)
+    return r["reflections"].select("failure_idx", "task_id", "error_type", "has_change", "change", "priority", "analysis")

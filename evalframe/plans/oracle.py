@@ -540,3 +540,8 @@ SELECT candidate_id, count(*) AS n_tasks, count_if(s1) AS solved_at_1, count_if(
 FROM t GROUP BY candidate_id"""
 
 ORACLE_BODY["stream_scored_append"] = ORACLE_BODY["score_claims"]
+
+ORACLE_BODY["reflection_flow"] = f"""WITH {FAILURES}
+SELECT failure_idx, task_id, error_type, true AS has_change, 'handle ' || {S.pystr('error_type')} AS change,
+       CASE WHEN failure_idx % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS priority, {S.pystr('error_type')} || ' seen' AS analysis
+FROM v_fail"""
