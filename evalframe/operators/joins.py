@@ -19,9 +19,10 @@ def evaluation_grid(examples: DataFrame, candidates: DataFrame, key: str = "cand
     is expanded by a generator; candidate attributes come back through a
     broadcast equi-join of the same bounded table. No cartesian join operator.
     """
-    ids = [r[0] for r in candidates.select(key).distinct().limit(max_candidates + 1).collect()]
-    if len(ids) > max_candidates:
-        raise ValueError(f"more than {max_candidates} candidates; evaluate them in groups")
+    # the broadcast side is the candidate table itself: bound its rows, not only its ids
+    if candidates.limit(max_candidates + 1).count() > max_candidates:
+        raise ValueError(f"more than {max_candidates} candidate rows; evaluate them in groups")
+    ids = [r[0] for r in candidates.select(key).distinct().collect()]
     kt = candidates.schema[key].dataType
     ids = sorted(i for i in ids if i is not None)
     grid = examples.withColumn(key, F.explode(F.array(*[F.lit(i).cast(kt) for i in ids])))
