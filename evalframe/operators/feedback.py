@@ -15,7 +15,7 @@ from evalframe.functions.constants import (CLAIMS_FEEDBACK_NOTES,
                                            REFLECTION_HEADER,
                                            REFLECTION_NO_CHANGE,
                                            REFLECTION_PRIORITY_MARKER)
-from evalframe.functions.text import col_of, preview, py_str, py_strip
+from evalframe.functions.text import preview, py_str, py_strip
 from evalframe.operators.ordering import global_row_number
 
 COMPONENT = "system_prompt"

@@ -1,7 +1,6 @@
 """Joins, aggregates, candidates and comparisons on hand-written rows."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from evalframe.operators import (candidates, compare, feedback, joins,
                                  metrics)
