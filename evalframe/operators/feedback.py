@@ -3,7 +3,7 @@ reflection requests and their parsing, reflection batch summaries, error shifts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.code import ERROR_GUIDANCE, guidance, guidance_key
@@ -19,6 +19,7 @@ from evalframe.functions.text import preview, py_str, py_strip
 from evalframe.operators.ordering import global_row_number
 
 COMPONENT = "system_prompt"
+SMALL_LIMIT = 100_000
 
 
 def require_nonempty(df: DataFrame, what: str = "feedback") -> DataFrame:
@@ -121,6 +122,10 @@ def extract_failures(detailed: DataFrame, order_cols: list, limit: int | None =
         if c not in cols:
             f = f.withColumn(c, F.lit(default))
     f = f.withColumn("guidance", F.concat(F.lit("Failed on problem "), py_str(F.col("task_id"))))
+    if limit and limit <= SMALL_LIMIT:
+        # early exit: per-partition top-n, one merge of n rows, then number those n rows
+        top = f.orderBy(*order_cols).limit(limit)
+        return top.withColumn("failure_idx", F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     f = global_row_number(f, order_cols, name="failure_idx")
     return f.filter(F.col("failure_idx") <= limit) if limit else f
 

@@ -157,3 +157,12 @@ def test_summarize_run_equals_composed(spark):
     assert one.keys() == composed.keys()
     for k in one:
         assert one[k] == pytest.approx(composed[k]), k
+
+
+def test_extract_failures_limit_paths_agree(spark, monkeypatch):
+    rows = [(i, i % 3 == 0, "E") for i in range(100)]
+    d = spark.createDataFrame(rows, "task_id long, passed boolean, error_type string")
+    small = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
+    monkeypatch.setattr(feedback, "SMALL_LIMIT", 0)
+    big = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
+    assert small == big == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
