@@ -105,6 +105,13 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.col("entry_point"), F.lit("")), F.lit("test"), F.coalesce(F.col("test"), F.lit(""))))
 
 
+def frozen_split(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """A split written once and reloaded afterwards: an existing split at ``path`` is never
+    rewritten, so later runs (and other jobs) see exactly the same rows."""
+    write_split(rows, path, mode="ignore")
+    return read_split(spark, path)
+
+
 def code_split_rows(tasks: DataFrame) -> DataFrame:
     """Code tasks in split-CSV shape (input = prompt, answer = canonical solution or '')."""
     def g(c):

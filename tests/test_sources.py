@@ -157,3 +157,11 @@ def test_detailed_task_id_int_or_string(spark):
             json.dumps({"seed_results": [{"task_id": "Bench/15", "passed": False}]})]
     df = spark.createDataFrame([(d,) for d in docs], "doc string")
     assert sorted(r.task_id for r in files.flatten_detailed(df).collect()) == ["29", "Bench/15"]
+
+
+def test_frozen_split_reloads(spark, tmp):
+    a = spark.createDataFrame([("1", "f", "p", "", "t")], "task_id string, entry_point string, input string, answer string, test string")
+    b = spark.createDataFrame([("2", "g", "q", "", "u")], "task_id string, entry_point string, input string, answer string, test string")
+    p = os.path.join(tmp, "frozen")
+    assert [r.task_id for r in files.frozen_split(spark, a, p).collect()] == ["1"]
+    assert [r.task_id for r in files.frozen_split(spark, b, p).collect()] == ["1"]
