@@ -47,7 +47,8 @@ def evaluate_claims(examples: DataFrame, candidates: DataFrame, model_fn, key: s
     req = shaping.build_requests(grid, style="claims", items="items", system_prompt="system_prompt")
     out = inference.predict(req, model_fn, keys=[key, "candidate_id"], inputs=["system_content", "user_content"],
                             batch_size=batch_size, parallelism=parallelism, factory=factory)
-    out = inference.persist_outputs(out, _out(spark, out_dir, "claims_outputs"))
+    # one folder per candidate: reading one candidate's outputs prunes the others
+    out = inference.persist_outputs(out, _out(spark, out_dir, "claims_outputs"), partition_by=["candidate_id"])
     landed = out.filter(~F.col("failed"))
     scored = joins.fill_claim_failures(grid.select(key, "candidate_id"), landed, examples.select(key, "answer"),
                                        failure_score=failure_score, key=key)
@@ -79,7 +80,7 @@ def evaluate_code(tasks: DataFrame, candidates: DataFrame, model_fn, scorer_fn,
     out = inference.predict(req, model_fn, keys=["task_id", "candidate_id", "sample_idx"],
                             inputs=["system_content", "user_content", "sample_idx"], batch_size=batch_size,
                             parallelism=parallelism, factory=factory)
-    out = inference.persist_outputs(out, _out(spark, out_dir, "code_outputs"))
+    out = inference.persist_outputs(out, _out(spark, out_dir, "code_outputs"), partition_by=["candidate_id"])
     gens = out.join(t, "task_id").withColumn("code", extract_code(F.col("response")))
     todo = scoring.needs_execution(gens.select("task_id", "candidate_id", "sample_idx", "entry_point", "code"),
                                    t.select("entry_point", "test"))
