@@ -23,17 +23,25 @@ def best_candidate(scores: DataFrame, cand: str = "candidate_id", score: str = "
 
 
 def instance_frontier(scored: DataFrame, key: str = "claim_id", cand: str = "candidate_id",
-                      score: str = "score", by=()) -> DataFrame:
+                      score: str = "score", by=(), max_candidates: int = 10_000) -> DataFrame:
     """Per example: the best score and the sorted set of candidates reaching it.
 
-    One aggregate per example; the per-example list holds at most one entry per
-    candidate (the grid's candidate count is checked).
+    The candidate ids are a checked, bounded list, so each example becomes one
+    row with a best-score column per candidate (a hash aggregate with a partial
+    phase); the frontier is built from those columns, no list is collected.
     """
-    agg = scored.groupBy(*by, key).agg(F.max(score).alias("best_score"),
-                                       F.collect_list(F.struct(F.col(score).alias("s"), F.col(cand).alias("c"))).alias("_all"))
-    frontier = F.array_sort(F.array_distinct(F.transform(
-        F.filter(F.col("_all"), lambda x: x["s"] == F.col("best_score")), lambda x: x["c"])))
-    return agg.withColumn("frontier", frontier).withColumn("frontier_size", F.size("frontier")).drop("_all")
+    ids = sorted(r[0] for r in scored.select(cand).distinct().limit(max_candidates + 1).collect() if r[0] is not None)
+    if len(ids) > max_candidates:
+        raise ValueError(f"more than {max_candidates} candidates")
+    per = scored.groupBy(*by, key).agg(*[F.max(F.when(F.col(cand) == c, F.col(score))).alias(f"_s{i}")
+                                         for i, c in enumerate(ids)])
+    cols = [F.col(f"_s{i}") for i in range(len(ids))]
+    best = F.greatest(*cols) if len(cols) > 1 else cols[0]
+    ct = scored.schema[cand].dataType
+    frontier = F.array_compact(F.array(*[F.when(col == F.col("best_score"), F.lit(c).cast(ct)) for col, c in zip(cols, ids)]))
+    out = per.withColumn("best_score", best).withColumn("frontier", frontier)
+    return (out.withColumn("frontier_size", F.size("frontier"))
+               .select(*by, key, "best_score", "frontier", "frontier_size"))
 
 
 def frontier_score(frontier: DataFrame, by=()) -> DataFrame:
