@@ -12,6 +12,7 @@ import __spark_entry__ as E
 from evalframe.plans.views import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
@@ -54,7 +55,12 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols, srows = df.columns, df.collect()
-    cur = duck.execute(E.oracle_sql()[name])
+    sql = E.oracle_sql()[name]
+    rel = duck.sql(sql)
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    assert spark_types == types
     assert _rows(cols, srows) == _rows(dcols, cur.fetchall())
