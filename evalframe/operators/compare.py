@@ -78,10 +78,16 @@ def run_summary(scores: DataFrame, frontier_summary: DataFrame, cand: str = "can
     return j.withColumn("frontier_improvement", F.col("frontier_score") - F.col("best_score"))
 
 
-def latest(df: DataFrame, by: str, order: str) -> DataFrame:
-    """The row with the greatest ``order`` value per ``by`` group (a partial aggregate)."""
+def latest(df: DataFrame, by: str, order: str, required: bool = False) -> DataFrame:
+    """The row with the greatest ``order`` value per ``by`` group (a partial aggregate).
+
+    ``required=True`` raises when there is nothing to pick from (one-row check).
+    """
     other = [c for c in df.columns if c != by]
-    return df.groupBy(by).agg(F.max_by(F.struct(*[F.col(c) for c in other]), F.col(order)).alias("_l")).select(by, "_l.*")
+    out = df.groupBy(by).agg(F.max_by(F.struct(*[F.col(c) for c in other]), F.col(order)).alias("_l")).select(by, "_l.*")
+    if required and not out.take(1):
+        raise ValueError(f"no rows to pick the latest {order} from")
+    return out
 
 
 def leaderboard(compared: DataFrame, baseline: str = "1", run: str = "run_id", variant: str = "variant") -> DataFrame:

@@ -166,3 +166,10 @@ def test_extract_failures_limit_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(feedback, "SMALL_LIMIT", 0)
     big = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
     assert small == big == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
+
+
+def test_latest_required(spark):
+    df = spark.createDataFrame([("a", "run_1", 1.0), ("a", "run_2", 2.0)], "exp string, run string, score double")
+    assert compare.latest(df, "exp", "run").collect()[0].score == 2.0
+    with pytest.raises(ValueError):
+        compare.latest(df.limit(0), "exp", "run", required=True)
