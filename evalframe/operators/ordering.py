@@ -98,3 +98,29 @@ def keyed_lag(df: DataFrame, key: str, ts: str, tie: str, value: str, name: str,
     d = _null_safe_join(d, last, [key, "_ef_b"])
     return d.withColumn(name, F.when(F.col("_ef_first"), F.col("_ef_prev_last")).otherwise(F.col(name))).drop(
         "_ef_b", "_ef_first", "_ef_prev_last")
+
+
+def hashed_rows(df: DataFrame, hex_key: str, tie: str, name: str = "rn",
+                buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``number_rows`` for an order key that is a uniform hex digest (e.g. md5): no materialisation.
+
+    The bucket of a row is a pure function of its key (leading hex digits), so
+    buckets are equal-sized and deterministic without sampling or partition ids:
+    per-bucket counts (one row per bucket) give the offsets, and a window
+    partitioned by bucket numbers the rows inside it. A task rerun recomputes
+    the same numbers.
+    """
+    spark = df.sparkSession
+    n_b = buckets or _partitions(df, None)
+    b = (F.conv(F.substring(F.col(hex_key), 1, 8), 16, 10).cast("long") * n_b / F.lit(1 << 32)).cast("int")
+    d = df.withColumn("_ef_b", b)
+    counts = sorted(d.groupBy("_ef_b").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per bucket
+    offsets, total = [], 0
+    for r in counts:
+        offsets.append((r["_ef_b"], total))
+        total += r["n"]
+    off = spark.createDataFrame(offsets, "_ef_b int, _ef_off long")
+    w = Window.partitionBy("_ef_b").orderBy(F.col(hex_key), F.col(tie))
+    out = d.withColumn("_ef_in", F.row_number().over(w)).join(F.broadcast(off), "_ef_b")
+    return (out.withColumn(name, (F.col("_ef_off") + F.col("_ef_in")).cast("long"))
+               .drop("_ef_b", "_ef_in", "_ef_off")), total

@@ -2,7 +2,7 @@
 
 Row order comes from ``md5(seed || '|' || id)`` with the id as tie-breaker, so a
 split is reproducible on any engine that has md5. Exact sizes need positions;
-``global_row_number`` gives them without an un-partitioned window.
+``hashed_rows`` (md5 keys) and ``global_row_number`` give them without an un-partitioned window.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.operators.ordering import global_row_number, number_rows
+from evalframe.operators.ordering import global_row_number, hashed_rows, number_rows
 
 SMALL_SAMPLE = 100_000
 
@@ -23,7 +23,8 @@ def shuffle_key(id_col, seed) -> Column:
 
 
 def shuffled_with_total(df: DataFrame, id_col: str, seed, name: str = "rank") -> tuple[DataFrame, int]:
-    r, n = number_rows(df.withColumn("_ef_key", shuffle_key(id_col, seed)), ["_ef_key", id_col], name=name)
+    # md5 keys are uniform: numbered by hash buckets, nothing is materialised
+    r, n = hashed_rows(df.withColumn("_ef_key", shuffle_key(id_col, seed)), "_ef_key", id_col, name=name)
     return r.drop("_ef_key"), n
 
 

@@ -99,3 +99,10 @@ def test_running_count_and_lag_brute_force(spark):
             assert rc[r[0]] == c
             assert lg[r[0]] == prev
             prev = r[2]
+
+
+def test_hashed_rows_matches_sort(spark):
+    df = spark.range(0, 5000).select(F.col("id"), F.md5(F.concat(F.lit("s|"), F.col("id").cast("string"))).alias("k"))
+    got, n = ordering.hashed_rows(df.repartition(7), "k", "id", buckets=13)
+    want = {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.k, r.id)))}
+    assert n == 5000 and {r.id: r.rn for r in got.collect()} == want
