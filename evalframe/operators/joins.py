@@ -20,9 +20,11 @@ def evaluation_grid(examples: DataFrame, candidates: DataFrame, key: str = "cand
     broadcast equi-join of the same bounded table. No cartesian join operator.
     """
     # the broadcast side is the candidate table itself: bound its rows, not only its ids
-    if candidates.limit(max_candidates + 1).count() > max_candidates:
+    # (one small job reads at most max_candidates + 1 key values)
+    keys = [r[0] for r in candidates.select(key).limit(max_candidates + 1).collect()]
+    if len(keys) > max_candidates:
         raise ValueError(f"more than {max_candidates} candidate rows; evaluate them in groups")
-    ids = [r[0] for r in candidates.select(key).distinct().collect()]
+    ids = set(keys)
     kt = candidates.schema[key].dataType
     ids = sorted(i for i in ids if i is not None)
     grid = examples.withColumn(key, F.explode(F.array(*[F.lit(i).cast(kt) for i in ids])))
