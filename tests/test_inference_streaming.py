@@ -105,8 +105,12 @@ def test_append_mode_windows_finalised_by_watermark(spark, tmp):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, run_name string, total_tokens long").write.parquet(src)
     s = spark.readStream.schema("event_id long, ts timestamp_ntz, run_name string, total_tokens long").parquet(src)
     res = live.run_stream(live.token_windows(s, "tumbling", size="1 hour", delay="0 seconds"), "t_app", mode="append")
-    # with one micro-batch the watermark only advances after it, so nothing is final yet
-    assert res.count() == 0
+    # append mode emits a window only once the watermark has passed its end, and only once
+    last_us = int((t0 + dt.timedelta(minutes=20 * 11) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    rows = res.collect()
+    assert all(r.window_end_us <= last_us for r in rows)
+    assert len({r.window_start_us for r in rows}) == len(rows)
+    assert all(r.n_events == 3 for r in rows)
 
 
 def test_live_accuracy_with_watermark(spark, tmp):
