@@ -59,14 +59,3 @@ def pct_string(num: str, den: str, signed: bool = False) -> str:
     return (f"((CASE WHEN {neg} AND {v} > 0 THEN '-' ELSE {plus} END) || CAST({v} // 100 AS VARCHAR) || '.' || "
             f"lpad(CAST({v} % 100 AS VARCHAR), 2, '0') || '%')")
 
-
-# scored claims: responses parsed and joined to gold
-SCORED_CLAIMS = f"""
-v_scored AS (
-  SELECT r.claim_id, r.candidate_id, r.response, {verdict('r.response')} AS predicted_label, {gold('c.label_raw')} AS answer
-  FROM v_responses r LEFT JOIN v_claims c ON r.claim_id = c.claim_id
-), v_scored2 AS (
-  SELECT *, {label_match('predicted_label', 'answer')} AS correct,
-         CASE WHEN {label_match('predicted_label', 'answer')} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score
-  FROM v_scored
-)"""
