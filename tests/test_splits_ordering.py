@@ -106,3 +106,13 @@ def test_hashed_rows_matches_sort(spark):
     got, n = ordering.hashed_rows(df.repartition(7), "k", "id", buckets=13)
     want = {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.k, r.id)))}
     assert n == 5000 and {r.id: r.rn for r in got.collect()} == want
+
+
+def test_running_count_null_run_key(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, None, base), (2, None, base + dt.timedelta(hours=2)), (3, "r", base), (4, None, base + dt.timedelta(hours=5))]
+    df = spark.createDataFrame(rows, "event_id long, run string, ts timestamp_ntz")
+    rc = {r.event_id: r.running for r in ordering.running_count(df, "run", "ts", "event_id").collect()}
+    lg = {r.event_id: r.prev for r in ordering.keyed_lag(df, "run", "ts", "event_id", "event_id", "prev").collect()}
+    assert rc == {1: 1, 2: 2, 4: 3, 3: 1}
+    assert lg == {1: None, 2: 1, 4: 2, 3: None}
