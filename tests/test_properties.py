@@ -98,3 +98,21 @@ def test_sample_report_cuts_code(spark):
                               "task_id long, candidate_id int, sample_idx long, passed boolean, error_type string, code string")
     r = metrics.sample_report(g, 5, code="code").collect()[0]
     assert len(r.sample_list[0]["c"]) == 200
+
+
+def test_hot_key_aggregates_match_brute_force(spark):
+    from evalframe.operators import joins
+    # one task holds a third of all generations; one few-shot text a third of the few-shot rows
+    rows = [(0 if i % 3 == 0 else i, 0, (i // 3) + 1 if i % 3 == 0 else 1, i % 7 == 0) for i in range(3000)]
+    g = spark.createDataFrame(rows, "task_id long, candidate_id int, sample_idx long, passed boolean").repartition(9)
+    r = metrics.pass_at_k(g, ks=(1, 3, 5)).collect()[0]
+    tasks = {}
+    for t, _, s, p in rows:
+        tasks.setdefault(t, []).append((s, p))
+    want = {k: sum(any(p and s <= k for s, p in v) for v in tasks.values()) for k in (1, 3, 5)}
+    assert (r.solved_at_1, r.solved_at_3, r.solved_at_5) == (want[1], want[3], want[5]) and r.n_tasks == len(tasks)
+    fs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}", f"v{i}") for i in range(3000)],
+                               "id long, input string, few_shot string").repartition(9)
+    ex = spark.createDataFrame([(1, "hot"), (2, "t1"), (3, "none")], "claim_id long, input string")
+    a = {x.claim_id: x.few_shot for x in joins.attach_fewshot(ex, fs).collect()}
+    assert a == {1: "v2997", 2: "v1", 3: None}
