@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,3 +71,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def word_counts(texts: DataFrame, words: Callable[[str], list[bytes]] = words_of, flush: int = 300_000) -> DataFrame:
+    """word (binary), n over all rows of the column ``text``; each task sends partial counts whenever it holds ``flush`` words."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = list(held)
+            for i in range(0, len(keys), 50_000):
+                part = keys[i:i + 50_000]
+                yield batch(schema, part, [held[k] for k in part])
+            held.clear()
+        for b in batches:
+            for part in bounded(b, 4 << 20):
+                for t in texts_of(part):
+                    held.update(words(t))
+                    if len(held) >= flush:
+                        yield from out()
+        yield from out()
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
