@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality_classifier, quality_rules, secrets, simhash, topk
+from . import bpe, language_id, lm, packing, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
