@@ -1,11 +1,38 @@
-"""Training-data pipeline over ``documents``: each stage works on what its predecessor kept."""
+"""Training-data pipeline over ``documents``: each stage works on what its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. Stages but the last are written to the shared checkpoint folder and read
+again, so a lost executor repeats one stage at most. Labels join only by doc_id; an empty
+table passes through every stage; null texts fail the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalframe.llm import packing, quality_classifier, quality_rules, secrets, simhash
+from evalframe.llm.common import remainder, stored, table
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the isolation forest."""
+    return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
+
 
-from evalframe.llm import packing
-from evalframe.llm.common import stored, table
+def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good. It learns from all of ``documents``: what the rules kept has hardly a bad one left."""
+    return quality_classifier.keep_documents(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) == 0, learn_from=table(spark, sf_dir, "documents"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets replaced."""
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +40,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
-#: Models learned from the data cannot be written in SQL; tests hold each stage against brute force.
+STAGES = [
+    ("quality rules", keep_by_rules),
+    ("quality classifier", keep_by_classifier),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
+
+#: Models learned from the data cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -129,9 +129,9 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     return arrow_map(docs.select("doc_id", held_out.alias("held_out"), "text"), make, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` predicted as good, with all their columns."""
-    w = train(docs, labels, ~held_out)
+def keep_documents(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` predicted as good, with all their columns; learned from ``learn_from`` (doc_id, text) or from ``docs``."""
+    w = train(docs if learn_from is None else learn_from, labels, ~held_out)
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:

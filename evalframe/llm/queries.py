@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, lm, packing, quality_classifier, quality_rules, secrets, simhash, topk
+from . import bpe, language_id, lm, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("key", "hits")
