@@ -2,13 +2,14 @@
 
 Tokens are runs of letters and digits and runs of other marks; features are hashed
 token uni- and bigrams with their share of the text as value. A bounded, hash-chosen sample
-of the labelled rows is dealt to a fixed number of shards; each runs follow-the-regularised-
+of the labelled rows is dealt to shards of about SHARD_ROWS; each runs follow-the-regularised-
 leader over its rows in a Spark task, and the shards' weights are averaged. A score is a
 sparse dot product with the averaged weights, whose size the parameters fix.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -23,7 +24,7 @@ from .common import arrow_map, batch, texts_of
 DIMENSIONS = 1 << 18
 #: About so many labelled rows are learned from (all, if there are fewer).
 TRAIN_ROWS = 24_000
-SHARDS = 8
+SHARD_ROWS = 3_000
 EPOCHS = 2
 THRESHOLD = 0.3
 SCALE = 32.0
@@ -74,7 +75,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = TRAIN_ROWS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """Averaged weights (bias last) from about ``rows`` labelled rows of those where ``training`` holds.
 
     The sample is chosen by a hash of doc_id, on both tables before they are joined, so only its texts
@@ -83,7 +84,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = TRAI
     part = 1 << 20
     pick = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(part))
     labelled = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & training).select("doc_id", "quality")
-    share = min(part, int(part * rows / max(1, labelled.count())) + 1)
+    n = labelled.count()
+    share = min(part, int(part * rows / max(1, n)) + 1)
+    shards = max(1, math.ceil(min(n, rows) / shard_rows))
     known = labelled.filter(pick < share).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     sample = docs.filter(training & (pick < share)).select("doc_id", "text").join(known, "doc_id")
     dims = DIMENSIONS
