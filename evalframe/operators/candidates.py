@@ -23,25 +23,19 @@ def best_candidate(scores: DataFrame, cand: str = "candidate_id", score: str = "
 
 
 def instance_frontier(scored: DataFrame, key: str = "claim_id", cand: str = "candidate_id",
-                      score: str = "score", by=(), max_candidates: int = 10_000) -> DataFrame:
+                      score: str = "score", by=()) -> DataFrame:
     """Per example: the best score and the sorted set of candidates reaching it.
 
-    The candidate ids are a checked, bounded list, so each example becomes one
-    row with a best-score column per candidate (a hash aggregate with a partial
-    phase); the frontier is built from those columns, no list is collected.
+    The best score comes from a window over the example's rows (one per candidate), the set from a
+    group on the same key: one exchange, however many candidates there are. An example without a
+    score has a null best score and an empty frontier.
     """
-    ids = sorted(r[0] for r in scored.select(cand).distinct().limit(max_candidates + 1).collect() if r[0] is not None)
-    if len(ids) > max_candidates:
-        raise ValueError(f"more than {max_candidates} candidates")
-    per = scored.groupBy(*by, key).agg(*[F.max(F.when(F.col(cand) == c, F.col(score))).alias(f"_s{i}")
-                                         for i, c in enumerate(ids)])
-    cols = [F.col(f"_s{i}") for i in range(len(ids))]
-    best = F.greatest(*cols) if len(cols) > 1 else cols[0]
-    ct = scored.schema[cand].dataType
-    frontier = F.array_compact(F.array(*[F.when(col == F.col("best_score"), F.lit(c).cast(ct)) for col, c in zip(cols, ids)]))
-    out = per.withColumn("best_score", best).withColumn("frontier", frontier)
-    return (out.withColumn("frontier_size", F.size("frontier"))
-               .select(*by, key, "best_score", "frontier", "frontier_size"))
+    w = Window.partitionBy(*by, key)
+    best = scored.withColumn("_ef_best", F.max(score).over(w))
+    out = best.groupBy(*by, key).agg(
+        F.max("_ef_best").alias("best_score"),
+        F.sort_array(F.collect_set(F.when(F.col(score) == F.col("_ef_best"), F.col(cand)))).alias("frontier"))
+    return out.withColumn("frontier_size", F.size("frontier")).select(*by, key, "best_score", "frontier", "frontier_size")
 
 
 def frontier_score(frontier: DataFrame, by=()) -> DataFrame:

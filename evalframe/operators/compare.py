@@ -38,7 +38,8 @@ def verdict(compared: DataFrame) -> DataFrame:
     """IMPROVED / NO_CHANGE / DEGRADED and percent strings, decided on exact integer ratios."""
     lhs = F.col("correct").cast("long") * F.col("baseline_total")
     rhs = F.col("baseline_correct").cast("long") * F.col("total")
-    v = F.when(lhs > rhs, F.lit("IMPROVED")).when(lhs == rhs, F.lit("NO_CHANGE")).otherwise(F.lit("DEGRADED"))
+    # without a baseline there is nothing to compare: null
+    v = F.when(lhs > rhs, F.lit("IMPROVED")).when(lhs == rhs, F.lit("NO_CHANGE")).when(lhs < rhs, F.lit("DEGRADED"))
     return (compared.withColumn("verdict", v)
                     .withColumn("accuracy_pct", pct_string("correct", "total"))
                     .withColumn("baseline_pct", pct_string("baseline_correct", "baseline_total"))
@@ -135,35 +136,52 @@ def compare_pass_at_k(pk: DataFrame, seed_id: int = 0, other_id: int = 1, ks=(1,
 
 
 def summarize_run(scored: DataFrame, key: str = "claim_id", cand: str = "candidate_id", score: str = "score",
-                  seed_id: int = 0, max_candidates: int = 10_000) -> DataFrame:
+                  seed_id: int = 0) -> DataFrame:
     """``run_summary`` in one pass over a scored grid (one score per example and candidate).
 
-    The candidate ids are a checked, bounded list, so each example becomes one row
-    with a score column per candidate (a partial aggregate), and one global
-    aggregate yields candidate means, best / seed scores and the frontier shares.
+    Grouping sets give the totals of each candidate and the best score of each example from one scan
+    (partial aggregates, no column per candidate); one global aggregate over them is the summary. An
+    empty table gives one row: no candidate, frontier score 0.0.
     """
-    ids = sorted(r[0] for r in scored.select(cand).distinct().limit(max_candidates + 1).collect())
-    if len(ids) > max_candidates:
-        raise ValueError(f"more than {max_candidates} candidates")
-    per_ex = scored.groupBy(key).agg(*[F.max(F.when(F.col(cand) == c, F.col(score))).alias(f"_s{i}")
-                                       for i, c in enumerate(ids)])
-    best_ex = F.greatest(*[F.col(f"_s{i}") for i in range(len(ids))]) if len(ids) > 1 else F.col("_s0")
-    g = per_ex.agg(F.count(F.lit(1)).alias("n_examples"),
-                   F.count_if(best_ex.isNotNull()).alias("_ne"), F.count_if(best_ex > 0).alias("_solved"),
-                   *[F.sum(f"_s{i}").alias(f"_sum{i}") for i in range(len(ids))],
-                   *[F.count(f"_s{i}").alias(f"_n{i}") for i in range(len(ids))])
-    means = [(F.col(f"_sum{i}") / F.col(f"_n{i}"), c) for i, c in enumerate(ids)]
-    best = F.greatest(*[F.struct(m.alias("s"), F.lit(-c).alias("neg_id")) for m, c in means]) if len(ids) > 1 \
-        else F.struct(means[0][0].alias("s"), F.lit(-ids[0]).alias("neg_id"))
-    seed = [m for m, c in means if c == seed_id]
+    sets = scored.groupingSets([[cand], [key]], cand, key).agg(
+        F.grouping(cand).alias("_ex"), F.sum(score).alias("_sum"), F.count(score).alias("_n"), F.max(score).alias("_max"))
+    is_cand, is_ex = F.col("_ex") == 0, F.col("_ex") == 1
+    mean = F.when(is_cand, F.col("_sum") / F.col("_n"))
+    g = sets.agg(
+        F.max(F.when(is_cand & F.col(cand).isNotNull(), F.struct(mean.alias("s"), (-F.col(cand)).alias("neg_id")))).alias("_best"),
+        F.max(F.when(is_cand & (F.col(cand) == seed_id), mean)).alias("seed_score"),
+        F.count_if(is_cand & F.col(cand).isNotNull()).alias("num_candidates"),
+        F.count_if(is_ex).alias("n_examples"), F.count_if(is_ex & F.col("_max").isNotNull()).alias("_ne"),
+        F.count_if(is_ex & (F.col("_max") > 0)).alias("_solved"))
     ratio = lambda c: F.when(F.col("n_examples") > 0, F.col(c) / F.col("n_examples")).otherwise(F.lit(0.0))
     out = g.select(
-        (-best["neg_id"]).cast(scored.schema[cand].dataType).alias("best_candidate_id"), best["s"].alias("best_score"),
-        (seed[0] if seed else F.lit(None).cast("double")).alias("seed_score"),
-        F.lit(len(ids)).cast("long").alias("num_candidates"), "n_examples",
+        (-F.col("_best.neg_id")).cast(scored.schema[cand].dataType).alias("best_candidate_id"), F.col("_best.s").alias("best_score"),
+        "seed_score", "num_candidates", "n_examples",
         ratio("_ne").alias("frontier_score"), ratio("_solved").alias("solved_by_any"))
     out = (out.withColumn("improvement", F.col("best_score") - F.col("seed_score"))
               .withColumn("improvement_pct", F.when(F.col("seed_score") > 0,
                                                     (F.col("best_score") - F.col("seed_score")) / F.col("seed_score") * 100)
                           .otherwise(F.lit(0.0))))
     return out.withColumn("frontier_improvement", F.col("frontier_score") - F.col("best_score"))
+
+
+def report_document(acc: DataFrame, distribution: DataFrame, seed_id: int = 0, other_id: int = 1, cand: str = "candidate_id") -> DataFrame:
+    """One row with the sections of an evaluation report: both candidates' performance with their predicted and
+    actual label counts, the comparison and the summary. Percent strings come from exact counts."""
+    dist = distribution.groupBy(cand).agg(
+        *[F.max(F.when(F.col("label") == lab, F.col(side))).alias(f"{side}_{name}")
+          for lab, name in (("SUPPORTED", "supported"), ("NOT_SUPPORTED", "not_supported")) for side in ("predicted", "actual")])
+    rows = acc.join(dist, cand, "left")
+    fields = ["accuracy", "correct", "total", "predicted_supported", "predicted_not_supported", "actual_supported", "actual_not_supported"]
+    one = rows.agg(*[F.max(F.when(F.col(cand) == cid, F.col(f))).alias(f"{side}_{f}")
+                     for side, cid in (("seed", seed_id), ("optimized", other_id)) for f in fields])
+    gain = F.col("optimized_accuracy") - F.col("seed_accuracy")
+    lhs, rhs = F.col("optimized_correct") * F.col("seed_total"), F.col("seed_correct") * F.col("optimized_total")
+    one = one.withColumn("test_set_size", F.col("seed_total")).withColumn("accuracy_improvement", gain)
+    one = one.withColumn("accuracy_improvement_percentage", F.when(F.col("seed_accuracy") > 0, gain / F.col("seed_accuracy") * 100).otherwise(0.0))
+    return (one.withColumn("additional_correct_predictions", F.col("optimized_correct") - F.col("seed_correct"))
+               .withColumn("seed_pct", pct_string("seed_correct", "seed_total"))
+               .withColumn("optimized_pct", pct_string("optimized_correct", "optimized_total"))
+               .withColumn("relative_improvement", F.concat("optimized_pct", F.lit(" vs "), "seed_pct"))
+               .withColumn("improvement", pct_string(lhs - rhs, F.col("seed_total") * F.col("optimized_total")))
+               .withColumn("verdict", F.when(lhs > rhs, F.lit("IMPROVED")).when(lhs < rhs, F.lit("DEGRADED")).when(lhs == rhs, F.lit("NO_CHANGE"))))

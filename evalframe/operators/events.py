@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.operators.ordering import keyed_lag, running_count
+from evalframe.operators.ordering import keyed_lag, null_safe_join, running_count
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -76,7 +76,7 @@ def progress(events: DataFrame, run: str = "run_name", ts: str = "ts", tie: str
     """Running progress over invocations: processed so far, total, ``int(cur/total*100)``, every-n marker."""
     inv = events.filter(F.col("event_type") == "reflector_invocation")
     totals = inv.groupBy(run).agg(F.count(F.lit(1)).alias("total"))
-    r = running_count(inv, run, ts, tie, name="processed").join(totals, run)
+    r = null_safe_join(running_count(inv, run, ts, tie, name="processed"), totals, [run])
     return (r.withColumn("pct", F.floor(F.col("processed") / F.col("total") * 100).cast("int"))
              .withColumn("milestone", (F.col("processed") % every) == 0))
 

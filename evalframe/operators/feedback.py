@@ -3,7 +3,7 @@ reflection requests and their parsing, reflection batch summaries, error shifts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.code import ERROR_GUIDANCE, guidance, guidance_key
@@ -16,10 +16,9 @@ from evalframe.functions.constants import (CLAIMS_FEEDBACK_NOTES,
                                            REFLECTION_NO_CHANGE,
                                            REFLECTION_PRIORITY_MARKER)
 from evalframe.functions.text import preview, py_str, py_strip
-from evalframe.operators.ordering import global_row_number
+from evalframe.operators.ordering import global_row_number, null_safe_join
 
 COMPONENT = "system_prompt"
-SMALL_LIMIT = 100_000
 
 
 def require_nonempty(df: DataFrame, what: str = "feedback") -> DataFrame:
@@ -122,12 +121,11 @@ def extract_failures(detailed: DataFrame, order_cols: list, limit: int | None =
         if c not in cols:
             f = f.withColumn(c, F.lit(default))
     f = f.withColumn("guidance", F.concat(F.lit("Failed on problem "), py_str(F.col("task_id"))))
-    if limit and limit <= SMALL_LIMIT:
-        # early exit: per-partition top-n, one merge of n rows, then number those n rows
-        top = f.orderBy(*order_cols).limit(limit)
-        return top.withColumn("failure_idx", F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
-    f = global_row_number(f, order_cols, name="failure_idx")
-    return f.filter(F.col("failure_idx") <= limit) if limit else f
+    # only the keys are sorted and written; the rows meet their numbers in a join
+    numbered = global_row_number(f.select(*order_cols), order_cols, name="failure_idx")
+    if limit:
+        numbered = numbered.filter(F.col("failure_idx") <= limit)
+    return null_safe_join(f, numbered, list(order_cols))
 
 
 def reflection_requests(failures: DataFrame) -> DataFrame:
@@ -181,9 +179,11 @@ def reflection_list(events: DataFrame, reflections: DataFrame) -> DataFrame:
 
 
 def error_shift(gens: DataFrame, seed_id: int = 0, other_id: int = 1, cand: str = "candidate_id",
-                sample: str = "sample_idx") -> DataFrame:
-    """Failures per error type for the seed and another candidate, and the change (first samples)."""
-    g = gens.filter((F.col(sample) == 1) & ~F.coalesce(F.col("passed"), F.lit(False)))
+                sample: str = "sample_idx", first_sample: bool = False) -> DataFrame:
+    """Failures per error type for the seed and another candidate, and the change; of all samples,
+    or of each task's first one."""
+    g = gens.filter(~F.coalesce(F.col("passed"), F.lit(False)))
+    g = g.filter(F.col(sample) == 1) if first_sample else g
     p = g.groupBy("error_type").pivot(cand, [seed_id, other_id]).agg(F.count(F.lit(1)))
     p = (p.withColumn("seed_failures", F.coalesce(F.col(str(seed_id)), F.lit(0)).cast("long"))
           .withColumn("optimized_failures", F.coalesce(F.col(str(other_id)), F.lit(0)).cast("long")))

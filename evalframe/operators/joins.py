@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.constants import NEGATIVE
 from evalframe.functions.verdicts import label_match, parse_verdict
+from evalframe.operators.ordering import hashed_rows
 
-MAX_GRID_CANDIDATES = 10_000
+#: Candidate tables up to this many bytes are broadcast; larger ones are met in a salted join.
+BROADCAST_BYTES = 32 << 20
+GRID_SALTS = 64
 
 
 def evaluation_grid(examples: DataFrame, candidates: DataFrame, key: str = "candidate_id",
-                    max_candidates: int = MAX_GRID_CANDIDATES) -> DataFrame:
-    """Every candidate on every example.
-
-    The candidate ids are read once (a checked, bounded list) and each example row
-    is expanded by a generator; candidate attributes come back through a
-    broadcast equi-join of the same bounded table. No cartesian join operator.
+                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every candidate on every example; no cartesian join operator and no bound on the candidates.
+
+    Candidates are numbered, each example is expanded to all numbers by a generator, and an
+    equi-join on the number brings the attributes. The candidate table is measured: it is broadcast
+    up to ``broadcast_bytes``; beyond, the number is salted on both sides, so that few candidates
+    do not make few tasks. One row per candidate id: of rows that repeat an id the smallest is
+    taken; rows with a null id are left out. Example rows should be spread before, not after.
     """
-    # the broadcast side is the candidate table itself: bound its rows, not only its ids
-    # (one small job reads at most max_candidates + 1 key values)
-    keys = [r[0] for r in candidates.select(key).limit(max_candidates + 1).collect()]
-    if len(keys) > max_candidates:
-        raise ValueError(f"more than {max_candidates} candidate rows; evaluate them in groups")
-    ids = set(keys)
-    kt = candidates.schema[key].dataType
-    ids = sorted(i for i in ids if i is not None)
-    grid = examples.withColumn(key, F.explode(F.array(*[F.lit(i).cast(kt) for i in ids])))
-    extra = [c for c in candidates.columns if c != key]
-    if not extra:
-        return grid
-    return grid.join(F.broadcast(candidates), key, "inner")
+    other = [c for c in candidates.columns if c != key]
+    k = candidates.filter(F.col(key).isNotNull())
+    k = k.groupBy(key).agg(F.min(F.struct(*other)).alias("_ef_o")).select(key, "_ef_o.*") if other else k.distinct()
+    numbered, n = hashed_rows(k.withColumn("_ef_h", F.md5(F.col(key).cast("string"))), "_ef_h", key, name="_ef_no")
+    numbered = numbered.drop("_ef_h")
+    if not n:
+        return examples.withColumn(key, F.lit(None).cast(candidates.schema[key].dataType)).limit(0).select(
+            "*", *[F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in other])
+    grid = examples.withColumn("_ef_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    size = k.agg(F.sum(F.length(F.to_json(F.struct(*k.columns))))).first()[0] or 0
+    if size <= broadcast_bytes:
+        out = grid.join(F.broadcast(numbered), "_ef_no")
+    else:
+        salt = F.pmod(F.xxhash64(*examples.columns), F.lit(GRID_SALTS))
+        salted = numbered.withColumn("_ef_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_SALTS - 1).cast("long"))))
+        out = grid.withColumn("_ef_salt", salt).join(salted, ["_ef_no", "_ef_salt"]).drop("_ef_salt")
+    return out.drop("_ef_no").select(*examples.columns, key, *other)
 
 
 def score_outputs(outputs: DataFrame, examples: DataFrame, key: str = "claim_id",
@@ -53,17 +62,23 @@ def parse_and_score(responses: DataFrame, examples: DataFrame, key: str = "claim
                          examples, key=key)
 
 
+def text_key(col: str) -> Column:
+    """A 256-bit digest that stands for a long text in joins and groups; null for null."""
+    return F.sha2(F.col(col), 256)
+
+
 def attach_fewshot(examples: DataFrame, fewshot: DataFrame, example_key: str = "input",
                    fewshot_key: str = "input", id_col: str = "id", value_col: str = "few_shot") -> DataFrame:
     """Attach few-shots by exact key; duplicate few-shot keys: the row with the largest id wins.
 
     Adds ``fewshot_id``, ``few_shot`` and ``attached``. The per-key pick is a
-    partial (map-side) aggregate, so a hot key never gathers in one task.
+    partial (map-side) aggregate, so a hot key never gathers in one task. Keys are whole
+    texts: their digests are what is grouped, shuffled and compared.
     """
-    last = (fewshot.groupBy(F.col(fewshot_key).alias("_ef_key"))
+    last = (fewshot.groupBy(text_key(fewshot_key).alias("_ef_key"))
                    .agg(F.max_by(F.struct(F.col(id_col).alias("fewshot_id"), F.col(value_col).alias("few_shot")),
                                  F.col(id_col)).alias("_ef_fs")))
-    j = examples.join(last, examples[example_key] == last["_ef_key"], "left")
+    j = examples.withColumn("_ef_k", text_key(example_key)).join(last, F.col("_ef_k") == F.col("_ef_key"), "left").drop("_ef_k")
     return (j.withColumn("fewshot_id", F.col("_ef_fs.fewshot_id"))
              .withColumn("few_shot", F.col("_ef_fs.few_shot"))
              .withColumn("attached", F.col("_ef_key").isNotNull())
@@ -83,9 +98,9 @@ def merge_training(csv_rows: DataFrame, canonical: DataFrame, key: str = "input"
     values even when they are null (gated on the match flag); an unmatched row
     keeps its CSV values. One output row per CSV row.
     """
-    canon = (canonical.groupBy(F.col(key).alias("_ef_key"))
+    canon = (canonical.groupBy(text_key(key).alias("_ef_key"))
                       .agg(F.max_by(F.struct(*[F.col(c) for c in take]), F.col(canonical_id)).alias("_ef_c")))
-    j = csv_rows.join(canon, csv_rows[key] == canon["_ef_key"], "left")
+    j = csv_rows.withColumn("_ef_k", text_key(key)).join(canon, F.col("_ef_k") == F.col("_ef_key"), "left").drop("_ef_k")
     matched = F.col("_ef_key").isNotNull()
     for c in take:
         csv_val = F.col(c) if c in csv_rows.columns else F.lit(None)
@@ -110,3 +125,10 @@ def fill_claim_failures(grid: DataFrame, outputs: DataFrame, examples: DataFrame
     f = f.withColumn("predicted_label", F.when(F.col("failed"), F.lit(NEGATIVE)).otherwise(parse_verdict(F.col("response"))))
     s = score_outputs(f, examples, key=key)
     return s.withColumn("score", F.when(F.col("failed"), F.lit(float(failure_score))).otherwise(F.col("score")))
+
+
+def score_failed(outputs: DataFrame, examples: DataFrame, failure_score: float = 0.0, key: str = "claim_id") -> DataFrame:
+    """Score outputs that hold their failed calls (``failed``): those read ``NOT_SUPPORTED`` and score ``failure_score``."""
+    f = outputs.withColumn("predicted_label", F.when(F.col("failed"), F.lit(NEGATIVE)).otherwise(parse_verdict(F.col("response"))))
+    s = score_outputs(f, examples, key=key)
+    return s.withColumn("score", F.when(F.col("failed"), F.lit(float(failure_score))).otherwise(F.col("score")))

@@ -43,21 +43,18 @@ def label_distribution(scored: DataFrame, examples: DataFrame, by: str = "candid
     return pred_long.join(F.broadcast(act_long), "label")
 
 
-def _first_samples(gens: DataFrame, sample: str) -> DataFrame:
-    return gens.filter(F.col(sample) == 1) if sample in gens.columns else gens
-
-
-def pass_at_1(gens: DataFrame, by=("candidate_id",), sample: str = "sample_idx") -> DataFrame:
-    """passed / total over the first sample of each task."""
-    g = _first_samples(gens, sample)
+def pass_at_1(gens: DataFrame, by=("candidate_id",), sample: str | None = "sample_idx") -> DataFrame:
+    """passed / total over the first sample of each task; ``sample=None``: the table has one sample per task."""
+    g = gens.filter(F.col(sample) == 1) if sample else gens
     return (g.groupBy(*by).agg(F.count_if(F.coalesce(F.col("passed"), F.lit(False))).alias("passed"),
                                F.count(F.lit(1)).alias("total"))
              .withColumn("pass_at_1", _ratio("passed", "total")))
 
 
-def error_distribution(gens: DataFrame, by=("candidate_id",), sample: str = "sample_idx") -> DataFrame:
-    """Failures of the first sample per error type; a null error type is its own bucket."""
-    g = _first_samples(gens, sample).filter(~F.coalesce(F.col("passed"), F.lit(False)))
+def error_distribution(gens: DataFrame, by=("candidate_id",), sample: str = "sample_idx", first_sample: bool = False) -> DataFrame:
+    """Failures per error type, of all samples or of each task's first one; a null error type is its own bucket."""
+    g = gens.filter(~F.coalesce(F.col("passed"), F.lit(False)))
+    g = g.filter(F.col(sample) == 1) if first_sample else g
     return g.groupBy(*by, "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -61,7 +61,7 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rn",
     return number_rows(df, order_cols, name, num_partitions)[0]
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"_ef_r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
@@ -81,7 +81,7 @@ def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: Column | Non
     per_bucket = per_bucket.select(key, "_ef_b", F.coalesce(F.sum("_ef_bn").over(prior), F.lit(0)).alias("_ef_before"))
     inside = Window.partitionBy(key, "_ef_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_ef_in", F.sum("_ef_f").over(inside))
-    d = _null_safe_join(d, per_bucket, [key, "_ef_b"])
+    d = null_safe_join(d, per_bucket, [key, "_ef_b"])
     return d.withColumn(name, (F.col("_ef_before") + F.col("_ef_in")).cast("long")).drop(
         "_ef_b", "_ef_f", "_ef_in", "_ef_before")
 
@@ -95,32 +95,39 @@ def keyed_lag(df: DataFrame, key: str, ts: str, tie: str, value: str, name: str,
     last = last.select(key, "_ef_b", F.lag("_ef_last").over(wb).alias("_ef_prev_last"))
     inside = Window.partitionBy(key, "_ef_b").orderBy(ts, tie)
     d = d.withColumn("_ef_first", F.row_number().over(inside) == 1).withColumn(name, F.lag(value).over(inside))
-    d = _null_safe_join(d, last, [key, "_ef_b"])
+    d = null_safe_join(d, last, [key, "_ef_b"])
     return d.withColumn(name, F.when(F.col("_ef_first"), F.col("_ef_prev_last")).otherwise(F.col(name))).drop(
         "_ef_b", "_ef_first", "_ef_prev_last")
 
 
 def hashed_rows(df: DataFrame, hex_key: str, tie: str, name: str = "rn",
-                buckets: int | None = None) -> tuple[DataFrame, int]:
+                buckets: int | None = None, group: str | None = None) -> tuple[DataFrame, int]:
     """``number_rows`` for an order key that is a uniform hex digest (e.g. md5): no materialisation.
 
     The bucket of a row is a pure function of its key (leading hex digits), so
     buckets are equal-sized and deterministic without sampling or partition ids:
     per-bucket counts (one row per bucket) give the offsets, and a window
     partitioned by bucket numbers the rows inside it. A task rerun recomputes
-    the same numbers.
+    the same numbers. With ``group`` each group is numbered from 1 on its own.
     """
     spark = df.sparkSession
     n_b = buckets or _partitions(df, None)
     b = (F.conv(F.substring(F.col(hex_key), 1, 8), 16, 10).cast("long") * n_b / F.lit(1 << 32)).cast("int")
-    d = df.withColumn("_ef_b", b)
-    counts = sorted(d.groupBy("_ef_b").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per bucket
-    offsets, total = [], 0
-    for r in counts:
-        offsets.append((r["_ef_b"], total))
-        total += r["n"]
-    off = spark.createDataFrame(offsets, "_ef_b int, _ef_off long")
-    w = Window.partitionBy("_ef_b").orderBy(F.col(hex_key), F.col(tie))
-    out = d.withColumn("_ef_in", F.row_number().over(w)).join(F.broadcast(off), "_ef_b")
+    g = F.col(group) if group else F.lit(0)
+    d = df.withColumn("_ef_b", b).withColumn("_ef_g", g.cast("long"))
+    # one row per group and bucket, summed up where it is counted
+    counts = d.groupBy("_ef_g", "_ef_b").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_ef_g").orderBy("_ef_b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_ef_g", "_ef_b").orderBy(F.col(hex_key), F.col(tie))
+    if group:
+        off = counts.select("_ef_g", "_ef_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_ef_off"))
+        total = df.count()
+    else:
+        rows, total, offsets = sorted(counts.select("_ef_b", "n").collect()), 0, []
+        for r in rows:
+            offsets.append((0, r["_ef_b"], total))
+            total += r["n"]
+        off = F.broadcast(spark.createDataFrame(offsets, "_ef_g long, _ef_b int, _ef_off long"))
+    out = d.withColumn("_ef_in", F.row_number().over(w)).join(off, ["_ef_g", "_ef_b"])
     return (out.withColumn(name, (F.col("_ef_off") + F.col("_ef_in")).cast("long"))
-               .drop("_ef_b", "_ef_in", "_ef_off")), total
+               .drop("_ef_g", "_ef_b", "_ef_in", "_ef_off")), total

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from evalframe.operators.ordering import global_row_number, hashed_rows, number_rows
 
-SMALL_SAMPLE = 100_000
-
 
 def shuffle_key(id_col, seed) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(str(seed)), F.lit("|"), c.cast("string")))
+    # a null id is shuffled like the empty text
+    return F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def shuffled_with_total(df: DataFrame, id_col: str, seed, name: str = "rank") -> tuple[DataFrame, int]:
@@ -58,34 +57,35 @@ def split_fixed(df: DataFrame, id_col: str, sizes=(50, 50), seed=42,
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed=42) -> DataFrame:
-    """``n`` rows of the seeded shuffle, with their sample position.
-
-    Small n: ordered limit (per-partition top-n, then one merge of n rows).
-    Large n: exact positions, then a filter.
-    """
-    if n <= SMALL_SAMPLE:
-        from pyspark.sql import Window
-        k = df.withColumn("_ef_key", shuffle_key(id_col, seed))
-        top = k.orderBy("_ef_key", id_col).limit(n)
-        # n rows at most: ranking them in one partition is bounded
-        return top.withColumn("sample_rank", F.row_number().over(Window.orderBy("_ef_key", id_col))).drop("_ef_key")
+    """``n`` rows of the seeded shuffle, with their sample position (LONG)."""
     return shuffled(df, id_col, seed, name="sample_rank").filter(F.col("sample_rank") <= n)
 
 
 def head_pct(df: DataFrame, order_col: str, pct: float) -> DataFrame:
-    """First ``max(1, int(n * pct / 100))`` rows in ``order_col`` order (a unique key)."""
-    r, n = number_rows(df, [order_col], name="position")
+    """First ``max(1, int(n * pct / 100))`` rows in ``order_col`` order (a unique key) and their ``position``.
+
+    Only the keys are sorted and numbered; the rows are cut by the boundary key, a filter that
+    reaches the scan, and meet their positions in a join on the key.
+    """
+    keys, n = number_rows(df.select(order_col), [order_col], name="position")
     k = max(1, int(n * pct / 100))
-    return r.filter(F.col("position") <= k)
+    first = keys.filter(F.col("position") <= k)
+    if df.columns == [order_col]:
+        return first
+    bound = first.agg(F.max(order_col)).first()[0]
+    rows = df.filter(F.col(order_col) <= F.lit(bound)) if bound is not None else df
+    return rows.join(first, order_col).select(*df.columns, "position")
 
 
 def holdout(all_rows: DataFrame, train: DataFrame, key: str = "input") -> DataFrame:
     """Rows whose key text is not in train (their duplicates go too).
 
-    The train keys are made distinct first (a map-side partial aggregate), so a
-    text repeated across many train rows reaches the join once.
+    Digests of the texts are compared and shuffled, not the texts. The train keys are made
+    distinct first (a map-side partial aggregate), so a text repeated across many train rows
+    reaches the join once.
     """
-    return all_rows.join(train.select(key).distinct(), key, "left_anti")
+    seen = train.select(F.sha2(F.col(key), 256).alias("_ef_k")).distinct()
+    return all_rows.withColumn("_ef_k", F.sha2(F.col(key), 256)).join(seen, "_ef_k", "left_anti").drop("_ef_k")
 
 
 def assign_batches(df: DataFrame, order_col: str, k: int) -> DataFrame:
@@ -94,11 +94,11 @@ def assign_batches(df: DataFrame, order_col: str, k: int) -> DataFrame:
     return r.withColumn("batch", F.floor((F.col("position") - 1) / k).cast("long"))
 
 
-def batch_ranges(df: DataFrame, order_col: str, k: int) -> DataFrame:
-    """One row per batch with its 1-based ``[start, end]`` positions."""
-    b = assign_batches(df, order_col, k)
-    return b.groupBy("batch").agg(F.min("position").alias("start"), F.max("position").alias("end"),
-                                  F.count(F.lit(1)).alias("n"))
+def batch_ranges(df: DataFrame, k: int) -> DataFrame:
+    """One row per batch of ``k`` with its 1-based ``[start, end]`` positions and size: the row count settles them."""
+    n = df.count()
+    b = df.sparkSession.range(0, -(-n // k)).select(F.col("id").alias("batch"), (F.col("id") * k + 1).alias("start"))
+    return b.withColumn("end", F.least(F.col("start") + (k - 1), F.lit(n).cast("long"))).withColumn("n", F.col("end") - F.col("start") + 1)
 
 
 def remaining(examples: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,12 +120,11 @@ def minibatches(df: DataFrame, id_col: str, size: int, iters: int, seed=42) -> D
         return df.sparkSession.createDataFrame([], f"iteration long, {id_col} {df.schema[id_col].dataType.simpleString()}, slot long")
     m = math.ceil(n / size)
     epochs = math.ceil(iters / m)
-    e = df.select(id_col).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    e = e.withColumn("epoch", F.col("epoch").cast("long"))
+    e = df.select(id_col).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     e = e.withColumn("_ef_key", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("epoch").cast("string"),
                                                 F.lit("|"), F.col(id_col).cast("string"))))
-    r = global_row_number(e, ["epoch", "_ef_key", id_col], name="_ef_rn")
-    pos = F.col("_ef_rn") - F.col("epoch") * n - 1
+    r, _ = hashed_rows(e, "_ef_key", id_col, name="_ef_rn", group="epoch")
+    pos = F.col("_ef_rn") - 1
     r = r.withColumn("iteration", (F.col("epoch") * m + F.floor(pos / size)).cast("long")) \
          .withColumn("slot", (pos % size + 1).cast("long"))
     return r.filter(F.col("iteration") < iters).select("iteration", id_col, "slot")

@@ -103,7 +103,7 @@ def fewshot_validate(spark, sf_dir):
 
 def _claims_requests(fx: Fixture) -> DataFrame:
     ex = claims(fx).join(fx.view("v_claims").select("claim_id", "evidence"), "claim_id")
-    fs = fx.view("v_fewshot").withColumnRenamed("reply", "few_shot")
+    fs = fx.view("v_fewshot_gaps").withColumnRenamed("reply", "few_shot")
     att = joins.attach_fewshot(ex, fs, example_key="evidence", fewshot_key="input", value_col="few_shot")
     val = shaping.parse_fewshot(att, reply="few_shot")
     return shaping.build_requests(val, style="claims", items="items", system_prompt=SYSTEM_PROMPT)
@@ -146,8 +146,7 @@ def split_fixed(spark, sf_dir):
 @query
 def sample_n(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    return splits.sample_n(fx.view("v_claims").select("claim_id"), "claim_id", 100, SAMPLE_SEED) \
-        .withColumn("sample_rank", F.col("sample_rank").cast("long"))
+    return splits.sample_n(fx.view("v_claims").select("claim_id"), "claim_id", 100, SAMPLE_SEED)
 
 
 @query
@@ -167,7 +166,7 @@ def holdout(spark, sf_dir):
 @query
 def batch_ranges(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    return splits.batch_ranges(fx.view("v_claims").select("claim_id"), "claim_id", 50)
+    return splits.batch_ranges(fx.view("v_claims").select("claim_id"), 50)
 
 
 @query
@@ -199,7 +198,7 @@ def score_claims(spark, sf_dir):
 def attach_fewshot(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     a = joins.attach_fewshot(fx.view("v_claims").select("claim_id", "evidence"),
-                             fx.view("v_fewshot").withColumnRenamed("reply", "few_shot"),
+                             fx.view("v_fewshot_gaps").withColumnRenamed("reply", "few_shot"),
                              example_key="evidence", fewshot_key="input", value_col="few_shot")
     return a.select("claim_id", "fewshot_id", "few_shot", "attached")
 
@@ -211,8 +210,8 @@ def merge_training(spark, sf_dir):
     canon = (c.join(train_ids(fx), "claim_id")
               .select(F.col("claim_id").alias("id"), F.col("evidence").alias("input"),
                       normalize_gold(F.col("label_raw")).alias("answer"), F.col("claim_id").alias("context_id")))
-    csv = fx.view("v_fewshot").select("id", "input", F.col("reply").alias("few_shot"),
-                                      F.lit(None).cast("string").alias("answer"))
+    csv = fx.view("v_fewshot_gaps").select("id", "input", F.col("reply").alias("few_shot"),
+                                           F.lit(None).cast("string").alias("answer"))
     m = joins.merge_training(csv, canon, key="input", canonical_id="id", take=("answer", "context_id"))
     return m.select("id", "answer", "context_id", "matched", "few_shot")
 
@@ -249,9 +248,9 @@ def extract_code_query(spark, sf_dir):
 
 def classified(fx: Fixture) -> DataFrame:
     from evalframe.operators.scoring import classify_generations as classify
-    gens = fx.view("v_code_replies").select("reply_id", "entry_point", extract_code(F.col("reply")).alias("code"))
+    gens = fx.view("v_code_replies").select("reply_id", "task_id", extract_code(F.col("reply")).alias("code"))
     out = classify(gens, fx.view("v_code_tasks"), fx.view("v_exec_results"))
-    return out.select("reply_id", "entry_point", "passed", "error_type", "status")
+    return out.select("reply_id", "task_id", "entry_point", "passed", "error_type", "error_message", "status")
 
 
 @query
@@ -284,7 +283,12 @@ def pass_at_1(spark, sf_dir):
 
 @query
 def error_distribution(spark, sf_dir):
-    return metrics.error_distribution(Fixture(spark, sf_dir).view("v_generations"))
+    return metrics.error_distribution(Fixture(spark, sf_dir).view("v_generations"), first_sample=False)
+
+
+@query
+def error_distribution_first(spark, sf_dir):
+    return metrics.error_distribution(Fixture(spark, sf_dir).view("v_generations"), first_sample=True)
 
 
 @query
@@ -455,7 +459,12 @@ def reflection_summary(spark, sf_dir):
 
 @query
 def error_shift(spark, sf_dir):
-    return feedback.error_shift(Fixture(spark, sf_dir).view("v_generations"))
+    return feedback.error_shift(Fixture(spark, sf_dir).view("v_generations"), first_sample=False)
+
+
+@query
+def error_shift_first(spark, sf_dir):
+    return feedback.error_shift(Fixture(spark, sf_dir).view("v_generations"), first_sample=True)
 
 
 # ---------------------------------------------------------------- H: logs
@@ -541,21 +550,27 @@ def synthetic_claims(spark, sf_dir):
 
 # ---------------------------------------------------------------- E6: prediction through a user function
 def stub_model(batch):
-    """Deterministic stand-in for a model: the fixture reply for (claim, candidate)."""
-    from evalframe.plans.views import FIXTURE_REPLIES
-    idx = (batch["claim_id"] * 7 + batch["candidate_id"] * 5) % 14
-    return [FIXTURE_REPLIES[int(i)] for i in idx]
+    """Deterministic stand-in for a model: the fixture reply for (claim, candidate); calls that have not landed fail."""
+    from evalframe.plans.views import FIXTURE_REPLIES, QUOTING, reply_index
+    if ((batch["claim_id"] + batch["candidate_id"]) % 11 == 10).any():
+        raise RuntimeError("no reply")
+    out = []
+    for i, u in zip(reply_index(batch["claim_id"], batch["candidate_id"]), batch["user_content"]):
+        claim = u.split("\n\nContext:\n", 1)[0].removeprefix("Claim: ")
+        out.append(FIXTURE_REPLIES[int(i)] + (f"\n{claim}" if int(i) in QUOTING else ""))
+    return out
 
 
 @query
 def predict_stub(spark, sf_dir):
     from evalframe.operators.inference import predict
     fx = Fixture(spark, sf_dir)
-    grid = joins.evaluation_grid(claims(fx).select("claim_id", "input"), fx.view("v_candidates"))
-    req = shaping.build_requests(grid, style="claims", items="items", system_prompt="prompt_type")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the examples are dealt out before they are multiplied by the candidates
+    grid = joins.evaluation_grid(claims(fx).select("claim_id", "input").repartition(parts), fx.view("v_candidates"))
+    req = shaping.build_requests(grid, style="claims", items="items", system_prompt="prompt_type")
     out = predict(req, stub_model, keys=["claim_id", "candidate_id"], inputs=["system_content", "user_content"],
-                  parallelism=parts, batch_size=64)
+                  batch_size=16)
     return out.withColumn("predicted_label", parse_verdict(F.col("response")))
 
 
@@ -563,11 +578,11 @@ def predict_stub(spark, sf_dir):
 @query
 def stream_accuracy(spark, sf_dir):
     """Accuracy per candidate computed by a stream over the documents file (complete mode)."""
-    from evalframe.plans.views import responses_for
+    from evalframe.plans.views import landed, replies_for
     from evalframe.streaming.live import live_accuracy, parquet_stream, run_complete
     fx = Fixture(spark, sf_dir)
     docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
-    resp = responses_for(docs.select(F.col("doc_id").alias("claim_id")), fx.view("v_candidates"))
+    resp = landed(replies_for(docs, fx.view("v_candidates")))
     return run_complete(live_accuracy(resp, claims(fx).select("claim_id", "answer")), "stream_accuracy")
 
 
@@ -584,6 +599,16 @@ def stream_windows(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def stream_windows_append(spark, sf_dir):
+    """Tumbling windows in append mode: those that the watermark (1 h behind the latest event) has closed."""
+    from evalframe.streaming.live import parquet_stream, run_stream, token_windows
+    static = Fixture(spark, sf_dir)
+    ev = parquet_stream(spark, sf_dir, "events", static.table("events").schema)
+    log = Fixture(spark, sf_dir, overrides={"events": ev}).view("v_event_log")
+    return run_stream(token_windows(log, "tumbling", size="1 hour", delay="1 hour"), "win_append")
+
+
 @query
 def code_comparison(spark, sf_dir):
     """Seed (candidate 0) vs optimised (candidate 1) on pass@1/3/5 over all generations."""
@@ -618,6 +643,11 @@ def stub_coder(batch):
     return out
 
 
+def stub_coder_shared(batch):
+    """``stub_coder`` for tasks whose entry points repeat."""
+    return [r.replace(f"def f{int(t)}(", f"def f{int(t) % 5}(") for r, t in zip(stub_coder(batch), batch["task_id"])]
+
+
 def stub_runner(batch):
     """Deterministic stand-in for a sandboxed test run: passes iff the code returns 1."""
     import pandas as pd
@@ -639,15 +669,28 @@ def code_evaluation(spark, sf_dir):
     return r["pass_at_k"]
 
 
+@query
+def code_evaluation_feedback(spark, sf_dir):
+    """Feedback for every failed generation of the code flow (entry points shared by many tasks): task, error, message, text."""
+    from evalframe.plans.evaluate import code_feedback_of, evaluate_code
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    # entry points repeat: the stub's code defines f<task % 5>
+    tasks = fx.view("v_code_tasks").withColumn("entry_point", F.concat(F.lit("f"), (F.col("task_id") % 5).cast("string")))
+    r = evaluate_code(tasks, cands, stub_coder_shared, stub_runner, ks=(1, 2), parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")), batch_size=64)
+    f = code_feedback_of(r["generations"], only_failed=True)
+    return f.select("task_id", "candidate_id", "sample_idx", "entry_point", "execution_status", "error_type", "error_message", "feedback", "score")
+
+
 @query
 def stream_scored_append(spark, sf_dir):
     """Scored claims appended batch by batch by a resumable stream (batch-id keyed overwrite), read back."""
-    from evalframe.plans.views import responses_for
+    from evalframe.plans.views import landed, replies_for
     from evalframe.session import scratch_path
     from evalframe.streaming.live import parquet_stream, stream_score
     fx = Fixture(spark, sf_dir)
     docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
-    resp = responses_for(docs.select(F.col("doc_id").alias("claim_id")), fx.view("v_candidates"))
+    resp = landed(replies_for(docs, fx.view("v_candidates")))
     scored = joins.parse_and_score(resp, claims(fx).select("claim_id", "answer"))
     sink = scratch_path(spark, "scored")
     q = stream_score(scored.select("claim_id", "candidate_id", "predicted_label", "answer", "correct", "score"),
@@ -676,3 +719,141 @@ def reflection_flow(spark, sf_dir):
     r = reflection_log(d, stub_reflector, ["task_id", "candidate_id", "sample_idx"], run_name="reflection_run",
                        batch_size=64)
     return r["reflections"].select("failure_idx", "task_id", "error_type", "has_change", "change", "priority", "analysis")
+
+
+# ---------------------------------------------------------------- resume, logs, documents, flows
+@query
+def claims_evaluation_resumed(spark, sf_dir):
+    """The claims flow over half of the claims, then over all with the same output folder: one output per call."""
+    from evalframe.plans.evaluate import evaluate_claims
+    from evalframe.session import scratch_path
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    ex = claims(fx).select("claim_id", "input", "answer")
+    out = scratch_path(spark, "resumed")
+    evaluate_claims(ex.filter("claim_id % 2 = 0"), cands, stub_model, out_dir=out, batch_size=16)
+    r = evaluate_claims(ex, cands, stub_model, out_dir=out, batch_size=16)
+    return r["scored"].select("claim_id", "candidate_id", "failed", "predicted_label", "score")
+
+
+@query
+def event_log_roundtrip(spark, sf_dir):
+    """Runs written as log lines of the real shape (no run name in invocations), read back and audited."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import EVENT_SCHEMA, append_events, read_events
+    log = Fixture(spark, sf_dir).view("v_event_log").filter(F.col("run_name").isNotNull())
+    data = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA["data"].dataType}
+    inv = F.col("event_type") == "reflector_invocation"
+    data["run_name"] = F.when(~inv, F.col("run_name"))
+    data["task_id"] = F.when(inv, F.col("event_id").cast("string"))
+    data["error_type"] = F.when(inv, F.col("error_type"))
+    data["num_failures"] = F.when(F.col("event_type") == "batch_start", F.col("event_id"))
+    data["usage"] = F.when(inv, F.struct(F.lit(None).cast("long").alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens"), "total_tokens"))
+    rows = log.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "event_type",
+                      F.struct(*[c.alias(k) for k, c in data.items()]).alias("data"), F.col("run_name").alias("run"))
+    path = scratch_path(spark, "event-log")
+    # one folder per run, as the log has one file per run
+    rows.write.partitionBy("run").json(path)
+    back = read_events(spark, f"{path}/run=*")
+    back = back.withColumn("run_name", F.regexp_replace("run_name", "^run=", ""))
+    return events.token_rollup(back).select("run_name", "error_type", "n_calls", "sum_tokens", "level")
+
+
+@query
+def reflection_list(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return feedback.reflection_list(fx.view("v_event_log"), fx.view("v_reflections"))
+
+
+@query
+def comparison_documents(spark, sf_dir):
+    """Full comparison documents per run: baseline, optimised and few-shot blocks, written as JSON and read back long."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import comparison_documents as documents
+    from evalframe.sources.files import read_comparisons, write_report
+    c = compare.compare(run_metrics(Fixture(spark, sf_dir)), baseline="1")
+    path = scratch_path(spark, "comparisons")
+    write_report(documents(c, {"baseline": "1", "optimized": "2", "fewshot_optimized": "3"}), path)
+    r = read_comparisons(spark, f"{path}/run_id=*")
+    return r.select(F.regexp_replace("run_dir", "^run_id=", "").alias("run_id"), "test_size", "variant", "score", "correct", "total", "delta_absolute", "delta_percent")
+
+
+@query
+def report_doc(spark, sf_dir):
+    """Evaluation report of candidate 1 against the seed: performance, distributions, comparison and summary sections."""
+    fx = Fixture(spark, sf_dir)
+    s = scored_claims(fx)
+    return compare.report_document(metrics.accuracy(s), metrics.label_distribution(s, claims(fx)), seed_id=0, other_id=1)
+
+
+def stub_fewshot_model(batch):
+    """Deterministic stand-in for a few-shot model: a valid array, an invalid one, or no JSON."""
+    shapes = ('[{"input":"a","label":"SUPPORTED"},{"input":"b","label":"not_supported"}]', '[{"input":"a","label":"maybe"}]', "no json")
+    return [shapes[int(i) % 3] for i in batch["claim_id"]]
+
+
+@query
+def fewshot_flow(spark, sf_dir):
+    """Few-shot generation end to end: requests -> stub model -> validated items."""
+    from evalframe.plans.evaluate import generate_fewshots
+    r = generate_fewshots(claims(Fixture(spark, sf_dir)).select("claim_id", "input", "answer"), stub_fewshot_model)
+    return r.select("claim_id", "answer", "valid", "n_items", "stored")
+
+
+@query
+def training_set_flow(spark, sf_dir):
+    """Training rows: shaped claims, their split, and the validated few-shots of their text."""
+    from evalframe.plans.evaluate import training_set
+    fx = Fixture(spark, sf_dir)
+    ex = fx.view("v_claims").select("claim_id", F.col("evidence").alias("input"), normalize_gold(F.col("label_raw")).alias("answer"))
+    t = training_set(ex, fx.view("v_fewshot_gaps").withColumnRenamed("reply", "few_shot"), fraction=0.8, seed=SPLIT_SEED)
+    return t.select("claim_id", "answer", "split", "attached", F.size("items").alias("n_items"))
+
+
+# ---------------------------------------------------------------- A: file sources, written in their own shape and read back
+@query
+def claims_file_roundtrip(spark, sf_dir):
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import read_claims
+    c = Fixture(spark, sf_dir).view("v_claims")
+    path = scratch_path(spark, "claims")
+    c.select(F.col("claim_id").cast("string").alias("id"), "claim", "evidence", F.col("label_raw").alias("label"),
+             F.when(F.col("claim_id") % 4 == 0, "test").otherwise("train").alias("split")).write.partitionBy("split").json(path)
+    r = read_claims(spark, path, split="split=train").unionByName(read_claims(spark, path, split="split=test"))
+    return r.select("id", F.md5("claim").alias("claim_md5"), F.md5("evidence").alias("evidence_md5"), "label")
+
+
+@query
+def code_tasks_file_roundtrip(spark, sf_dir):
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import read_code_tasks
+    path = scratch_path(spark, "tasks")
+    Fixture(spark, sf_dir).view("v_code_tasks").select(F.col("task_id").cast("string").alias("task_id"), "prompt", "test", "entry_point").write.json(path)
+    return read_code_tasks(spark, path).select("task_id", "prompt", "test", "entry_point", "canonical_solution")
+
+
+@query
+def runs_roundtrip(spark, sf_dir):
+    """Run configs, one file per run in its folder, read as one table with their candidate scores."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import candidate_scores_of_runs, read_runs
+    path = scratch_path(spark, "runs")
+    m = run_metrics(Fixture(spark, sf_dir))
+    score = (F.col("correct") / F.col("total")).alias("score")
+    docs = m.select("run_id", F.concat(F.lit("candidate_"), F.col("variant")).alias("k"), score).groupBy("run_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "score")))).alias("all_candidate_scores"))
+    docs.repartition("run_id").write.partitionBy("run_id").json(path)
+    s = candidate_scores_of_runs(read_runs(spark, f"{path}/run_id=*"))
+    return s.select(F.regexp_replace("run_dir", "^run_id=", "").alias("run_id"), "candidate_id", "score")
+
+
+@query
+def metrics_log_roundtrip(spark, sf_dir):
+    """Metric points appended to a log, read back, and the latest value of each metric."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import append_metrics, read_metrics
+    path = scratch_path(spark, "metrics")
+    m = Fixture(spark, sf_dir).view("v_metrics").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "name", "value", "step")
+    append_metrics(m.filter("step % 2 = 0"), path)
+    append_metrics(m.filter("step % 2 <> 0"), path)
+    return read_metrics(spark, path).groupBy("name").agg(F.count("*").alias("n_points"), F.max("step").alias("last_step"), F.min("value").alias("least"), F.max("value").alias("greatest"))

@@ -1,5 +1,7 @@
-"""End-to-end evaluation flows built from the operators (the three entry points of the source).
+"""End-to-end flows built from the operators.
 
+* ``training_set``: raw examples -> shaped -> split -> few-shots attached (the input of a prompt search).
+* ``generate_fewshots``: claims -> few-shot requests -> model -> validated few-shots.
 * ``evaluate_claims``: every candidate prompt on every claim example -> model
   outputs (persisted once) -> verdicts -> scores -> accuracy, label
   distributions, comparison with the seed prompt.
@@ -11,7 +13,8 @@
 
 Model and scorer calls are user functions run by ``predict`` / ``score_with``;
 everything else is DataFrame work. Outputs are written once under the shared
-checkpoint folder (or ``out_dir``) before any metric reads them.
+checkpoint folder (or ``out_dir``) before any metric reads them. A flow that is run again
+with the same ``out_dir`` calls the model only for keys that have no output there and appends.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.functions.code import extract_code
-from evalframe.operators import compare, feedback, inference, joins, metrics, scoring, shaping
+from evalframe.functions.code import extract_code, status_of
+from evalframe.operators import compare, feedback, inference, joins, metrics, scoring, shaping, splits
 from evalframe.session import scratch_path
 
 EXEC_RESULT = T.StructType([T.StructField("passed", T.BooleanType()), T.StructField("error_type", T.StringType()),
@@ -32,26 +35,71 @@ def _out(spark, out_dir: str | None, name: str) -> str:
     return f"{out_dir.rstrip('/')}/{name}" if out_dir else scratch_path(spark, name)
 
 
+def resumed(requests: DataFrame, fn, keys: list[str], path: str, partition_by=(), **how) -> DataFrame:
+    """Outputs of ``fn`` for all requests: those that lie at ``path``, and new ones for the keys that have none (appended)."""
+    spark = requests.sparkSession
+    schema = T.StructType([requests.schema[k] for k in keys] + [T.StructField(how.get("output", "response"), T.StringType()),
+                                                                T.StructField("failed", T.BooleanType()), T.StructField("error", T.StringType())])
+    done = inference.landed_outputs(spark, path, schema)
+    out = inference.predict(splits.remaining(requests, done, keys), fn, keys=keys, **how)
+    return inference.persist_outputs(out, path, partition_by)
+
+
+def training_set(examples: DataFrame, fewshots: DataFrame | None = None, fraction: float = 0.8, seed=42, key: str = "claim_id",
+                 text: str = "input", k: int | None = None) -> DataFrame:
+    """Shaped examples with their split and, where a few-shot row has the same text, its validated items.
+
+    ``examples``: (key, text, answer); ``fewshots``: (id, input, few_shot). ``k`` keeps the first k items of
+    each few-shot. Examples whose few-shot does not validate keep none.
+    """
+    out = splits.split_fraction(examples, key, fraction, seed).drop("rank")
+    none = "array<struct<input:string,label:string>>"
+    if fewshots is None:
+        return out.withColumn("items", F.lit(None).cast(none)).withColumn("attached", F.lit(False))
+    att = joins.attach_fewshot(out, fewshots, example_key=text, fewshot_key="input", value_col="few_shot")
+    val = shaping.parse_fewshot(att, reply="few_shot")
+    items = F.when(F.col("valid"), F.slice("items", 1, k) if k else F.col("items"))
+    return val.withColumn("items", items).select(*out.columns, "items", "attached")
+
+
+def generate_fewshots(examples: DataFrame, model_fn, key: str = "claim_id", out_dir: str | None = None, batch_size: int = 8,
+                      parallelism: int | None = None, factory: bool = False) -> DataFrame:
+    """Few-shot rows (key, input, answer, valid, n_items, stored, failed) for every example (key, input, answer).
+
+    ``model_fn`` gets a pandas batch with ``request``. ``stored`` is the validated JSON array, or the reply
+    wrapped with the reason why it is not one. Resumable by ``out_dir``.
+    """
+    spread = examples.repartition(parallelism) if parallelism else examples
+    req = shaping.fewshot_requests(spread)
+    out = resumed(req.select(key, "request"), model_fn, [key], _out(examples.sparkSession, out_dir, "fewshot_replies"),
+                  inputs=["request"], output="reply", batch_size=batch_size, factory=factory)
+    got = shaping.parse_fewshot(out.join(examples.select(key, "input", "answer"), key))
+    return got.select(key, "input", "answer", "valid", "n_items", "stored", "failed")
+
+
 def evaluate_claims(examples: DataFrame, candidates: DataFrame, model_fn, key: str = "claim_id",
                     out_dir: str | None = None, batch_size: int = 32, parallelism: int | None = None,
-                    failure_score: float = 0.0, factory: bool = False, seed_id: int = 0) -> dict[str, DataFrame]:
+                    failure_score: float = 0.0, factory: bool = False, seed_id: int = 0, raw: str = "few_shot_raw",
+                    whole_call: bool = False) -> dict[str, DataFrame]:
     """Claims evaluation.
 
-    ``examples``: (key, input, answer[, items]) where ``items`` are attached
-    few-shots; ``candidates``: (candidate_id, system_prompt). ``model_fn`` gets a
-    pandas batch with ``system_content`` / ``user_content`` and returns reply texts.
+    ``examples``: (key, input, answer[, items][, few_shot_raw]) where ``items`` are attached
+    few-shots and ``raw`` names the column of few-shots kept as text; ``candidates``:
+    (candidate_id, system_prompt). ``model_fn`` gets a pandas batch with ``system_content`` /
+    ``user_content`` and returns reply texts. Examples are dealt out before they are multiplied
+    by the candidates, so their texts are shuffled once.
     """
     spark = examples.sparkSession
-    cols = [key, "input"] + (["items"] if "items" in examples.columns else [])
-    grid = joins.evaluation_grid(examples.select(*cols), candidates.select("candidate_id", "system_prompt"))
-    req = shaping.build_requests(grid, style="claims", items="items", system_prompt="system_prompt")
-    out = inference.predict(req, model_fn, keys=[key, "candidate_id"], inputs=["system_content", "user_content"],
-                            batch_size=batch_size, parallelism=parallelism, factory=factory)
+    cols = [key, "input"] + [c for c in ("items", raw) if c in examples.columns]
+    spread = examples.select(*cols)
+    spread = spread.repartition(parallelism) if parallelism else spread
+    grid = joins.evaluation_grid(spread, candidates.select("candidate_id", "system_prompt"))
+    req = shaping.build_requests(grid, style="claims", items="items", raw=raw, system_prompt="system_prompt")
     # one folder per candidate: reading one candidate's outputs prunes the others
-    out = inference.persist_outputs(out, _out(spark, out_dir, "claims_outputs"), partition_by=["candidate_id"])
-    landed = out.filter(~F.col("failed"))
-    scored = joins.fill_claim_failures(grid.select(key, "candidate_id"), landed, examples.select(key, "answer"),
-                                       failure_score=failure_score, key=key)
+    out = resumed(req, model_fn, [key, "candidate_id"], _out(spark, out_dir, "claims_outputs"), partition_by=["candidate_id"],
+                  inputs=["system_content", "user_content"], batch_size=batch_size, factory=factory, whole_call=whole_call)
+    # the outputs hold one row per grid key, failed calls included
+    scored = joins.score_failed(out, examples.select(key, "answer"), failure_score=failure_score, key=key)
     acc = metrics.accuracy(scored)
     dist = metrics.label_distribution(scored, examples)
     cmp = compare.verdict(compare.compare(acc.withColumn("run_id", F.lit("claims")).withColumnRenamed("candidate_id", "variant"),
@@ -60,65 +108,78 @@ def evaluate_claims(examples: DataFrame, candidates: DataFrame, model_fn, key: s
             "comparison": cmp.withColumnRenamed("variant", "candidate_id").drop("run_id")}
 
 
+def _unknown(e: Exception) -> dict:
+    return {"passed": False, "error_type": "UnknownError", "error_message": inference.describe(e), "traceback": None}
+
+
 def evaluate_code(tasks: DataFrame, candidates: DataFrame, model_fn, scorer_fn, ks=(1, 3, 5),
                   out_dir: str | None = None, batch_size: int = 16, parallelism: int | None = None,
-                  factory: bool = False, seed_id: int = 0, other_id: int = 1) -> dict[str, DataFrame]:
+                  factory: bool = False, seed_id: int = 0, other_id: int = 1, failure_score: float = 0.0,
+                  whole_call: bool = False) -> dict[str, DataFrame]:
     """Code evaluation with ``max(ks)`` samples per (task, candidate).
 
-    ``tasks``: (task_id, prompt, entry_point, test); ``candidates``: (candidate_id,
-    system_prompt). ``model_fn`` returns replies; ``scorer_fn(batch) -> pandas
-    DataFrame(passed, error_type, error_message, traceback)`` scores (code, test)
-    rows that still need execution.
+    ``tasks``: (task_id, prompt, entry_point, test), one row per task_id; entry points may repeat.
+    ``candidates``: (candidate_id, system_prompt). ``model_fn`` returns replies; ``scorer_fn(batch) ->
+    pandas DataFrame(passed, error_type, error_message, traceback)`` scores (code, test)
+    rows that still need execution; a scorer that raises makes its row an ``UnknownError``.
+    ``generations`` carries code, entry point, prompt, message and traceback, so feedback,
+    failures and reflection follow from it. Failed calls score ``failure_score``.
     """
     spark = tasks.sparkSession
     n = max(ks)
+    keys = ["task_id", "candidate_id", "sample_idx"]
     t = tasks.select("task_id", "prompt", "entry_point", "test")
-    grid = joins.evaluation_grid(t, candidates.select("candidate_id", "system_prompt"))
+    spread = t.repartition(parallelism) if parallelism else t
+    grid = joins.evaluation_grid(spread, candidates.select("candidate_id", "system_prompt"))
     # the sample index is part of the key: the feature asks for n samples per pair
     grid = grid.withColumn("sample_idx", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
     req = shaping.build_requests(grid, style="code", input_col="prompt", items="items", system_prompt="system_prompt")
-    out = inference.predict(req, model_fn, keys=["task_id", "candidate_id", "sample_idx"],
-                            inputs=["system_content", "user_content", "sample_idx"], batch_size=batch_size,
-                            parallelism=parallelism, factory=factory)
-    out = inference.persist_outputs(out, _out(spark, out_dir, "code_outputs"), partition_by=["candidate_id"])
+    out = resumed(req, model_fn, keys, _out(spark, out_dir, "code_outputs"), partition_by=["candidate_id"],
+                  inputs=["system_content", "user_content", "sample_idx"], batch_size=batch_size, factory=factory, whole_call=whole_call)
+    # the task's fields come along once, by its own key
     gens = out.join(t, "task_id").withColumn("code", extract_code(F.col("response")))
-    todo = scoring.needs_execution(gens.select("task_id", "candidate_id", "sample_idx", "entry_point", "code"),
-                                   t.select("entry_point", "test"))
-    results = inference.score_with(todo, scorer_fn, keys=["task_id", "candidate_id", "sample_idx"],
-                                   inputs=["code", "test"], result_schema=EXEC_RESULT, parallelism=parallelism)
-    results = inference.persist_outputs(results, _out(spark, out_dir, "code_results"))
-    gens = gens.withColumn("reply_id", F.struct("task_id", "candidate_id", "sample_idx"))
-    res = results.select(F.struct("task_id", "candidate_id", "sample_idx").alias("reply_id"), "passed", "error_type")
-    classified = scoring.classify_generations(gens.select("reply_id", "task_id", "candidate_id", "sample_idx",
-                                                          "entry_point", "code", "failed"),
-                                              t.select("entry_point", "test"), res)
-    classified = inference.fill_llm_failures(classified).drop("reply_id")
+    path = _out(spark, out_dir, "code_results")
+    schema = T.StructType([gens.schema[k] for k in keys] + EXEC_RESULT.fields)
+    todo = scoring.needs_execution(gens.filter(~F.col("failed")))
+    todo = splits.remaining(todo, inference.landed_outputs(spark, path, schema), keys)
+    results = inference.score_with(todo, scorer_fn, keys=keys, inputs=["code", "test"], result_schema=EXEC_RESULT, on_error=_unknown)
+    results = inference.persist_outputs(results, path).withColumn("_ef_ran", F.lit(True))
+    classified = scoring.classify(gens.join(results, keys, "left"), F.col("_ef_ran").isNotNull()).drop("_ef_ran", "test")
+    classified = inference.fill_llm_failures(classified)
+    classified = classified.withColumn("score", F.when(F.col("failed"), F.lit(float(failure_score))).when(F.col("passed"), 1.0).otherwise(0.0))
     pk = metrics.pass_at_k(classified, ks=ks)
     return {"outputs": out, "generations": classified, "pass_at_k": pk,
-            "errors": metrics.error_distribution(classified),
+            "errors": metrics.error_distribution(classified, first_sample=True),
             "comparison": compare.compare_pass_at_k(pk, seed_id, other_id, ks)}
 
 
+def code_feedback_of(generations: DataFrame, only_failed: bool = False) -> DataFrame:
+    """Reflection feedback (11 fields) from the ``generations`` of ``evaluate_code``."""
+    g = generations.filter(~F.col("passed")) if only_failed else generations
+    return feedback.code_feedback(g.withColumn("exec_status", status_of(F.col("passed"), F.col("error_type"))))
+
+
 def reflection_log(detailed: DataFrame, reflector_fn, order_cols: list, run_name: str, limit: int | None = None,
-                   batch_size: int = 8, factory: bool = False) -> dict[str, DataFrame]:
+                   batch_size: int = 8, factory: bool = False, out_dir: str | None = None, model: str | None = None,
+                   log_path: str | None = None) -> dict[str, DataFrame]:
     """Failures -> reflection requests -> the caller's reflector -> parsed suggestions and log events.
 
-    ``reflector_fn`` gets a pandas batch with ``request`` and returns the reflector texts.
+    ``reflector_fn`` gets a pandas batch with ``request`` and returns the reflector texts. They are
+    written once before anything reads them. ``events`` has the shape of the event log
+    (timestamp, event_type, data): a batch start, one invocation per failure, a batch end; with
+    ``log_path`` it is appended there, in a folder of the run's own.
     """
+    from evalframe.sources import files
+    spark = detailed.sparkSession
     fails = feedback.extract_failures(detailed, order_cols, limit)
     req = feedback.reflection_requests(fails)
-    out = inference.predict(req, reflector_fn, keys=["failure_idx"], inputs=["request"], output="reflector_output",
-                            batch_size=batch_size, factory=factory)
+    out = resumed(req, reflector_fn, ["failure_idx"], _out(spark, out_dir, "reflections"), inputs=["request"],
+                  output="reflector_output", batch_size=batch_size, factory=factory)
     parsed = feedback.parse_reflections(out.join(fails, "failure_idx"))
-    invocations = parsed.select(F.lit("reflector_invocation").alias("event_type"), F.lit(run_name).alias("run_name"),
-                                "failure_idx", F.col("task_id").cast("string").alias("task_id"), "entry_point",
-                                "error_type", "error_message", "reflector_output")
-    counts = fails.agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.select(F.explode(F.array(
-        F.struct(F.lit("batch_start").alias("event_type"), F.col("n").alias("num_failures"), F.lit(None).cast("long").alias("num_processed")),
-        F.struct(F.lit("batch_complete").alias("event_type"), F.lit(None).cast("long").alias("num_failures"),
-                 F.col("n").alias("num_processed")))).alias("e")).select("e.*").withColumn("run_name", F.lit(run_name))
     summary = parsed.agg(F.count(F.lit(1)).alias("failures_found"),
                          F.count_if(F.col("reflector_output").isNotNull()).alias("reflections_generated"),
                          F.count_if(F.col("has_change")).alias("suggestions")).withColumn("run_name", F.lit(run_name))
-    return {"failures": fails, "reflections": parsed, "events": invocations, "batch_events": bounds, "summary": summary}
+    events = files.reflection_events(parsed, summary, run_name, model)
+    if log_path:
+        files.append_events(events, f"{log_path.rstrip('/')}/{run_name}")
+    return {"failures": fails, "reflections": parsed, "events": events, "summary": summary}

@@ -91,7 +91,7 @@ def extract_cte(src: str, keys: str, reply: str = "reply", name: str = "v_code")
   FROM {name}_4)"""
 
 
-EXTRACT = extract_cte("v_code_replies", "reply_id, entry_point")
+EXTRACT = extract_cte("v_code_replies", "reply_id, task_id, entry_point")
 
 EXEC = f"""v_st AS (SELECT *, {STATUS} AS status FROM v_exec_details)"""
 
@@ -150,7 +150,7 @@ SELECT id, valid, CASE WHEN valid THEN CAST(json_array_length(j) AS INTEGER) END
             lambda x: upper({S.strip("json_extract_string(x, '$.label')")})), ',') END AS labels
 FROM v"""
 ORACLE_BODY["requests_claims"] = f"""WITH {CLAIMS},
-last AS (SELECT input AS k, arg_max(reply, id) AS few_shot FROM v_fewshot GROUP BY input),
+last AS (SELECT input AS k, arg_max(reply, id) AS few_shot FROM v_fewshot_gaps GROUP BY input),
 src AS (SELECT f.claim_id, f.input, l.few_shot FROM v_fmt f LEFT JOIN last l ON f.evidence = l.k),
 v AS ({_fewshot_valid('few_shot')}),
 r AS (SELECT claim_id, input, CASE WHEN valid AND json_array_length(j) > 0 THEN array_to_string(list_transform(json_extract(j, '$[*]'),
@@ -207,14 +207,14 @@ ORACLE_BODY["evaluation_grid"] = "SELECT c.claim_id, k.candidate_id, k.prompt_ty
 ORACLE_BODY["score_claims"] = f"""WITH {CLAIMS}, {SCORED}
 SELECT claim_id, candidate_id, predicted_label, answer, correct, score FROM v_sc"""
 ORACLE_BODY["attach_fewshot"] = """
-WITH last AS (SELECT input AS k, arg_max(id, id) AS fewshot_id, arg_max(reply, id) AS few_shot FROM v_fewshot GROUP BY input)
+WITH last AS (SELECT input AS k, arg_max(id, id) AS fewshot_id, arg_max(reply, id) AS few_shot FROM v_fewshot_gaps GROUP BY input)
 SELECT c.claim_id, l.fewshot_id, l.few_shot, l.k IS NOT NULL AS attached FROM v_claims c LEFT JOIN last l ON c.evidence = l.k"""
 ORACLE_BODY["merge_training"] = f"""WITH {TRAIN},
 canon AS (SELECT c.evidence AS k, arg_max({S.gold('c.label_raw')}, c.claim_id) AS answer, max(c.claim_id) AS context_id
           FROM v_claims c JOIN v_train t ON c.claim_id = t.claim_id GROUP BY c.evidence)
 SELECT f.id, CASE WHEN k.k IS NOT NULL THEN k.answer ELSE NULL END AS answer,
        CASE WHEN k.k IS NOT NULL THEN k.context_id ELSE NULL END AS context_id, k.k IS NOT NULL AS matched, f.reply AS few_shot
-FROM v_fewshot f LEFT JOIN canon k ON f.input = k.k"""
+FROM v_fewshot_gaps f LEFT JOIN canon k ON f.input = k.k"""
 ORACLE_BODY["fill_failures"] = f"""WITH {CLAIMS},
 g AS (SELECT c.claim_id, k.candidate_id FROM v_claims c CROSS JOIN v_candidates k),
 j AS (SELECT g.claim_id, g.candidate_id, r.response AS resp, r.claim_id IS NULL AS failed
@@ -234,14 +234,17 @@ FROM v_generations WHERE NOT passed"""
 ORACLE_BODY["parse_verdicts"] = f"SELECT claim_id, candidate_id, response, {S.verdict('response')} AS predicted_label FROM v_responses"
 ORACLE_BODY["extract_code"] = f"WITH {EXTRACT} SELECT reply_id, entry_point, code FROM v_code"
 ORACLE_BODY["classify_generations"] = f"""WITH {EXTRACT},
-j AS (SELECT c.reply_id, c.entry_point, c.code, t.test, r.passed AS rp, r.error_type AS re, r.reply_id IS NOT NULL AS has
-      FROM v_code c LEFT JOIN v_code_tasks t ON c.entry_point = t.entry_point LEFT JOIN v_exec_results r ON c.reply_id = r.reply_id),
-k AS (SELECT reply_id, entry_point,
+j AS (SELECT c.reply_id, c.task_id, t.entry_point, c.code, t.test, r.passed AS rp, r.error_type AS re, r.error_message AS rm, r.reply_id IS NOT NULL AS has
+      FROM v_code c LEFT JOIN v_code_tasks t ON c.task_id = t.task_id LEFT JOIN v_exec_results r ON c.reply_id = r.reply_id),
+k AS (SELECT reply_id, task_id, entry_point,
+        CASE WHEN coalesce(test, '') = '' THEN 'No test code provided for this problem'
+             WHEN NOT contains(coalesce(code, ''), coalesce(entry_point, '')) THEN 'Function ' || chr(39) || entry_point || chr(39) || ' not found in generated code'
+             WHEN NOT has THEN 'No execution result' ELSE rm END AS error_message,
         CASE WHEN coalesce(test, '') = '' OR NOT contains(coalesce(code, ''), coalesce(entry_point, '')) OR NOT has THEN false ELSE rp END AS passed,
         CASE WHEN coalesce(test, '') = '' THEN 'NoTestCode' WHEN NOT contains(coalesce(code, ''), coalesce(entry_point, '')) THEN 'MissingFunction'
              WHEN NOT has THEN 'UnknownError' ELSE re END AS error_type
       FROM j)
-SELECT reply_id, entry_point, passed, error_type, {STATUS} AS status FROM k"""
+SELECT reply_id, task_id, entry_point, passed, error_type, error_message, {STATUS} AS status FROM k"""
 ORACLE_BODY["status_taxonomy"] = f"SELECT task_id, candidate_id, sample_idx, error_type, {STATUS} AS status FROM v_generations"
 
 # ---------------------------------------------------------------- F
@@ -259,6 +262,9 @@ SELECT candidate_id, count_if(coalesce(passed, false)) AS passed, count(*) AS to
        CASE WHEN count(*) > 0 THEN count_if(coalesce(passed, false)) / count(*) ELSE CAST(0.0 AS DOUBLE) END AS pass_at_1
 FROM v_generations WHERE sample_idx = 1 GROUP BY candidate_id"""
 ORACLE_BODY["error_distribution"] = """
+SELECT candidate_id, error_type, count(*) AS n FROM v_generations WHERE NOT coalesce(passed, false)
+GROUP BY candidate_id, error_type"""
+ORACLE_BODY["error_distribution_first"] = """
 SELECT candidate_id, error_type, count(*) AS n FROM v_generations WHERE sample_idx = 1 AND NOT coalesce(passed, false)
 GROUP BY candidate_id, error_type"""
 ORACLE_BODY["pass_at_k"] = """
@@ -397,6 +403,10 @@ SELECT e.run_name, count(*) AS failures_found, count_if(r.event_id IS NOT NULL A
 FROM v_event_log e LEFT JOIN v_pr3 r ON e.event_id = r.event_id LEFT JOIN v_reflections o ON e.event_id = o.event_id
 WHERE e.event_type = 'reflector_invocation' GROUP BY e.run_name"""
 ORACLE_BODY["error_shift"] = """
+SELECT error_type, count_if(candidate_id = 0) AS seed_failures, count_if(candidate_id = 1) AS optimized_failures,
+       count_if(candidate_id = 1) - count_if(candidate_id = 0) AS change
+FROM v_generations WHERE NOT coalesce(passed, false) GROUP BY error_type"""
+ORACLE_BODY["error_shift_first"] = """
 SELECT error_type, count_if(candidate_id = 0) AS seed_failures, count_if(candidate_id = 1) AS optimized_failures,
        count_if(candidate_id = 1) - count_if(candidate_id = 0) AS change
 FROM v_generations WHERE sample_idx = 1 AND NOT coalesce(passed, false) GROUP BY error_type"""
@@ -480,7 +490,11 @@ SELECT doc_id AS id, 'Claim: ' || {_sentence_sql('claim', 6, 14)} || chr(10) ||
 FROM documents"""
 
 # ---------------------------------------------------------------- E6, H6, H7
-ORACLE_BODY["predict_stub"] = f"SELECT claim_id, candidate_id, response, false AS failed, {S.verdict('response')} AS predicted_label FROM v_responses"
+ORACLE_BODY["predict_stub"] = f"""
+SELECT claim_id, candidate_id, CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END AS response,
+       (claim_id + candidate_id) % 11 = 10 AS failed,
+       {S.verdict("CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END")} AS predicted_label,
+       CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN 'RuntimeError: no reply' END AS error FROM v_replies"""
 ORACLE_BODY["stream_accuracy"] = ORACLE_BODY["accuracy"]
 ORACLE_BODY["stream_windows"] = """
 WITH e AS (SELECT run_name, epoch_us(ts) AS us, total_tokens FROM v_event_log),
@@ -518,8 +532,10 @@ SELECT *, optimized_pass_at_1 - seed_pass_at_1 AS absolute_improvement,
        {S.pct_string('(optimized_passed * seed_total - seed_passed * optimized_total)', '(seed_total * optimized_total)', signed=True)} AS improvement
 FROM a"""
 
-# the evaluation flow with the fixture's reply table as its model must equal the flagship comparison
-ORACLE_BODY["claims_evaluation"] = ORACLE_BODY["candidate_comparison"]
+# the evaluation flow with the fixture's reply table as its model: the flagship comparison over all calls, failed ones read as ''
+ORACLE_BODY["claims_evaluation"] = ORACLE_BODY["candidate_comparison"].replace("FROM v_responses r LEFT JOIN", """FROM (
+    SELECT claim_id, candidate_id, CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END AS response FROM v_replies) r LEFT JOIN""")
+assert "v_replies" in ORACLE_BODY["claims_evaluation"]
 
 ORACLE_BODY["code_evaluation"] = f"""
 WITH g AS (SELECT t.task_id, k.candidate_id, s.range AS sample_idx, t.entry_point, t.test,
@@ -545,3 +561,89 @@ ORACLE_BODY["reflection_flow"] = f"""WITH {FAILURES}
 SELECT failure_idx, task_id, error_type, true AS has_change, 'handle ' || {S.pystr('error_type')} AS change,
        CASE WHEN failure_idx % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS priority, {S.pystr('error_type')} || ' seen' AS analysis
 FROM v_fail"""
+
+_LANDED = "CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END"
+ORACLE_BODY["claims_evaluation_resumed"] = f"""WITH {CLAIMS},
+r AS (SELECT claim_id, candidate_id, (claim_id + candidate_id) % 11 = 10 AS failed, {S.verdict(_LANDED)} AS predicted_label FROM v_replies)
+SELECT r.claim_id, r.candidate_id, r.failed, r.predicted_label,
+       CASE WHEN r.failed THEN CAST(0.0 AS DOUBLE) WHEN {S.label_match('r.predicted_label', 'f.answer')} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score
+FROM r LEFT JOIN v_fmt f ON r.claim_id = f.claim_id"""
+ORACLE_BODY["event_log_roundtrip"] = """
+SELECT run_name, error_type, count(*) AS n_calls, CAST(sum(total_tokens) AS BIGINT) AS sum_tokens,
+       CAST(grouping_id(run_name, error_type) AS INTEGER) AS level
+FROM v_event_log WHERE event_type = 'reflector_invocation' GROUP BY ROLLUP (run_name, error_type)"""
+ORACLE_BODY["reflection_list"] = f"""WITH {REFL}
+SELECT e.run_name, e.event_id, e.task_id, e.error_type, coalesce(r.change_raw, 'See log') AS mutation_suggested
+FROM v_event_log e LEFT JOIN v_pr3 r ON e.event_id = r.event_id WHERE e.event_type = 'reflector_invocation'"""
+ORACLE_BODY["comparison_documents"] = f"""WITH {COMPARE},
+n AS (SELECT run_id, total AS test_size FROM v_cmp2 WHERE variant = '1')
+SELECT c.run_id, n.test_size, CASE variant WHEN '1' THEN 'baseline' WHEN '2' THEN 'optimized' ELSE 'fewshot_optimized' END AS variant, accuracy AS score,
+       correct, total, CASE WHEN variant <> '1' THEN delta_absolute END AS delta_absolute, CASE WHEN variant <> '1' THEN delta_percent END AS delta_percent
+FROM v_cmp2 c LEFT JOIN n ON c.run_id = n.run_id WHERE variant IN ('1', '2', '3')"""
+_ONE = lambda side, cid: ", ".join(
+    [f"max(a.accuracy) FILTER (WHERE a.candidate_id = {cid}) AS {side}_accuracy", f"max(a.correct) FILTER (WHERE a.candidate_id = {cid}) AS {side}_correct",
+     f"max(a.total) FILTER (WHERE a.candidate_id = {cid}) AS {side}_total", f"max(a.ps) FILTER (WHERE a.candidate_id = {cid}) AS {side}_predicted_supported",
+     f"max(a.pn) FILTER (WHERE a.candidate_id = {cid}) AS {side}_predicted_not_supported", f"max(g.s) AS {side}_actual_supported", f"max(g.n) AS {side}_actual_not_supported"])
+ORACLE_BODY["report_doc"] = f"""WITH {CLAIMS}, {SCORED},
+a AS (SELECT candidate_id, count_if(correct) AS correct, count(*) AS total, count_if(correct) / count(*) AS accuracy,
+             count_if(predicted_label = 'SUPPORTED') AS ps, count_if(predicted_label = 'NOT_SUPPORTED') AS pn FROM v_sc GROUP BY 1),
+g AS (SELECT count_if(answer = 'SUPPORTED') AS s, count_if(answer = 'NOT_SUPPORTED') AS n FROM v_fmt),
+o AS (SELECT {_ONE('seed', 0)}, {_ONE('optimized', 1)} FROM a, g)
+SELECT *, seed_total AS test_set_size, optimized_accuracy - seed_accuracy AS accuracy_improvement,
+       CASE WHEN seed_accuracy > 0 THEN (optimized_accuracy - seed_accuracy) / seed_accuracy * 100 ELSE CAST(0.0 AS DOUBLE) END AS accuracy_improvement_percentage,
+       optimized_correct - seed_correct AS additional_correct_predictions,
+       {S.pct_string('seed_correct', 'seed_total')} AS seed_pct, {S.pct_string('optimized_correct', 'optimized_total')} AS optimized_pct,
+       {S.pct_string('optimized_correct', 'optimized_total')} || ' vs ' || {S.pct_string('seed_correct', 'seed_total')} AS relative_improvement,
+       {S.pct_string('(optimized_correct * seed_total - seed_correct * optimized_total)', '(seed_total * optimized_total)')} AS improvement,
+       CASE WHEN optimized_correct * seed_total > seed_correct * optimized_total THEN 'IMPROVED'
+            WHEN optimized_correct * seed_total < seed_correct * optimized_total THEN 'DEGRADED' ELSE 'NO_CHANGE' END AS verdict
+FROM o"""
+ORACLE_BODY["fewshot_flow"] = f"""WITH {CLAIMS}
+SELECT claim_id, answer, claim_id % 3 = 0 AS valid, CASE WHEN claim_id % 3 = 0 THEN CAST(2 AS INTEGER) END AS n_items,
+       CASE claim_id % 3 WHEN 0 THEN '[{{"input":"a","label":"SUPPORTED"}},{{"input":"b","label":"NOT_SUPPORTED"}}]'
+            WHEN 1 THEN '{{"raw":"ERROR: Few-shot validation failed"}}' ELSE '{{"raw":"ERROR: Failed to parse model output as JSON"}}' END AS stored
+FROM v_fmt"""
+ORACLE_BODY["training_set_flow"] = f"""WITH {TRAIN},
+last AS (SELECT input AS k, arg_max(reply, id) AS few_shot FROM v_fewshot_gaps GROUP BY input),
+src AS (SELECT c.claim_id, {S.gold('c.label_raw')} AS answer, l.k IS NOT NULL AS attached, l.few_shot FROM v_claims c LEFT JOIN last l ON c.evidence = l.k),
+v AS ({_fewshot_valid('few_shot')})
+SELECT claim_id, answer, CASE WHEN claim_id IN (SELECT claim_id FROM v_train) THEN 'train' ELSE 'val' END AS split, attached,
+       CASE WHEN valid THEN CAST(json_array_length(j) AS INTEGER) END AS n_items FROM v"""
+ORACLE_BODY["claims_file_roundtrip"] = """
+SELECT CAST(claim_id AS VARCHAR) AS id, md5(claim) AS claim_md5, md5(evidence) AS evidence_md5, label_raw AS label FROM v_claims"""
+ORACLE_BODY["code_tasks_file_roundtrip"] = """
+SELECT CAST(task_id AS VARCHAR) AS task_id, prompt, test, entry_point, CAST(NULL AS VARCHAR) AS canonical_solution FROM v_code_tasks"""
+ORACLE_BODY["runs_roundtrip"] = """
+SELECT run_id, CAST(variant AS INTEGER) AS candidate_id, CAST(correct AS BIGINT) / total AS score FROM v_run_metrics"""
+ORACLE_BODY["metrics_log_roundtrip"] = """
+SELECT name, count(*) AS n_points, max(step) AS last_step, min(value) AS least, max(value) AS greatest FROM v_metrics GROUP BY name"""
+ORACLE_BODY["stream_windows_append"] = """
+WITH e AS (SELECT run_name, epoch_us(ts) AS us, total_tokens FROM v_event_log),
+m AS (SELECT (max(us) // 1000) * 1000 - 3600000000 AS mark FROM e),
+t AS (SELECT 'tumbling' AS kind, run_name, (us // 3600000000) * 3600000000 AS window_start_us,
+             (us // 3600000000) * 3600000000 + 3600000000 AS window_end_us, count(*) AS n_events, CAST(sum(total_tokens) AS BIGINT) AS tokens
+      FROM e GROUP BY ALL)
+SELECT t.* FROM t, m WHERE window_end_us <= mark"""
+_SHARED = "f' || CAST(t.task_id % 5 AS VARCHAR) || '"
+ORACLE_BODY["code_evaluation_feedback"] = f"""
+WITH g AS (SELECT t.task_id, k.candidate_id, s.range AS sample_idx, 'f' || CAST(t.task_id % 5 AS VARCHAR) AS entry_point, t.test, t.prompt,
+                  CASE (t.task_id + 3 * k.candidate_id + s.range) % 4
+                    WHEN 0 THEN '```python' || chr(10) || 'def {_SHARED}(x):' || chr(10) || '    return 1' || chr(10) || '```'
+                    WHEN 1 THEN '```python' || chr(10) || 'def {_SHARED}(x):' || chr(10) || '    return 0' || chr(10) || '```'
+                    WHEN 2 THEN 'def g(x): return 1'
+                    ELSE '```' || chr(10) || 'py' || chr(10) || 'def {_SHARED}(x): return 1' || chr(10) || '```' END AS reply
+           FROM v_code_tasks t CROSS JOIN v_candidates k CROSS JOIN range(1, 3) s),
+{extract_cte("g", "task_id, candidate_id, sample_idx, entry_point, test, prompt", name="gc")},
+c AS (SELECT *, CASE WHEN coalesce(test, '') = '' THEN 'NoTestCode' WHEN NOT contains(code, entry_point) THEN 'MissingFunction'
+                     WHEN contains(code, 'return 1') THEN NULL ELSE 'AssertionError' END AS error_type FROM gc),
+d AS (SELECT *, 'failed' AS exec_status,
+             CASE error_type WHEN 'NoTestCode' THEN 'No test code provided for this problem'
+                  WHEN 'MissingFunction' THEN 'Function ' || chr(39) || entry_point || chr(39) || ' not found in generated code' ELSE 'assert failed' END AS error_message
+      FROM c WHERE error_type IS NOT NULL)
+SELECT task_id, candidate_id, sample_idx, entry_point, exec_status AS execution_status, error_type, error_message, CAST(0.0 AS DOUBLE) AS score,
+       concat_ws({NL}, 'FAILED: Task ' || {S.pystr('task_id')}, 'Function: `' || {S.pystr('entry_point')} || '`',
+         'Execution Status: ' || exec_status, 'Error Type: ' || error_type, 'Error Message: ' || error_message,
+         {NL} || 'Problem:' || {NL} || {S.preview(S.pystr('prompt'), 500)},
+         {NL} || 'Generated Code:' || {NL} || '```python' || {NL} || {S.preview(S.pystr('code'), 800)} || {NL} || '```',
+         {NL} || 'Guidance:' || {NL} || {guidance_sql('exec_status', 'error_type', False)}) AS feedback
+FROM d"""

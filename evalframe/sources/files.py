@@ -75,13 +75,15 @@ def read_claims(spark: SparkSession, path: str, fmt: str = "json", split: str |
     """Raw claims. ``path`` holds one folder per split; ``split`` (default: ``train`` if present,
     else the first in name order) is read. ``evidence`` picks the loader: ``string`` or ``array``."""
     base = path.rstrip("/")
-    # split folder names from a listing of the files under them (content is never read)
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{base}/*/")
-                    .select(F.regexp_extract(F.col("path"), r"/([^/]+)/[^/]+$", 1).alias("split")).distinct())
-    names = sorted(r[0] for r in listing.collect())
     if split is None:
+        # split folder names from a listing of the files under the path (content is never read);
+        # a folder without split folders is read as it is
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base) \
+            .select(F.regexp_extract(F.col("path"), r"([^/]+)/[^/]+$", 1).alias("split")).distinct()
+        own = base.rsplit("/", 1)[-1]
+        names = sorted(r["split"] for r in listing.collect() if r["split"] != own)
         split = "train" if "train" in names else (names[0] if names else None)
-    target = f"{path.rstrip('/')}/{split}" if split else path
+    target = f"{base}/{split}" if split else base
     schema = CLAIM_SCHEMA_ARR if evidence == "array" else CLAIM_SCHEMA_STR
     return spark.read.schema(schema).format(fmt).load(target)
 
@@ -152,7 +154,8 @@ def read_prompts(spark: SparkSession, runs_glob: str, runs: DataFrame | None = N
     wide = t.groupBy("run_dir").agg(F.max(F.when(F.col("kind") == "seed", F.col("text"))).alias("seed_prompt"),
                                     F.max(F.when(F.col("kind") == "optimized", F.col("text"))).alias("optimized_prompt"))
     if runs is not None:
-        wide = wide.join(runs.select("run_dir", F.col("seed_prompt_text").alias("_cfg_seed")), "run_dir", "left") \
+        # a run with a config but no prompt file is there too, and raises below
+        wide = wide.join(runs.select("run_dir", F.col("seed_prompt_text").alias("_cfg_seed")), "run_dir", "full") \
                    .withColumn("seed_prompt", F.coalesce(F.col("seed_prompt"), F.col("_cfg_seed"))).drop("_cfg_seed")
     return wide.withColumn("optimized_prompt", F.coalesce(
         F.col("optimized_prompt"),
@@ -259,11 +262,50 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def reflection_events(parsed: DataFrame, summary: DataFrame, run_name: str, model: str | None = None) -> DataFrame:
+    """Log rows (EVENT_SCHEMA) of one reflection batch: its start, an invocation per failure, its end.
+
+    As in a log written while the batch runs, the run's name stands in the start and the end only;
+    the folder or file name tells it for the invocations. Timestamps follow the failures' order.
+    """
+    data = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA["data"].dataType}
+    now = F.current_timestamp()
+
+    def row(kind: str, order, **values):
+        return F.struct(F.date_format(now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), order.cast("decimal(18,6)") / 1000000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                        F.lit(kind).alias("event_type"), F.struct(*[F.coalesce(values[k], c).alias(k) if k in values else c.alias(k) for k, c in data.items()]).alias("data")).alias("e")
+    calls = parsed.select(row("reflector_invocation", F.col("failure_idx"), task_id=F.col("task_id").cast("string"), entry_point=F.col("entry_point"),
+                              error_type=F.col("error_type"), error_message=F.col("error_message"), reflector_output=F.col("reflector_output"),
+                              model_used=F.lit(model).cast("string")))
+    n = F.col("failures_found")
+    ends = summary.select(F.explode(F.array(row("batch_start", F.lit(0), run_name=F.lit(run_name), num_failures=n),
+                                            row("batch_complete", n + 1, run_name=F.lit(run_name), num_processed=n))).alias("e"))
+    return calls.unionByName(ends).select("e.*")
+
+
+#: Run key of a log file: its name without the time of its start and the ending; of a log folder of
+#: part files, the folder's name.
+RUN_OF_FILE = r"([^/]+?)(?:_[0-9]{8}_[0-9]{6})?\.jsonl$"
+RUN_OF_FOLDER = r"([^/]+)/part-[^/]+$"
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event log as a flat table; ``task_id`` is a string (logs hold both 29 and "Bench/29")."""
-    d = spark.read.schema(EVENT_SCHEMA).json(path)
-    return d.select(F.to_timestamp("timestamp").alias("ts"), "event_type", "data.run_name", "data.num_failures",
-                    "data.num_processed", "data.task_id", "data.entry_point", "data.error_type",
+    """Event log as a flat table; ``task_id`` is a string (logs hold both 29 and "Bench/29").
+
+    Invocation lines do not name their run, so the run key of every line comes from its file
+    (``run_file`` tells the file, one batch each where a run writes a new one each time).
+    ``event_id`` orders the lines: by time, then by what opens and closes a batch, then by the line's own text; it is
+    unique within a run for lines that differ.
+    """
+    d = spark.read.schema(EVENT_SCHEMA).json(path).withColumn("_f", F.col("_metadata.file_path"))
+    base = F.regexp_extract("_f", RUN_OF_FILE, 1)
+    run = F.when(base != "", base).otherwise(F.regexp_extract("_f", RUN_OF_FOLDER, 1))
+    order = F.when(F.col("event_type") == "batch_start", "0").when(F.col("event_type") == "batch_complete", "2").otherwise("1")
+    return d.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), "event_type",
+                    F.coalesce(F.when(run != "", run), F.col("data.run_name")).alias("run_name"),
+                    F.regexp_extract("_f", r"([^/]+)$", 1).alias("run_file"),
+                    F.concat_ws("|", F.col("timestamp"), order, F.md5(F.to_json("data"))).alias("event_id"),
+                    "data.num_failures", "data.num_processed", "data.task_id", "data.entry_point", "data.error_type",
                     "data.error_message", "data.reflector_output", "data.model_used",
                     F.col("data.usage.total_tokens").alias("total_tokens"))
 
@@ -283,11 +325,23 @@ def write_report(df: DataFrame, path: str, partition_by: str = "run_id", mode: s
     df.write.mode(mode).partitionBy(partition_by).json(path)
 
 
-def report_doc(compared: DataFrame, run: str = "run_id") -> DataFrame:
-    """Nested comparison document per run: one struct per variant."""
-    return compared.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("variant").cast("string"),
-        F.struct("accuracy", "correct", "total", "delta_absolute", "delta_percent", "additional_correct")))).alias("variants"))
+def comparison_documents(compared: DataFrame, blocks: dict[str, str], run: str = "run_id", variant: str = "variant",
+                         fewshot_file: str | None = None, fewshot_k: int | None = None) -> DataFrame:
+    """Comparison document per run (COMPARISON_SCHEMA): test size, few-shot block, and a block of accuracy,
+    counts and deltas per entry of ``blocks`` (document field -> variant); the baseline carries no deltas.
+    A conditional aggregate over the run's rows: no list is collected."""
+    def block(name: str):
+        own = F.col(variant) == blocks[name]
+        values = [F.col(c).cast("double").alias(c) if c == "accuracy" else F.col(c).cast("long").alias(c) for c in ("accuracy", "correct", "total")]
+        if name != "baseline":
+            values += [F.col("delta_absolute").alias("delta_absolute"), F.col("delta_percent").alias("delta_percent"),
+                       F.col("additional_correct").cast("long").alias("additional_correct")]
+        return F.max(F.when(own, F.struct(*values))).alias(name)
+    injected = F.max(F.col(variant) == blocks["fewshot_optimized"]) if "fewshot_optimized" in blocks else F.lit(False)
+    return compared.groupBy(run).agg(
+        F.max(F.when(F.col(variant) == blocks["baseline"], F.col("total"))).cast("long").alias("test_size"),
+        F.struct(injected.alias("injected"), F.lit(fewshot_file).cast("string").alias("file"), F.lit(fewshot_k).cast("long").alias("k")).alias("few_shot"),
+        *[block(b) for b in blocks])
 
 
 # ---------------------------------------------------------------- A12 synthetic claims

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,10 @@ def test_predict_row_failures(spark):
 
     r = {x.k: (x.response, x.failed) for x in inference.predict(df, fn, ["k"], ["k"], batch_size=5).collect()}
     assert r[4] == ("", True) and r[0] == ("ok", False) and sum(f for _, f in r.values()) == 1
+    e = {x.k: x.error for x in inference.predict(df, fn, ["k"], ["k"], batch_size=5).collect()}
+    assert e[4] == "RuntimeError: rate limited" and e[0] is None
+    whole = inference.predict(df.coalesce(1), fn, ["k"], ["k"], batch_size=5, whole_call=True).collect()
+    assert sorted(x.k for x in whole if x.failed) == [0, 1, 2, 3, 4]
 
 
 def test_with_retries():
@@ -58,6 +64,18 @@ def test_score_with(spark):
     r = {x.k: (x.passed, x.error_type) for x in inference.score_with(df, scorer, ["k"], ["code"], schema).collect()}
     assert r == {1: (True, None), 2: (False, "SyntaxError")}
 
+    def short(batch):
+        import pandas as pd
+        if (batch["code"] == "oops(").any():
+            return pd.DataFrame({"passed": [], "error_type": []})
+        return pd.DataFrame({"passed": [True] * len(batch), "error_type": None})
+
+    on_error = lambda e: {"passed": False, "error_type": "UnknownError"}
+    r = {x.k: (x.passed, x.error_type) for x in inference.score_with(df.coalesce(1), short, ["k"], ["code"], schema, on_error=on_error).collect()}
+    assert r == {1: (True, None), 2: (False, "UnknownError")}
+    with pytest.raises(Exception):
+        inference.score_with(df.coalesce(1), short, ["k"], ["code"], schema).collect()
+
 
 def test_stream_accuracy_equals_batch(spark, tmp):
     src = os.path.join(tmp, "src")
@@ -107,10 +125,28 @@ def test_append_mode_windows_finalised_by_watermark(spark, tmp):
     res = live.run_stream(live.token_windows(s, "tumbling", size="1 hour", delay="0 seconds"), "t_app", mode="append")
     # append mode emits a window only once the watermark has passed its end, and only once
     last_us = int((t0 + dt.timedelta(minutes=20 * 11) - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
-    rows = res.collect()
-    assert all(r.window_end_us <= last_us for r in rows)
-    assert len({r.window_start_us for r in rows}) == len(rows)
-    assert all(r.n_events == 3 for r in rows)
+    hour, zero = 3_600_000_000, int((t0 - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    assert sorted((r.window_start_us, r.n_events) for r in res.collect()) == [(zero + k * hour, 3) for k in range(4) if zero + (k + 1) * hour <= last_us]
+    assert last_us > zero + 3 * hour
+
+
+def test_append_mode_drops_late_rows(spark, tmp):
+    import datetime as dt
+    src = os.path.join(tmp, "late")
+    t0 = dt.datetime(2024, 1, 1, 0, 0)
+    schema = "event_id long, ts timestamp_ntz, run_name string, total_tokens long"
+    spark.createDataFrame([(i, t0 + dt.timedelta(minutes=30 * i), "r", 1) for i in range(8)], schema).coalesce(1).write.parquet(os.path.join(src, "a"))
+    s = lambda: live.token_windows(spark.readStream.schema(schema).parquet(os.path.join(src, "*")), "tumbling", size="1 hour", delay="0 seconds")
+    ck = os.path.join(tmp, "ck")
+    first = live.run_stream(s(), "t_late", checkpoint=ck).collect()
+    assert sorted(r.n_events for r in first) == [2, 2, 2]
+    # half an hour after the first hour was closed and given out: one row too late, one in time
+    spark.createDataFrame([(100, t0, "r", 1), (101, t0 + dt.timedelta(minutes=200), "r", 1), (102, t0 + dt.timedelta(hours=9), "r", 1)], schema).coalesce(1).write.parquet(os.path.join(src, "b"))
+    second = live.run_stream(s(), "t_late2", checkpoint=ck).collect()
+    assert [r.n_events for r in second] == [3]
+    # nothing new: an empty result with the stream's columns
+    third = live.run_stream(s(), "t_late3", checkpoint=ck)
+    assert third.columns == s().columns and third.count() == 0
 
 
 def test_live_accuracy_with_watermark(spark, tmp):

@@ -1,6 +1,7 @@
 """Joins, aggregates, candidates and comparisons on hand-written rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalframe.operators import (candidates, compare, feedback, joins,
                                  metrics)
@@ -12,8 +13,16 @@ def test_evaluation_grid_and_bound(spark):
     g = joins.evaluation_grid(ex, k).collect()
     assert sorted((r.claim_id, r.candidate_id, r.prompt_type) for r in g) == [
         (1, 0, "seed"), (1, 1, "opt"), (2, 0, "seed"), (2, 1, "opt")]
-    with pytest.raises(ValueError):
-        joins.evaluation_grid(ex, k, max_candidates=1)
+    # nulls are left out, repeated ids give one row, with and without attributes, broadcast or not
+    odd = spark.createDataFrame([(0, "seed"), (0, "again"), (None, "x")], "candidate_id int, prompt_type string")
+    for limit in (1 << 20, 0):
+        assert [(r.claim_id, r.prompt_type) for r in joins.evaluation_grid(ex, odd, broadcast_bytes=limit).orderBy("claim_id").collect()] == [(1, "again"), (2, "again")]
+        assert joins.evaluation_grid(ex, odd.select("candidate_id"), broadcast_bytes=limit).count() == 2
+        many = spark.range(0, 10_500).select(F.col("id").cast("int").alias("candidate_id"))
+        g = joins.evaluation_grid(ex, many, broadcast_bytes=limit)
+        assert g.count() == 21_000 and g.select("candidate_id").distinct().count() == 10_500
+    none = joins.evaluation_grid(ex, k.limit(0))
+    assert none.count() == 0 and none.columns == ["claim_id", "candidate_id", "prompt_type"]
 
 
 def test_score_left_join_counts_missing_gold(spark):
@@ -59,7 +68,8 @@ def test_pass_at_k_monotone_and_golden(spark):
     assert (r.solved_at_1, r.solved_at_3, r.solved_at_5) == (1, 2, 3)
     assert r.pass_at_1 <= r.pass_at_3 <= r.pass_at_5
     p1 = metrics.pass_at_1(g).collect()[0]
-    errs = metrics.error_distribution(g).collect()
+    errs = metrics.error_distribution(g, first_sample=True).collect()
+    assert sum(e.n for e in metrics.error_distribution(g).collect()) == 2
     assert p1.passed + sum(e.n for e in errs) == p1.total
     rep = {x.task_id: x.sample_text for x in metrics.sample_report(g, k=5).collect()}
     assert rep[1] == "1:F(SyntaxError),2:F,3:P"
@@ -159,13 +169,30 @@ def test_summarize_run_equals_composed(spark):
         assert one[k] == pytest.approx(composed[k]), k
 
 
-def test_extract_failures_limit_paths_agree(spark, monkeypatch):
+def test_extract_failures_limit(spark):
     rows = [(i, i % 3 == 0, "E") for i in range(100)]
     d = spark.createDataFrame(rows, "task_id long, passed boolean, error_type string")
-    small = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
-    monkeypatch.setattr(feedback, "SMALL_LIMIT", 0)
-    big = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
-    assert small == big == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
+    first = [(r.failure_idx, r.task_id) for r in feedback.extract_failures(d, ["task_id"], limit=5).orderBy("failure_idx").collect()]
+    assert first == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
+    assert feedback.extract_failures(d, ["task_id"]).count() == 66
+
+
+def test_empty_inputs_and_missing_baseline(spark):
+    none = spark.createDataFrame([], "claim_id long, candidate_id int, score double")
+    f = candidates.instance_frontier(none)
+    assert f.collect() == []
+    assert [(r.n_examples, r.frontier_score, r.solved_by_any) for r in candidates.frontier_score(f).collect()] == [(0, 0.0, 0.0)]
+    s = compare.summarize_run(none).collect()[0]
+    assert (s.num_candidates, s.n_examples, s.frontier_score, s.best_candidate_id, s.improvement_pct) == (0, 0, 0.0, None, 0.0)
+    m = spark.createDataFrame([("r", "2", 5, 10)], "run_id string, variant string, correct long, total long")
+    assert [r.verdict for r in compare.verdict(compare.compare(m, baseline="1")).collect()] == [None]
+
+
+def test_frontier_of_many_candidates(spark):
+    s = spark.range(0, 10_500).select(F.lit(1).alias("claim_id"), F.col("id").cast("int").alias("candidate_id"), (F.col("id") % 7 == 0).cast("double").alias("score"))
+    r = candidates.instance_frontier(s).collect()[0]
+    assert r.best_score == 1.0 and r.frontier == list(range(0, 10_500, 7))
+    assert compare.summarize_run(s).collect()[0].num_candidates == 10_500
 
 
 def test_latest_required(spark):

@@ -55,6 +55,9 @@ def test_runs_prompts_and_best_outputs(spark, tmp):
     assert cs == {("r1", 0): 0.6, ("r1", 1): 0.7}
 
     _write(f"{tmp}/runs/r1/optimized_prompt.txt", "  better prompt \n")
+    with pytest.raises(Exception):  # run r2 has a config and no prompt file
+        files.read_prompts(spark, f"{tmp}/runs/*/*_prompt.txt", runs).collect()
+    runs = runs.filter("run_dir = 'r1'")
     pr = files.read_prompts(spark, f"{tmp}/runs/*/*_prompt.txt", runs).collect()
     assert [(r.run_dir, r.seed_prompt, r.optimized_prompt) for r in pr] == [("r1", "seed text", "better prompt")]
     _write(f"{tmp}/runs2/r3/seed_prompt.txt", "only seed")
@@ -72,6 +75,34 @@ def test_read_claims_picks_train(spark, tmp):
         _write(f"{tmp}/claims/{split}/part.json", json.dumps({"id": "1", "claim": claim, "evidence": "a. b", "label": 0}))
     assert files.read_claims(spark, f"{tmp}/claims").collect()[0].claim == "tr"
     assert files.read_claims(spark, f"{tmp}/claims", split="test").collect()[0].claim == "t"
+    # a folder without split folders is read as it is
+    _write(f"{tmp}/flat/part.json", json.dumps({"id": "1", "claim": "f", "evidence": "a", "label": 0}))
+    assert files.read_claims(spark, f"{tmp}/flat").collect()[0].claim == "f"
+
+
+def test_event_log_as_written(spark, tmp):
+    """Log lines of one reflection batch: the invocations do not name their run."""
+    from evalframe.operators.events import batch_audit, call_latency, progress
+    from evalframe.operators.events import token_rollup as rollup
+    times = ["08.545700", "12.670618", "17.174334", "19.720770", "24.360398", "28.650826", "28.652565"]
+    tokens = [240, 288, 251, 321, 261]
+    rows = [{"event_type": "batch_start", "data": {"run_name": "a_run", "num_failures": 5}}]
+    rows += [{"event_type": "reflector_invocation", "data": {"task_id": f"Bench/{i}", "entry_point": "f", "error_type": "MissingFunction", "error_message": "m",
+              "reflector_output": "o", "model_used": "m", "usage": {"prompt_tokens": 1, "completion_tokens": n - 1, "total_tokens": n}}} for i, n in enumerate(tokens)]
+    rows += [{"event_type": "batch_complete", "data": {"run_name": "a_run", "num_processed": 5}}]
+    text = "".join(json.dumps({"timestamp": f"2026-04-07T22:49:{t}", **r}) + "\n" for t, r in zip(times, rows, strict=True))
+    _write(f"{tmp}/log/a_run_20260407_224908.jsonl", text)
+    log = files.read_events(spark, f"{tmp}/log")
+    assert dict(log.dtypes)["ts"] == "timestamp_ntz" and log.select("event_id").distinct().count() == 7
+    a = [(r.run_name, r.batch_seq, r.n_invocations, r.declared, r.processed, r.complete, r.duration_us) for r in batch_audit(log).collect()]
+    assert a == [("a_run", 1, 5, 5, 5, True, 20_106_865)]
+    assert [r.sum_tokens for r in rollup(log).filter("level = 1").collect()] == [1361]
+    p = progress(log).orderBy("processed").collect()
+    assert [(r.processed, r.total, r.pct) for r in p] == [(i, 5, 20 * i) for i in range(1, 6)]
+    assert [r.gap_us for r in call_latency(log).orderBy("ts").collect()][:2] == [None, 4_124_918]
+    # rows whose run is not known are kept
+    lost = log.withColumn("run_name", F.lit(None).cast("string"))
+    assert progress(lost).count() == 5
 
 
 def test_detailed_results_shapes(spark):
@@ -104,7 +135,11 @@ def test_write_report_partitioned(spark, tmp):
     c = spark.createDataFrame([("r1", "1", 0.5, 5, 10, 0.0, 0.0, 0), ("r1", "2", 0.6, 6, 10, 0.1, 20.0, 1)],
                               "run_id string, variant string, accuracy double, correct long, total long, delta_absolute double, "
                               "delta_percent double, additional_correct long")
-    files.write_report(files.report_doc(c), os.path.join(tmp, "rep"))
+    files.write_report(files.comparison_documents(c, {"baseline": "1", "optimized": "2"}, fewshot_file="f.csv", fewshot_k=3), os.path.join(tmp, "rep"))
+    doc = json.loads(next(open(os.path.join(tmp, "rep", "run_id=r1", f)).readline() for f in os.listdir(os.path.join(tmp, "rep", "run_id=r1")) if f.endswith(".json")))
+    assert doc["test_size"] == 10 and doc["few_shot"] == {"injected": False, "file": "f.csv", "k": 3}
+    assert doc["baseline"] == {"accuracy": 0.5, "correct": 5, "total": 10}
+    assert doc["optimized"]["additional_correct"] == 1 and doc["optimized"]["delta_percent"] == 20.0
     assert os.path.isdir(os.path.join(tmp, "rep", "run_id=r1"))
 
 
@@ -127,8 +162,7 @@ def test_batch_audit_on_read_log(spark, tmp):
         files.EVENT_SCHEMA)
     p = os.path.join(tmp, "ev")
     files.append_events(ev, p)
-    log = files.read_events(spark, p).withColumn("event_id", F.monotonically_increasing_id()) \
-        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    log = files.read_events(spark, p)
     a = batch_audit(log).filter("batch_seq = 1").collect()[0]
     assert (a.declared, a.processed, a.n_invocations, a.complete, a.duration_us) == (2, 2, 2, True, 20_000_000)
     t = {(r.run_name, r.error_type, r.level): r.sum_tokens for r in token_rollup(log).collect()}

@@ -37,19 +37,28 @@ def test_split_fixed_sizes(spark):
     assert counts == {"train": 50, "val": 50, "test": 30}
 
 
-def test_sample_both_paths_agree(spark, monkeypatch):
+def test_sample_is_the_head_of_the_shuffle(spark):
+    import hashlib
     df = spark.range(0, 500).withColumnRenamed("id", "x")
-    small = {(r.x, r.sample_rank) for r in splits.sample_n(df, "x", 40, seed=9).collect()}
-    monkeypatch.setattr(splits, "SMALL_SAMPLE", 0)
-    big = {(r.x, r.sample_rank) for r in splits.sample_n(df, "x", 40, seed=9).collect()}
-    assert small == big and len(small) == 40
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest())
+    for n in (0, 40, 500, 600):
+        got = sorted((r.sample_rank, r.x) for r in splits.sample_n(df, "x", n, seed=9).collect())
+        assert got == [(k + 1, i) for k, i in enumerate(order[:n])]
+    with_null = spark.createDataFrame([(1,), (None,), (2,)], "x long")
+    assert splits.split_fraction(with_null, "x", 0.5).count() == 3
+
+
+def test_head_pct_with_other_columns(spark):
+    df = spark.range(1, 201).select((F.col("id") * 3).alias("k"), (F.col("id") % 7).alias("v"))
+    got = splits.head_pct(df, "k", 10).orderBy("k").collect()
+    assert [(r.k, r.v, r.position) for r in got] == [(3 * i, i % 7, i) for i in range(1, 21)]
 
 
 def test_head_pct_and_batches(spark):
     df = spark.range(1, 11).withColumnRenamed("id", "k")
     assert [r.k for r in splits.head_pct(df, "k", 25).orderBy("k").collect()] == [1, 2]
     assert splits.head_pct(df, "k", 1).count() == 1
-    b = splits.batch_ranges(df, "k", 4).orderBy("batch").collect()
+    b = splits.batch_ranges(df, 4).orderBy("batch").collect()
     assert [(r.start, r.end, r.n) for r in b] == [(1, 4, 4), (5, 8, 4), (9, 10, 2)]
 
 
