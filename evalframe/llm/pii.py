@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SUPPORT = 3
-DISCLOSE = 0.9
-REMOVE = 0.97
+MIN_SUPPORT = 5
+DISCLOSE = 0.95
+REMOVE = 0.99
 MIN_TERM = 3
 #: Bits of the filter that tells which texts may hold a disclosing term (a fixed 128 KB).
 FILTER_BITS = 1 << 20
