@@ -14,7 +14,6 @@ from evalframe.functions.text import col_of, py_strip
 
 FENCE = "```"
 PY_FENCE = "```python"
-MAX_GUIDANCE_RULES = 1000
 
 
 def _locate(sub: str, s: Column, pos: Column | None = None) -> Column:
@@ -109,12 +108,3 @@ def guidance(status, error_type, rules=ERROR_GUIDANCE) -> Column:
 
 def guidance_key(status, error_type, rules=ERROR_GUIDANCE) -> Column:
     return _guidance_case(status, error_type, rules, pick_key=True)
-
-
-def rules_from_table(df, key_col: str = "key", text_col: str = "text", order_col: str = "priority"):
-    """Turn a small rules table into an ordered rule list, refusing tables over the size bound."""
-    n = df.count()
-    if n > MAX_GUIDANCE_RULES:
-        raise ValueError(f"guidance table has {n} rules; at most {MAX_GUIDANCE_RULES} are inlined")
-    rows = df.orderBy(order_col).select(key_col, text_col).collect()
-    return tuple((r[0], r[1]) for r in rows)

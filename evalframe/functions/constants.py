@@ -17,7 +17,6 @@ VERDICT_POSITIVE_CUES = ("SUPPORTED", "SUPPORTS", "ENTAIL")
 
 # ---- FIXED VALUES: gold label synonyms (after strip, upper, ' ' -> '_').
 GOLD_POSITIVE = ("SUPPORTED", "SUPPORTS", "ENTAILMENT", "TRUE")
-GOLD_NEGATIVE = ("NOT_SUPPORTED", "REFUTES", "REFUTED", "FALSE", "NOTSUPPORT")
 
 # ---- FIXED VALUES: characters Python's str.strip() removes (str.isspace()).
 PY_WHITESPACE = (

@@ -31,10 +31,6 @@ def py_str(c) -> Column:
     return F.coalesce(col_of(c).cast("string"), F.lit("None"))
 
 
-def blank_if_null(c) -> Column:
-    return F.coalesce(col_of(c).cast("string"), F.lit(""))
-
-
 def pct_string(num, den, signed: bool = False) -> Column:
     """``f"{num/den:.2%}"`` computed exactly from two integers.
 

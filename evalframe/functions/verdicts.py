@@ -59,7 +59,3 @@ def label_match(predicted, gold) -> Column:
     p = F.upper(py_strip(col_of(predicted)))
     g = F.upper(py_strip(col_of(gold).cast("string")))
     return F.coalesce(p == g, F.lit(False))
-
-
-def label_score(predicted, gold) -> Column:
-    return F.when(label_match(predicted, gold), F.lit(1.0)).otherwise(F.lit(0.0))

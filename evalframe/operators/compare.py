@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import pct_string
+from evalframe.operators.ordering import global_row_number, null_safe_join
 
 
 def compare(metrics: DataFrame, baseline: str = "1", zero_baseline: float | None = None, run: str = "run_id",
@@ -94,14 +95,16 @@ def latest(df: DataFrame, by: str, order: str, required: bool = False) -> DataFr
 def leaderboard(compared: DataFrame, baseline: str = "1", run: str = "run_id", variant: str = "variant") -> DataFrame:
     """Per run: best variant (ties: smallest name), its accuracy, the baseline's, the gain and a dense rank.
 
-    The rank window runs over one row per run (an aggregate), not over raw rows.
+    The distinct accuracies are numbered by a range partitioning, not in one window task; the runs
+    meet their rank in a join.
     """
     per_run = compared.groupBy(run).agg(
         F.min_by(F.col(variant), F.struct(-F.col("accuracy"), F.col(variant))).alias("best_variant"),
         F.max("accuracy").alias("best_accuracy"),
         F.max(F.when(F.col(variant) == baseline, F.col("accuracy"))).alias("baseline_accuracy"))
     per_run = per_run.withColumn("gain", F.col("best_accuracy") - F.col("baseline_accuracy"))
-    return per_run.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("best_accuracy").desc())))
+    ranks = global_row_number(per_run.select("best_accuracy").distinct(), [F.col("best_accuracy").desc()], name="rank")
+    return null_safe_join(per_run, ranks.withColumn("rank", F.col("rank").cast("int")), ["best_accuracy"])
 
 
 def compare_pass_at_k(pk: DataFrame, seed_id: int = 0, other_id: int = 1, ks=(1, 3, 5),

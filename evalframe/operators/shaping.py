@@ -40,11 +40,13 @@ def format_claims(df: DataFrame, key: str = "claim_id", claim: str = "claim", ev
     """Raw claims -> ``input = "Claim: ...\\n\\nContext:\\n1. ..."`` and a normalised ``answer``."""
     ev_type = df.schema[evidence].dataType.simpleString()
     sentences = split_evidence_array(evidence) if ev_type.startswith("array") else split_evidence(evidence)
-    return df.select(
+    # the sentences are split once, in a step of their own
+    split = df.select(key, claim, label, sentences.alias("_ef_s"))
+    return split.select(
         F.col(key),
-        F.concat(F.lit("Claim: "), py_str(F.col(claim)), F.lit("\n\nContext:\n"), number_sentences(sentences)).alias("input"),
+        F.concat(F.lit("Claim: "), py_str(F.col(claim)), F.lit("\n\nContext:\n"), number_sentences("_ef_s")).alias("input"),
         normalize_gold(F.col(label), df.schema[label].dataType).alias("answer"),
-        F.size(sentences).alias("n_sentences"),
+        F.size("_ef_s").alias("n_sentences"),
     )
 
 
@@ -165,9 +167,3 @@ def flatten_messages(df: DataFrame, key: str = "conv_id", order: str = "turn", r
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.array_join(F.transform(msgs, lambda m: F.concat(F.lit("["), m["r"], F.lit("] "), m["t"])), "\n\n").alias("flat_text"))
-
-
-def flatten_message_array(messages) -> Column:
-    """Same rendering for a ``messages`` array column."""
-    return F.array_join(F.transform(col_of(messages), lambda m: F.concat(F.lit("["), py_str(m["role"]), F.lit("] "),
-                                                                          py_str(m["content"]))), "\n\n")

@@ -583,7 +583,7 @@ def stream_accuracy(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
     resp = landed(replies_for(docs, fx.view("v_candidates")))
-    return run_complete(live_accuracy(resp, claims(fx).select("claim_id", "answer")), "stream_accuracy")
+    return run_complete(live_accuracy(resp, claims(fx).select("claim_id", "answer"), unique=True), "stream_accuracy")
 
 
 @query

@@ -24,18 +24,21 @@ def event_time(ts) -> Column:
 
 def live_accuracy(responses: DataFrame, examples: DataFrame, keys=("claim_id", "candidate_id"),
                   by: str = "candidate_id", key: str = "claim_id", event_time_col: str | None = None,
-                  delay: str = "1 hour") -> DataFrame:
+                  delay: str = "1 hour", unique: bool = False) -> DataFrame:
     """Accuracy totals that refresh as outputs land; each (example, candidate) counts once.
 
     ``responses`` is a stream (claim_id, candidate_id, response); ``examples`` a
-    static (claim_id, answer) table joined stream-static. Without an event-time
-    column the deduplication state holds one key per output; with one, duplicates
-    are dropped within the watermark (``delay``) and older keys leave the state.
+    static (claim_id, answer) table joined stream-static. Duplicates are dropped within the
+    watermark (``delay``) of the event-time column, and older keys leave the state. A stream whose
+    outputs come once each (``unique=True``, e.g. from a sink that replaces its own batches) needs no
+    such state. One of the two must be given: without either the state would hold a key per output for ever.
     """
     if event_time_col:
         r = responses.withWatermark(event_time_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    elif unique:
+        r = responses
     else:
-        r = responses.dropDuplicates(list(keys))
+        raise ValueError("give event_time_col, or unique=True for outputs that come once each")
     r = r.withColumn("predicted_label", parse_verdict(F.col("response")))
     j = r.join(examples.select(key, "answer"), key, "left")
     ok = label_match(F.col("predicted_label"), F.col("answer"))

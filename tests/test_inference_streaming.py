@@ -84,10 +84,12 @@ def test_stream_accuracy_equals_batch(spark, tmp):
     gold = spark.createDataFrame([(i, "SUPPORTED") for i in range(20)], "claim_id long, answer string")
     schema = "claim_id long, candidate_id int, response string"
     stream = spark.readStream.schema(schema).parquet(src)
-    got = {r.candidate_id: (r.correct, r.total) for r in live.run_complete(live.live_accuracy(stream, gold), "t_acc").collect()}
+    got = {r.candidate_id: (r.correct, r.total) for r in live.run_complete(live.live_accuracy(stream, gold, unique=True), "t_acc").collect()}
     batch = spark.read.parquet(src)
     want = {r.candidate_id: (r.correct, r.total) for r in metrics.accuracy(joins.parse_and_score(batch, gold)).collect()}
     assert got == want
+    with pytest.raises(ValueError):
+        live.live_accuracy(stream, gold)
 
 
 def test_stream_score_restart_idempotent(spark, tmp):
