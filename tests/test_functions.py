@@ -109,3 +109,24 @@ def test_cluster_settings_scale():
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert int(s["spark.sql.execution.arrow.maxRecordsPerBatch"]) == 8192
     assert int(cluster_settings(10 ** 6, executor_cores=8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_fixed_texts_are_what_results_must_hold(spark):
+    """Golden literals, written out here so that a slip in the shared constants does not pass on both sides."""
+    from evalframe.functions.code import guidance, guidance_key
+    from evalframe.functions.verdicts import normalize_gold, parse_verdict
+    rows = [("failed", "AssertionError"), ("timeout", "TimeoutError"), ("failed", "missingfunction"), ("runtime_error", None), ("syntax_error", "KeyError")]
+    d = spark.createDataFrame(rows, "s string, e string").select(guidance_key("s", "e").alias("k"), guidance("s", "e").alias("g")).collect()
+    assert [r.k for r in d] == ["AssertionError", "timeout", "MissingFunction", "default", "syntax_error"]
+    assert d[0].g.split("\n") == ["- The code ran but produced wrong output for test cases", "- The logic is incorrect - review the algorithm",
+                                  "- Edge cases may not be handled properly"]
+    assert d[3].g.startswith("- Review the error message and traceback for specific issues")
+    replies = {"SUPPORTED": "SUPPORTED", "NOT_SUPPORTED": "NOT_SUPPORTED", "not supported": "NOT_SUPPORTED", "Not-Supported.": "NOT_SUPPORTED", "The claim is SUPPORTED": "SUPPORTED",
+               "REFUTES": "NOT_SUPPORTED", "entailment": "SUPPORTED", "contradicted": "NOT_SUPPORTED", "unsure": "NOT_SUPPORTED", "": "NOT_SUPPORTED", "supports": "SUPPORTED",
+               "UNSUPPORTED": "SUPPORTED", "NOT  SUPPORTED": "SUPPORTED", "not entailed": "SUPPORTED"}
+    got = spark.createDataFrame([(r,) for r in replies], "r string").select("r", parse_verdict("r").alias("v")).collect()
+    assert {r.r: r.v for r in got} == replies
+    golds = {"0": "SUPPORTED", "00": "SUPPORTED", "1": "NOT_SUPPORTED", " supports ": "SUPPORTED", "Refutes": "NOT_SUPPORTED", "TRUE": "SUPPORTED",
+             "entailment": "SUPPORTED", "not supported": "NOT_SUPPORTED", "maybe": "NOT_SUPPORTED"}
+    got = spark.createDataFrame([(r,) for r in golds], "r string").select("r", normalize_gold("r").alias("v")).collect()
+    assert {r.r: r.v for r in got} == golds
