@@ -94,3 +94,19 @@ def word_counts(texts: DataFrame, words: Callable[[str], list[bytes]] = words_of
                         yield from out()
         yield from out()
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of counts (word, n) with the largest n, at most ``limit`` of them and all that share a bucket.
+
+    A histogram of the counts, in logarithmic buckets whose number is bounded, tells from which count
+    on there are so few; no task sends rows that are not among them.
+    """
+    bucket = F.floor(F.log2(F.col("n")) * 64)
+    cut, have = math.inf, 0
+    for r in counts.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():
+        have += r["count"]
+        if have > limit:
+            break
+        cut = r.b
+    return counts.filter(bucket >= F.lit(float(cut)))
