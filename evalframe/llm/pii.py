@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -26,8 +26,8 @@ MIN_SUPPORT = 5
 DISCLOSE = 0.95
 REMOVE = 0.99
 MIN_TERM = 3
-#: Bits of the filter that tells which texts may hold a disclosing term (a fixed 128 KB).
-FILTER_BITS = 1 << 20
+#: Tables that measure up to this are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _MARK, _OTHER = "\ue000", "\ue001"  # the mark is replaced in texts, one character for one, before it is used
 
@@ -138,42 +138,41 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = MIN_SUPPO
     return pairs.join(term_frequencies(docs), "h").select("h", ratio.alias("ratio")).filter(F.col("ratio") >= disclose).groupBy("h").agg(F.max("ratio").alias("ratio"))
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A hint to broadcast ``df`` (a stored table) where its rows measure at most BROADCAST_BYTES; as it is beyond."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def term_spans(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """key, hits: array<struct<s, e, ratio>> of the disclosing terms in each text that holds any.
+    """key, hits: array<struct<s, e, ratio, kind>> of the disclosing terms in each text that holds any.
 
-    A filter of fixed size, with a bit set for each disclosing term, picks the texts that may hold
-    one; their terms, with offsets from the lengths of what stands before, meet the terms in a join.
+    The terms of all texts meet the disclosing ones first; each text that holds some gets a map of its
+    own few. Its terms are then walked in one expression, with offsets from the lengths of what stands
+    before: no row per term.
     """
-    slot = lambda h: F.pmod(h, F.lit(FILTER_BITS))
-    words = disclosing.select(slot(F.col("h")).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).collect()
-    held = [0] * (FILTER_BITS >> 6)
-    for r in words:
-        held[r.w] = r.bits
-    bits = F.lit(held).cast("array<bigint>")
-    t = F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)
-
-    def may(w: Column) -> Column:
-        b = slot(F.xxhash64(w))
-        return F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), (b % 64).cast("int")) == 1
-    some = docs.filter(F.exists(F.split(F.lower(F.coalesce("text", F.lit(""))), f"{_GAP}+"), may)) if words else docs.limit(0)
+    key, t = F.md5(F.coalesce("text", F.lit(""))), F.translate(F.coalesce("text", F.lit("")), _MARK, _OTHER)
+    words = docs.select(key.alias("key"), F.explode(terms(F.coalesce("text", F.lit("")))).alias("w")).filter(F.length("w") >= MIN_TERM)
+    met = words.select("key", F.xxhash64("w").alias("h")).join(small(disclosing, 16), "h").distinct()
+    held = stored(met.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("h", "ratio"))).alias("own")), "pii-held")
     # Spans of the base are blanked, one character for one, so that terms are those that were counted.
     blank = t
     for p in (EMAIL, IP, CARD, PHONE):
         pieces = F.split(F.regexp_replace(blank, p, f"{_MARK}$0{_MARK}"), _MARK, -1)
         blank = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "")
-    texts = some.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), blank.alias("t")).dropDuplicates(["key"])
-    # A piece: a term and the gap after it.
-    pieces = texts.select("key", F.posexplode(F.split("t", f"(?<={_GAP})(?!{_GAP})", -1)).alias("i", "piece"))
-    at = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.select("key", "piece", F.coalesce(F.sum(F.length("piece")).over(at), F.lit(0)).cast("int").alias("s"))
-    word = F.regexp_replace("piece", f"^{_GAP}+|{_GAP}+$", "")
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{_GAP}+", ""))
-    one = placed.select("key", (F.col("s") + lead).cast("int").alias("s"), word.alias("w")).filter(F.length("w") >= MIN_TERM) \
-        .select("key", "s", (F.col("s") + F.length("w")).cast("int").alias("e"), F.xxhash64(F.lower("w")).alias("h"), "w")
-    kind = F.when(F.col("w").rlike("^[0-9]+$"), "NUMBER").when(F.col("w").rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
-    return one.join(disclosing, "h").select("key", F.struct("s", "e", "ratio", kind.alias("kind")).alias("hit")) \
-        .groupBy("key").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+    some = docs.withColumn("key", key).join(small(held, 256), "key").select("key", "own", blank.alias("t"))
+    # A piece: the gap before the text's first term, or a term and the gap after it.
+    pieces = F.split("t", f"(?<={_GAP})(?!{_GAP})", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,ratio:double,kind:string>>").alias("out"))
+
+    def step(a: Column, piece: Column) -> Column:
+        w = F.regexp_replace(piece, f"{_GAP}+$", "")
+        ratio = F.try_element_at(F.col("own"), F.xxhash64(F.lower(w)))
+        kind = F.when(w.rlike("^[0-9]+$"), "NUMBER").when(w.rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
+        hit = F.struct(a["at"].alias("s"), (a["at"] + F.length(w)).alias("e"), ratio.alias("ratio"), kind.alias("kind"))
+        more = F.when((F.length(w) >= MIN_TERM) & ratio.isNotNull(), F.concat(a["out"], F.array(hit))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(piece)).alias("at"), more.alias("out"))
+    found = some.select("key", F.aggregate(pieces, start, step, lambda a: a["out"]).alias("hits")).filter(F.size("hits") > 0)
+    return found.groupBy("key").agg(F.first("hits").alias("hits"))
 
 
 def find(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
@@ -184,7 +183,8 @@ def find(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE
     """
     rows = docs.select("doc_id", "text")
     found = stored(detect(rows), "pii-base")
-    hits = term_spans(rows, stored(disclosing_terms(rows, found, support, disclose), "pii-terms"))
+    # stored, so that the join below reads both sides from shuffles of its own, whose hot keys (copies of a text) Spark can split
+    hits = stored(term_spans(rows, stored(disclosing_terms(rows, found, support, disclose), "pii-terms")), "pii-hits")
     all_ = found.drop("entities", "terms").join(hits, "key", "left")
     base = F.array_join(F.filter(F.array(*(_joined(F.col(k), k) for k in KINDS)), lambda x: x != ""), ",")
     # All spans by start, then kind as listed, terms last.
