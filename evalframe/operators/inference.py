@@ -61,7 +61,7 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
     flat string inputs (``system_content``, ``user_content``) over the nested
     ``messages`` array: nested values cost a Python object per element on the
     way into pandas; build the chat messages inside ``fn``. A batch call that raises
-    is retried row by row; a row that still raises gets ``''``, ``failed = true`` and the
+    is repeated in halves, down to single rows; a row that still raises gets ``''``, ``failed = true`` and the
     exception in ``error``. With ``whole_call=True`` a call that raises fails all its rows
     and nothing is called twice. Output rows keep their keys, so order never matters.
     """
@@ -86,7 +86,9 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
         except Exception as e:
             if whole_call or len(part) == 1:
                 return [("", True, describe(e))] * len(part)
-        return [r for i in range(len(part)) for r in one_group(call, part.iloc[i:i + 1].reset_index(drop=True))]
+        # halves, down to the rows that fail: few calls where few rows do
+        mid = len(part) // 2
+        return [r for half in (part.iloc[:mid], part.iloc[mid:]) for r in one_group(call, half.reset_index(drop=True))]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = fn() if factory else fn
@@ -113,7 +115,7 @@ def score_with(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequenc
 
     The output is (keys..., result columns). Rows that a scorer need not see
     (already classified, e.g. missing function) should be filtered out first. A call that raises, or
-    answers with another number of rows, is repeated row by row; a row that still fails gets
+    answers with another number of rows, is repeated in halves; a row that still fails gets
     ``on_error(exception)``, a dict of result columns, or raises where that is not given.
     """
     import pandas as pd
@@ -136,7 +138,8 @@ def score_with(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequenc
                 if on_error is None:
                     raise
                 return [on_error(e)]
-        return [r for i in range(len(part)) for r in one_group(call, part.iloc[i:i + 1].reset_index(drop=True))]
+        mid = len(part) // 2
+        return [r for half in (part.iloc[:mid], part.iloc[mid:]) for r in one_group(call, half.reset_index(drop=True))]
 
     def run(it):
         call = fn() if factory else fn

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.constants import NEGATIVE
@@ -27,16 +27,16 @@ def evaluation_grid(examples: DataFrame, candidates: DataFrame, key: str = "cand
     other = [c for c in candidates.columns if c != key]
     k = candidates.filter(F.col(key).isNotNull())
     k = k.groupBy(key).agg(F.min(F.struct(*other)).alias("_ef_o")).select(key, "_ef_o.*") if other else k.distinct()
-    numbered, n = hashed_rows(k.withColumn("_ef_h", F.md5(F.col(key).cast("string"))), "_ef_h", key, name="_ef_no")
-    numbered = numbered.drop("_ef_h")
+    n, size = k.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*k.columns))))).first()
     if not n:
         return examples.withColumn(key, F.lit(None).cast(candidates.schema[key].dataType)).limit(0).select(
             "*", *[F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in other])
     grid = examples.withColumn("_ef_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
-    size = k.agg(F.sum(F.length(F.to_json(F.struct(*k.columns))))).first()[0] or 0
-    if size <= broadcast_bytes:
+    if size <= broadcast_bytes:  # so few bytes may also be numbered in one task
+        numbered = k.withColumn("_ef_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).cast("long"))
         out = grid.join(F.broadcast(numbered), "_ef_no")
     else:
+        numbered = hashed_rows(k.withColumn("_ef_h", F.md5(F.col(key).cast("string"))), "_ef_h", key, name="_ef_no")[0].drop("_ef_h")
         salt = F.pmod(F.xxhash64(*examples.columns), F.lit(GRID_SALTS))
         salted = numbered.withColumn("_ef_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_SALTS - 1).cast("long"))))
         out = grid.withColumn("_ef_salt", salt).join(salted, ["_ef_no", "_ef_salt"]).drop("_ef_salt")

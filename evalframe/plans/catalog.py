@@ -550,10 +550,15 @@ def synthetic_claims(spark, sf_dir):
 
 # ---------------------------------------------------------------- E6: prediction through a user function
 def stub_model(batch):
-    """Deterministic stand-in for a model: the fixture reply for (claim, candidate); calls that have not landed fail."""
-    from evalframe.plans.views import FIXTURE_REPLIES, QUOTING, reply_index
+    """``stub_replies``, but calls that have not landed fail."""
     if ((batch["claim_id"] + batch["candidate_id"]) % 11 == 10).any():
         raise RuntimeError("no reply")
+    return stub_replies(batch)
+
+
+def stub_replies(batch):
+    """Deterministic stand-in for a model: the fixture reply for (claim, candidate)."""
+    from evalframe.plans.views import FIXTURE_REPLIES, QUOTING, reply_index
     out = []
     for i, u in zip(reply_index(batch["claim_id"], batch["candidate_id"]), batch["user_content"]):
         claim = u.split("\n\nContext:\n", 1)[0].removeprefix("Claim: ")
@@ -569,8 +574,8 @@ def predict_stub(spark, sf_dir):
     # the examples are dealt out before they are multiplied by the candidates
     grid = joins.evaluation_grid(claims(fx).select("claim_id", "input").repartition(parts), fx.view("v_candidates"))
     req = shaping.build_requests(grid, style="claims", items="items", system_prompt="prompt_type")
-    out = predict(req, stub_model, keys=["claim_id", "candidate_id"], inputs=["system_content", "user_content"],
-                  batch_size=16)
+    out = predict(req, stub_replies, keys=["claim_id", "candidate_id"], inputs=["system_content", "user_content"],
+                  batch_size=64)
     return out.withColumn("predicted_label", parse_verdict(F.col("response")))
 
 

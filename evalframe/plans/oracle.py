@@ -491,10 +491,7 @@ FROM documents"""
 
 # ---------------------------------------------------------------- E6, H6, H7
 ORACLE_BODY["predict_stub"] = f"""
-SELECT claim_id, candidate_id, CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END AS response,
-       (claim_id + candidate_id) % 11 = 10 AS failed,
-       {S.verdict("CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN '' ELSE response END")} AS predicted_label,
-       CASE WHEN (claim_id + candidate_id) % 11 = 10 THEN 'RuntimeError: no reply' END AS error FROM v_replies"""
+SELECT claim_id, candidate_id, response, false AS failed, CAST(NULL AS VARCHAR) AS error, {S.verdict('response')} AS predicted_label FROM v_replies"""
 ORACLE_BODY["stream_accuracy"] = ORACLE_BODY["accuracy"]
 ORACLE_BODY["stream_windows"] = """
 WITH e AS (SELECT run_name, epoch_us(ts) AS us, total_tokens FROM v_event_log),
