@@ -60,12 +60,12 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
                                        for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back: later steps reuse it, lost executors lose nothing."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: later steps reuse it, lost executors lose nothing. ``by``: columns to lay folders out by."""
     spark: SparkSession = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

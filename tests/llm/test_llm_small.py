@@ -556,3 +556,26 @@ def test_rare_words_reach_the_stored_counts(spark, docs, monkeypatch):
     rows = sorted(((r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score_documents(docs, held).collect()), key=repr)
     monkeypatch.setattr(lm.vocabulary, "__defaults__", (4, 6))  # four words in the head, six looked up
     assert sorted(((r.doc_id, round(r.base_score, 6), r.n_known) for r in lm.score_documents(docs, held).collect()), key=repr) == rows
+
+
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    # twelve documents (a sample of 1/48 was mostly empty); repeated, empty and null ones count too
+    rows = [(i, f"a b c{i}") for i in range(8)] + [(8, "a b"), (8, "a b"), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = lm.vocabulary(lm.count_tokens(docs, F.lit(True)))
+    got = sorted(len(r.symbols) // 4 for r in lm.sequences(docs, vocab).collect())
+    assert got == sorted(len(lm.tokens_of(t or "")) for _, t in rows)
+    assert len({r.place for r in lm.sequences(docs, vocab).collect()}) == len(rows)  # equal rows have places of their own
+    start = lm.GRU(vocab).p
+    for shard_docs in (512, 1):  # one round, and four rounds of up to four shards
+        trained = lm.train(docs, F.lit(True), vocab, shard_docs).p
+        assert any(not np.array_equal(trained[k], start[k]) for k in start)
+
+
+def test_rounds_grow_with_the_corpus(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "stored", lambda df, name, *by: seen.append(df.select("round").distinct().count()) or df if name == "lm-training" else df)
+    for n in (4, 64):
+        docs = spark.createDataFrame([(i, f"a b c{i % 5}") for i in range(n)], "doc_id long, text string")
+        lm.train(docs, F.lit(True), lm.vocabulary(lm.count_tokens(docs, F.lit(True))), 4)
+    assert seen == [1, 4]
