@@ -579,3 +579,20 @@ def test_rounds_grow_with_the_corpus(spark, monkeypatch):
         docs = spark.createDataFrame([(i, f"a b c{i % 5}") for i in range(n)], "doc_id long, text string")
         lm.train(docs, F.lit(True), lm.vocabulary(lm.count_tokens(docs, F.lit(True))), 4)
     assert seen == [1, 4]
+
+
+@pytest.mark.parametrize(("before", "value", "after"), [
+    ("password" + " " * 30 + ":" + " " * 12, "x9kQv2L!p", ""), ("token\t\t\t\t\t\t\t\t\t\t= '", "x9k#Qv2&LpZ7", "'"), ("authorization:" + " " * 9 + "bearer" + " " * 10, "x9kQv2LpZ7w", " x"),
+    ("redis://:", "x9kQv2LpZ7w", "@host/0"), ("amqp://" + "u" * 90 + ":", "x9kQv2LpZ7w", "@host"), ("a" * 30 + "://u:", "x9kQv2LpZ7w", "@host"),
+    ("see postgres://u:", "x9/kQ@v2:LpZ7w", "@host/db a@b"), ("redis://u:", "x9kQv2LpZ7w", "@host,http://host:8080/a/user@mail.example"),
+])
+def test_credential_contexts_have_no_caps(before, value, after):
+    assert secrets.guess_spans(before + value + after, RANKS, []) == [(len(before), len(before) + len(value), "guess")]
+
+
+def test_credential_contexts_take_linear_time():
+    import time
+    start = time.process_time()
+    for t in ("a" * 300_000 + "://", "password" + " " * 300_000 + "x", "://" * 100_000, "a://u:" * 50_000, "bearer" + " " * 300_000, "redis://:" + "a@b:/" * 1 + "c" * 300_000):
+        secrets.guess_spans(t, RANKS, [], min_value=10 ** 9)
+    assert time.process_time() - start < 20
