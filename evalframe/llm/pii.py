@@ -4,9 +4,11 @@ Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the
 entities. A term t of the corpus discloses an entity e as far as it tells us that e is near:
 PMI(e; t) = log2(p(e, t) / (p(e) p(t))) against the information of the entity itself,
 IC(e) = -log2 p(e). The ratio is 1 if t occurs with e only. Probabilities are shares of all
-documents, over all documents. A term that occurs with an entity in at least MIN_SUPPORT
-documents and reaches DISCLOSE is generalised to its kind wherever it stands; from REMOVE on
-it is removed.
+documents, over all documents. A term that reaches DISCLOSE and is near the entity more often
+than chance allows is generalised to its kind wherever it stands; from REMOVE on it is removed.
+Chance is judged over distinct texts, since copies of a text are no further evidence: were terms
+dealt at random, at most CHANCE pairs of an entity and a term would be expected to pass, over
+all pairs. Two texts can be enough; how many must be depends on the corpus alone.
 
 A text's matches are found by marking them with a character that cannot be in it and cutting
 there; the lengths of the pieces give the offsets.
@@ -14,6 +16,7 @@ there; the lengths of the pieces give the offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SUPPORT = 5
+#: Pairs of an entity and a term that may pass by chance, expected over the whole corpus.
+CHANCE = 0.05
 DISCLOSE = 0.95
 REMOVE = 0.99
 MIN_TERM = 3
@@ -118,24 +122,53 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """h (hash of a term), df: in how many documents, over all documents."""
-    words = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("w")).filter(F.length("w") >= MIN_TERM)
-    return words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    """h (hash of a term), df: in how many documents, over all documents, dt: in how many distinct texts."""
+    texts = docs.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("n"))
+    words = texts.select("n", F.explode(terms(F.col("text"))).alias("w")).filter(F.length("w") >= MIN_TERM)
+    return words.select(F.xxhash64("w").alias("h"), "n").groupBy("h").agg(F.sum("n").alias("df"), F.count("*").alias("dt"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
+def log_chance(both: Column, a: Column, b: Column, total: int, factors: int = 16) -> Column:
+    """Upper bound of ln P(at least ``both`` of ``a`` random texts are among ``b`` given ones, of ``total``).
+
+    The expected number of j-subsets of the common texts over that in ``both`` texts, by Markov; j is ``both``
+    up to ``factors``. Exact where both = a = b <= factors.
+    """
+    def factor(i: int) -> Column:
+        return F.when(both > i, F.log((a - i).cast("double") * (b - i) / ((F.lit(float(total)) - i) * (both - i)))).otherwise(0.0)
+    return sum((factor(i) for i in range(1, factors)), factor(0))
+
+
+def least_texts(total: int, limit: float) -> int:
+    """The least number of texts in which a pair can pass ``limit``, a bound of ln P: fewer can't however rare the term and the entity."""
+    most = 0.0
+    for k in range(1, min(total, 16) + 1):
+        most += math.log(k / (total - k + 1))  # -ln C(total, k)
+        if most <= limit:
+            return k
+    return total + 1
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, chance: float = CHANCE, disclose: float = DISCLOSE) -> DataFrame:
     """h, ratio: the terms that disclose an entity, with their greatest PMI(e; t) / IC(e)."""
     total = docs.count()
+    distinct = found.select("key").distinct().count()
     # Copies of a text are counted once with their number before anything is multiplied out.
     texts = found.filter(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    tests = texts.agg(F.sum(F.size("entities").cast("long") * F.size("terms"))).first()[0] or 1
+    limit = math.log(chance / tests)
+    least = least_texts(distinct, limit)
     near = texts.select(F.explode("entities").alias("e"), "n", "terms")
-    known = near.groupBy("e").agg(F.sum("n").alias("de")).filter(F.col("de") >= support)
-    pairs = near.join(known, "e").select(F.xxhash64("e").alias("e"), "de", "n", F.explode("terms").alias("h")) \
-        .groupBy("e", "h").agg(F.sum("n").alias("both"), F.first("de").alias("de")).filter(F.col("both") >= support)
+    known = near.groupBy("e").agg(F.sum("n").alias("de"), F.count("*").alias("et")).filter(F.col("et") >= least)
+    pairs = near.join(known, "e").select(F.xxhash64("e").alias("e"), "de", "et", "n", F.explode("terms").alias("h")) \
+        .groupBy("e", "h").agg(F.sum("n").alias("both"), F.count("*").alias("bt"), F.first("de").alias("de"), F.first("et").alias("et")).filter(F.col("bt") >= least)
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("de") * F.col("df")))
     information = F.log2(F.lit(float(total)) / F.col("de"))
     ratio = F.when(information > 0, pmi / information).otherwise(0.0)
-    return pairs.join(term_frequencies(docs), "h").select("h", ratio.alias("ratio")).filter(F.col("ratio") >= disclose).groupBy("h").agg(F.max("ratio").alias("ratio"))
+    # A term is counted in texts without their base spans, its frequency in whole ones: the latter is no less, but for a term that a span hid.
+    bound = log_chance(F.col("bt"), F.col("et"), F.greatest("dt", "bt"), distinct)
+    return pairs.join(term_frequencies(docs), "h").filter(bound <= limit).select("h", ratio.alias("ratio")) \
+        .filter(F.col("ratio") >= disclose).groupBy("h").agg(F.max("ratio").alias("ratio"))
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -175,7 +208,7 @@ def term_spans(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.first("hits").alias("hits"))
 
 
-def find(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
+def find(docs: DataFrame, chance: float = CHANCE, disclose: float = DISCLOSE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_terms, spans, key and hits of every row of ``docs``.
 
     Null and empty texts hold nothing (the digest of the empty text). Null ids are kept; repeated rows
@@ -184,7 +217,7 @@ def find(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE
     rows = docs.select("doc_id", "text")
     found = stored(detect(rows), "pii-base")
     # stored, so that the join below reads both sides from shuffles of its own, whose hot keys (copies of a text) Spark can split
-    hits = stored(term_spans(rows, stored(disclosing_terms(rows, found, support, disclose), "pii-terms")), "pii-hits")
+    hits = stored(term_spans(rows, stored(disclosing_terms(rows, found, chance, disclose), "pii-terms")), "pii-hits")
     all_ = found.drop("entities", "terms").join(hits, "key", "left")
     base = F.array_join(F.filter(F.array(*(_joined(F.col(k), k) for k in KINDS)), lambda x: x != ""), ",")
     # All spans by start, then kind as listed, terms last.
@@ -194,9 +227,9 @@ def find(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE
                        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_terms"), _joined(F.sort_array(order)).alias("spans"), "key", "hits")
 
 
-def sanitise(docs: DataFrame, support: int = MIN_SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, chance: float = CHANCE, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with its columns, each base span replaced by its kind in brackets, disclosing terms generalised to their kind or removed."""
-    found = find(docs, support, disclose).select("key", "spans", "hits").dropDuplicates(["key"])
+    found = find(docs, chance, disclose).select("key", "spans", "hits").dropDuplicates(["key"])
     names = docs.columns
     own = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")))).join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"), F.col("hits").alias("__hits")), "__key", "left")
     span = F.transform(F.filter(F.split("__spans", ","), lambda x: x != ""), lambda x: F.struct(

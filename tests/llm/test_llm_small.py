@@ -596,3 +596,39 @@ def test_credential_contexts_take_linear_time():
     for t in ("a" * 300_000 + "://", "password" + " " * 300_000 + "x", "://" * 100_000, "a://u:" * 50_000, "bearer" + " " * 300_000, "redis://:" + "a@b:/" * 1 + "c" * 300_000):
         secrets.guess_spans(t, RANKS, [], min_value=10 ** 9)
     assert time.process_time() - start < 20
+
+
+def test_pii_few_texts_and_copies(spark):
+    rng = random.Random(7)
+    common = [f"word{i}x" for i in range(60)]
+    rows = [[i, " ".join(rng.choice(common) for _ in range(30))] for i in range(2000)]
+    planted = {}
+    for j in range(30):  # each address in two to four texts, with a code name of its own, which is once more alone
+        k = 2 + j % 3
+        own = [40 * j + i for i in range(k)]
+        for i in own:
+            rows[i][1] = f"{rows[i][1]} Codename{j}q wrote person{j}@mail.example today"
+        planted[f"Codename{j}q"] = own
+    page = "quillon brastow " + rows[1900][1] + " copied@mail.example"
+    rows += [[3000 + i, page] for i in range(6)]  # copies are one text, and no evidence
+    rows += [[4000 + i, f"single{i}z {rows[1500 + i][1]} lone{i}@mail.example"] for i in range(20)]
+    hits = {r.doc_id: (r.hits, r.n_terms) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = {i: t for i, t in rows}
+
+    def words(i):
+        return {text[i][h.s:h.e] for h in hits[i][0] or []}
+    recall = sum(all(w in words(i) for i in own) for w, own in planted.items()) / len(planted)
+    assert recall == 1.0
+    assert all(not words(3000 + i) for i in range(6)) and all(not words(4000 + i) for i in range(20))
+    assert all(not words(i) for i in range(1200, 2000))
+
+
+@pytest.mark.parametrize("total", [12, 40])
+def test_pii_chance_bounds_the_tail(spark, total):
+    cases = [(k, a, b) for a in range(1, 8) for b in range(1, 8) for k in range(1, min(a, b) + 1)]
+    got = spark.createDataFrame(cases, "k int, a int, b int").select("k", "a", "b", pii.log_chance(F.col("k"), F.col("a"), F.col("b"), total).alias("p")).collect()
+    for r in got:
+        tail = sum(math.comb(r.b, x) * math.comb(total - r.b, r.a - x) for x in range(r.k, min(r.a, r.b) + 1)) / math.comb(total, r.a)
+        assert r.p >= math.log(tail) - 1e-9
+        if r.k == r.a == r.b:
+            assert abs(r.p - math.log(tail)) < 1e-9
