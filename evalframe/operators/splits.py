@@ -110,7 +110,7 @@ def remaining(examples: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 def minibatches(df: DataFrame, id_col: str, size: int, iters: int, seed=42) -> DataFrame:
     """Reflection minibatches: iteration ``j`` takes the next ``size`` rows of an epoch shuffle.
 
-    Epoch ``e`` is the seeded shuffle ``md5(seed|e|id)``; it yields
+    Epoch ``e`` is the seeded shuffle ``md5(seed|e|id)``, a null id like the empty text; it yields
     ``m = ceil(n / size)`` minibatches (the last one may be shorter). Only the
     epochs that iterations reach are generated, so the work is proportional to
     ``n + iters * size``.
@@ -122,7 +122,7 @@ def minibatches(df: DataFrame, id_col: str, size: int, iters: int, seed=42) -> D
     epochs = math.ceil(iters / m)
     e = df.select(id_col).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     e = e.withColumn("_ef_key", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col("epoch").cast("string"),
-                                                F.lit("|"), F.col(id_col).cast("string"))))
+                                                F.lit("|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     r, _ = hashed_rows(e, "_ef_key", id_col, name="_ef_rn", group="epoch")
     pos = F.col("_ef_rn") - 1
     r = r.withColumn("iteration", (F.col("epoch") * m + F.floor(pos / size)).cast("long")) \

@@ -125,3 +125,10 @@ def test_running_count_null_run_key(spark):
     lg = {r.event_id: r.prev for r in ordering.keyed_lag(df, "run", "ts", "event_id", "event_id", "prev").collect()}
     assert rc == {1: 1, 2: 2, 4: 3, 3: 1}
     assert lg == {1: None, 2: 1, 4: 2, 3: None}
+
+
+def test_minibatches_keep_null_ids(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (None,), (5,)], "id long")
+    rows = splits.minibatches(df, "id", 2, 6).collect()
+    assert len(rows) == 10 and sum(r.id is None for r in rows) == 4
+    assert sorted((r.iteration, r.slot) for r in rows) == [(i, s) for i in range(6) for s in ((1, 2) if i % 3 < 2 else (1,))]
