@@ -96,17 +96,34 @@ def word_counts(texts: DataFrame, words: Callable[[str], list[bytes]] = words_of
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of counts (word, n) with the largest n, at most ``limit`` of them and all that share a bucket.
+def most_frequent(counts: DataFrame, limit: int, key: str = "word") -> DataFrame:
+    """``limit`` rows of counts (``key``, n), or all if there are fewer, with the largest n.
 
-    A histogram of the counts, in logarithmic buckets whose number is bounded, tells from which count
-    on there are so few; no task sends rows that are not among them.
+    A histogram of the counts, in logarithmic buckets whose number is bounded, tells which buckets fit
+    whole. Of the first that does not, rows are taken by the hash of their key: a histogram of its
+    leading bits is refined within the bucket where the limit falls until the limit is met, so many
+    equal counts are cut as well. No task sends rows that are not among them, and keys are distinct.
     """
     bucket = F.floor(F.log2(F.col("n")) * 64)
-    cut, have = math.inf, 0
+    place = F.xxhash64(key)
+    room, cut = limit, None
     for r in counts.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():
-        have += r["count"]
-        if have > limit:
+        if r["count"] > room:
+            cut = r.b
             break
-        cut = r.b
-    return counts.filter(bucket >= F.lit(float(cut)))
+        room -= r["count"]
+    if cut is None:
+        return counts
+    chosen, edge = bucket > F.lit(cut), bucket == F.lit(cut)
+    for shift in (52, 40, 28, 16, 4, 0):
+        if not room:
+            break
+        step = F.shiftrightunsigned(place, shift).bitwiseAND(4095)
+        parts = counts.filter(edge).groupBy(step.alias("p")).count().orderBy("p").collect()
+        at = -1  # the last part that fits
+        for r in parts:
+            if r["count"] > room:
+                chosen, edge = chosen | (edge & (step <= F.lit(at))), edge & (step == F.lit(r.p))
+                break
+            room, at = room - r["count"], r.p
+    return counts.filter(chosen)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, language_id, lm, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
+from . import alignment, bpe, divergence, language_id, lm, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
 o AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
 SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compare(table(spark, sf_dir, "documents"))
