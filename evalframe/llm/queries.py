@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, divergence, language_id, lm, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
+from . import alignment, bpe, divergence, language_id, lm, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, simhash, topk
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,26 @@ SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.compare(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d
+), n AS (SELECT r, doc_id, len(s) AS n FROM s),
+f AS (SELECT r, unnest(s) AS t FROM s),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM f a JOIN f b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+p AS (SELECT r, r AS o FROM n UNION SELECT p.r, g.y FROM p JOIN g ON g.x = p.o)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id
+FROM n JOIN (SELECT p.r, min(q.doc_id) AS component_id FROM p JOIN n q ON q.r = p.o GROUP BY p.r) m ON m.r = n.r
+"""
