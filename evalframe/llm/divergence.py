@@ -241,12 +241,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, spill: int
     group = spark.createDataFrame(rows, "lang string, source string, zero long, kept long")
     other = group.select("lang", F.col("source").alias("other"), F.col("zero").alias("zero2"))
     found = sums.groupBy("lang", "source", "part", "other", "term").agg(F.sum("value").alias("value"))
-    both = group.join(other, "lang").filter(F.col("source") != F.col("other"))
     found = stored(found, "divergence-sums")
-    pairs = both.join(found.filter("part = 'pair'").select("lang", "source", "other", "value"), ["lang", "source", "other"], "left").select(
+    pairs = group.join(other, "lang").filter(F.col("source") != F.col("other")).join(found.filter("part = 'pair'").select("lang", "source", "other", "value"), ["lang", "source", "other"], "left").select(
         "lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"),
         (F.coalesce("value", F.lit(0)) + F.when(F.col("kept") > 0, F.expr("kept * ((zero - zero2) * (zero - zero2) div (zero + zero2))")).otherwise(0)).alias("value"))
     best = found.filter("part = 'term'").select("lang", "source", "part", F.col("term").cast("string").alias("item"), "value")
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = pairs.unionByName(best).withColumn("rank", F.row_number().over(order))
-    return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))
+    # Ranked apart: each partition's rows beyond the limit stay out of the shuffle.
+    both = ranked(pairs).unionByName(ranked(best).filter(F.col("rank") <= top))
+    return both.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")
