@@ -351,36 +351,26 @@ def units_of_rest(shard: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 # ------------------------------------------------------------------------------ the join
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """sid, own (the set's hashes) of the sets in ``wanted`` (sid, digest, text_hash), from the texts; stored."""
-    schema = pa.schema([("digest", pa.binary()), ("own", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("own", pa.list_(pa.int64()))])
 
     def make():
         hashes = _WordHash()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes, shingle).tobytes() for t in texts_of(b)]
-            return batch(schema, [xxhash.xxh3_128_digest(s) for s in sets], sets)
+            sets = [shingle_set(t, hashes, shingle) for t in texts_of(b)]
+            return batch(schema, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets])
         return step
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted.select("text_hash"), "text_hash", "left_semi")
-    sets = arrow_map(texts.select("text"), make, "digest binary, own binary").dropDuplicates(["digest"])
+    sets = arrow_map(texts.select("text"), make, "digest binary, own array<long>").dropDuplicates(["digest"])
     return stored(sets.join(wanted.select("sid", "digest"), "digest").select("sid", "own"), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left, right = sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), sets.select(F.col("sid").alias("b"), F.col("own").alias("y"))
-
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two sorted runs are merged
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= need * (len(both) - same))
-            return pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        return step
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), make, "a long, b long")
+    same = F.size(F.array_intersect("x", "y")).cast("long")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter((100 + need) * same >= need * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
