@@ -3,8 +3,9 @@
 Two tokenizations of one text end tokens at byte offsets. An offset where both end a token is
 a shared cut. For a stretch of tokens the common end nearest its middle token is found by
 bisection in the other side's ends, the stretch is cut there, and both halves are taken on in
-the same way; a stretch without a common end inside is a group. Tokens of the two sides are
-linked where their byte ranges overlap.
+the same way; a stretch without a common end inside is a group. All stretches of a batch of documents are
+taken on together, level by level. Tokens of the two sides are linked where their byte ranges
+overlap.
 
 How often two ids are linked is a count over the corpus: each partition folds its documents'
 distinct pairs into counts that Spark merges by pair. The LISTED most frequent pairs (a fixed
@@ -17,8 +18,8 @@ import base64
 import functools
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from .bpe import tokenizer_path
 from .common import batch, bounded, most_frequent, stored, texts_of
 
 BYTE_LEVEL, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Pairs that tasks look up: 9 bytes each.
+#: Pairs that tasks look up: 17 bytes each.
 LISTED = 1 << 19
-#: Links of documents that a partition holds before it sends its counts on.
+#: Pairs of documents that a partition holds before it sends its counts on.
 HELD = 1 << 22
+#: With fewer open stretches than this, each is searched by itself.
+FEW = 16
 #: Characters after which a long text is cut at the next place where neither side's tokens can go on.
 STRETCH = 1 << 16
 
@@ -54,8 +57,7 @@ class Side:
     def __init__(self, token_bytes: list[bytes]):
         self.bytes = token_bytes
         self.lengths = np.array([len(b) for b in token_bytes], np.int64)
-        self.names = [str(i) for i in range(len(token_bytes))]
-        self.type = np.dtype("<u2" if len(token_bytes) <= 1 << 16 else "<u4")
+        self.size = len(token_bytes)
 
 
 class ByteLevelSide(Side):
@@ -128,6 +130,12 @@ def sides(a: str, ranks: str | None, b: str) -> tuple[ByteLevelSide, PieceSide]:
     return ByteLevelSide(a, ranks), PieceSide(b)
 
 
+@functools.cache
+def _words(a: int, b: int) -> list[str]:
+    """Ids with the mark that follows them: A's within a group and at its end, then B's."""
+    return [f"{i}{mark}" for n, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(n)]
+
+
 def tokens(text: str, a: ByteLevelSide, b: PieceSide) -> tuple[list[int], list[int]]:
     """Ids of both sides; none where the text is empty or a side's bytes are not a space and the text."""
     if not text:
@@ -140,130 +148,163 @@ def tokens(text: str, a: ByteLevelSide, b: PieceSide) -> tuple[list[int], list[i
     return x, y
 
 
-def shared_cuts(ea: list[int], eb: list[int]) -> list[tuple[int, int]]:
-    """(i, j) in order with ``ea[i] == eb[j]``, from ends that rise and share the last one."""
-    if not ea:
-        return []
-    found = [(len(ea) - 1, len(eb) - 1)]
-    # Stretch: the ends a0..a1-1 may be cuts, with partners among b0..b1-1.
-    todo = [(0, len(ea) - 1, 0, len(eb) - 1)]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        if a0 >= a1 or b0 >= b1:
-            continue
-        low = (a0 + a1) >> 1
-        high, cut = low + 1, -1
-        while low >= a0 or high < a1:  # outward from the middle
-            if low >= a0:
-                j = bisect_left(eb, ea[low], b0, b1)
-                if j < b1 and eb[j] == ea[low]:
-                    cut = low
-                    low -= 1
-                    break
-                low -= 1
-            if high < a1:
-                j = bisect_left(eb, ea[high], b0, b1)
-                if j < b1 and eb[j] == ea[high]:
-                    cut = high
-                    high += 1
-                    break
-                high += 1
-        if cut >= 0:
-            found.append((cut, j))
-            # Ends between low and high are known to be no cuts, but this one.
-            todo.append((a0, low + 1, b0, j))
-            todo.append((high, a1, j + 1, b1))
-    found.sort()
-    return found
-
-
-def groups_text(x: list[int], y: list[int], cuts: list[tuple[int, int]], a: Side, b: Side) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of each group."""
-    xs, ys = [a.names[i] for i in x], [b.names[i] for i in y]
-    out, i, j = [], 0, 0
-    for p, q in cuts:
-        if p == i and q == j:
-            out.append(f"{xs[i]}|{ys[j]}")
-        else:
-            out.append(f"{','.join(xs[i:p + 1])}|{','.join(ys[j:q + 1])}")
-        i, j = p + 1, q + 1
-    return ";".join(out)
-
-
-ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, a binary, b binary"
-
-
-def align(docs: DataFrame, name_a: str = BYTE_LEVEL, name_b: str = PIECES, ranks: str | None = RANKS) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, groups_sha256 and the ids of both sides (little-endian, ``Side.type``) of every row of ``docs``."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-                        ("groups_sha256", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+def _common(ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of ``ends`` are among ``other``, by bisection."""
+    at = np.minimum(np.searchsorted(other, ends), len(other) - 1)
+    return other[at] == ends
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 33
-        a, b = sides(name_a, ranks, name_b)
-        for whole in batches:
-            for part in bounded(whole, 4 << 20):
-                got = []
-                for text in texts_of(part):
-                    x, y = tokens(text, a, b)
-                    ax, by = np.array(x, a.type), np.array(y, b.type)
-                    cuts = shared_cuts(np.cumsum(a.lengths[ax]).tolist(), np.cumsum(b.lengths[by]).tolist())
-                    digest = hashlib.sha256(groups_text(x, y, cuts, a, b).encode()).hexdigest() if x else ""
-                    got.append((len(x), len(y), len(cuts), digest, ax.tobytes(), by.tobytes()))
-                yield batch(schema, np.arange(number, number + len(got)), part.column(0), *zip(*got, strict=True))
-                number += len(got)
-    return docs.select("doc_id", "text").mapInArrow(run, ALIGNED)
-
-
-def links(part: pa.RecordBatch, a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
-    """(document, pair) of every link of a batch of aligned documents, in order; a pair is A's id above, B's id in the low 32 bits.
-
-    Between two neighbouring ends, of whichever side, lies one token of each: one link. Documents
-    are laid out one after another, so one pass serves all of them.
-    """
-    x, y = (np.concatenate([np.zeros(0, s.type), *(np.frombuffer(v, s.type) for v in part.column(c).to_pylist())])
-            for s, c in ((a, part.schema.get_field_index("a")), (b, part.schema.get_field_index("b"))))
-    ea, eb = np.cumsum(a.lengths[x]), np.cumsum(b.lengths[y])
-    ends = np.union1d(ea, eb)
-    i = np.searchsorted(ea, ends)
-    document = np.searchsorted(np.cumsum(part.column(part.schema.get_field_index("n_a")).to_numpy()), i, "right")
-    return document, (x[i].astype(np.int64) << 32) | y[np.searchsorted(eb, ends)]
 
+def _nearest(ea: np.ndarray, eb: np.ndarray, a0: int, a1: int, low: int, high: int) -> tuple[int, int, int, int]:
+    """The common ends nearest to the middle of a stretch, by windows that double: (left, right, next low, next high), -1 where there is none."""
+    w = 32
+    while low >= a0 or high < a1:
+        lo, hi = max(a0, low - w + 1), min(a1, high + w)
+        left, right = np.flatnonzero(_common(ea[lo:low + 1], eb)), np.flatnonzero(_common(ea[high:hi], eb))
+        if len(left) or len(right):
+            i, j = (lo + int(left[-1]) if len(left) else -1), (high + int(right[0]) if len(right) else -1)
+            return i, j, (i if i >= 0 else lo) - 1, (j if j >= 0 else hi - 1) + 1
+        low, high, w = lo - 1, hi, 2 * w
+    return -1, -1, low, high
 
-def pair_counts(aligned: DataFrame, name_a: str = BYTE_LEVEL, name_b: str = PIECES, ranks: str | None = RANKS, held: int = HELD) -> DataFrame:
-    """pair, n (documents that hold it linked), best (n is the highest of its A id)."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+def shared_cuts(ea: np.ndarray, eb: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places in ``ea`` of the ends that are in ``eb`` too, in order.
+
+    Both rise over a batch of documents laid end to end; ``starts``: the first place of each document
+    in ``ea``, and its length. A document's last end is shared. A stretch is the ends a0..a1-1; the
+    two in its middle are looked up, those that are shared cut it, and else the next two outward,
+    until it is cut or done.
+    """
+    full = starts[1:] > starts[:-1]
+    a0, a1 = starts[:-1][full], starts[1:][full] - 1
+    found = [a1]
+    a0, a1 = a0[a1 > a0], a1[a1 > a0]
+    low = (a0 + a1) >> 1
+    high = low + 1
+    while len(a0) > FEW:
+        left = (low >= a0) & _common(ea[np.maximum(low, 0)], eb)
+        right = (high < a1) & _common(ea[np.minimum(high, len(ea) - 1)], eb)
+        found += [low[left], high[right]]
+        cut = left | right
+        open_ = ~cut & ((low > a0) | (high + 1 < a1))
+        # Both halves of what was cut, and what has ends left to try.
+        b0, b1 = np.concatenate([a0[cut], high[cut] + 1]), np.concatenate([low[cut], a1[cut]])
+        more = b1 > b0
+        b0, b1 = b0[more], b1[more]
+        mid = (b0 + b1) >> 1
+        a0, a1, low, high = (np.concatenate(z) for z in ((b0, a0[open_]), (b1, a1[open_]), (mid, low[open_] - 1), (mid + 1, high[open_] + 1)))
+        order = np.argsort(a0, kind="stable")  # runs that rise are merged, and rising ends are looked up where the last one was
+        a0, a1, low, high = a0[order], a1[order], low[order], high[order]
+    todo = list(zip(a0.tolist(), a1.tolist(), low.tolist(), high.tolist(), strict=True))
+    while todo:
+        p, q, lo, hi = todo.pop()
+        i, j, lo, hi = _nearest(ea, eb, p, q, lo, hi)
+        found.append(np.array([k for k in (i, j) if k >= 0], np.int64))
+        if i >= 0 or j >= 0:
+            todo += [(s, e, (s + e) >> 1, ((s + e) >> 1) + 1) for s, e in ((p, lo + 1), (hi, q)) if e > s]
+    return np.sort(np.concatenate(found))
+
+
+class Batch:
+    """Tokens, groups and links of a batch of texts, laid end to end."""
+
+    def __init__(self, texts: list[str], a: ByteLevelSide, b: PieceSide):
+        got = [tokens(t, a, b) for t in texts]
+        self.a, self.b, self.n = a, b, len(texts)
+        self.at, self.bt = (np.append(0, np.cumsum([len(g[s]) for g in got])) for s in (0, 1))
+        self.x, self.y = (np.fromiter(chain.from_iterable(g[s] for g in got), np.int64, n) for s, n in ((0, self.at[-1]), (1, self.bt[-1])))
+        self.ea, self.eb = np.cumsum(a.lengths[self.x]), np.cumsum(b.lengths[self.y])
+        #: The last token of each group, on either side.
+        self.cut = shared_cuts(self.ea, self.eb, self.at) if len(self.x) else np.zeros(0, np.int64)
+        self.cut_b = np.searchsorted(self.eb, self.ea[self.cut])
+        self.groups = np.diff(np.searchsorted(self.cut, self.at))
+
+    def texts(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text: decimal ids of each group."""
+        i, j = np.arange(len(self.x)), np.arange(len(self.y))
+        ga, gb = np.searchsorted(self.cut, i), np.searchsorted(self.cut_b, j)
+        before = np.append(0, self.cut_b + 1)  # B's tokens ahead of each group
+        word = np.empty(len(i) + len(j), np.int64)
+        word[i + before[ga]] = self.x + self.a.size * (self.cut[ga] == i)
+        word[j + self.cut[gb] + 1] = self.y + 2 * self.a.size + self.b.size * (self.cut_b[gb] == j)
+        words, word = _words(self.a.size, self.b.size), word.tolist()
+        both = (self.at + self.bt).tolist()
+        return ["".join(map(words.__getitem__, word[s:e]))[:-1] for s, e in zip(both[:-1], both[1:], strict=True)]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times), in order: how often each document links two ids. A pair is A's id times B's size, plus B's id.
+
+        Between two neighbouring ends, of whichever side, lies one token of each: one link.
+        """
+        ends = np.concatenate([self.ea, self.eb])
+        ends.sort(kind="stable")  # two sorted runs are merged
+        ends = ends[np.append(ends[1:] != ends[:-1], True)[:len(ends)]]
+        i = np.searchsorted(self.ea, ends)
+        pairs = self.a.size * self.b.size
+        link = (np.searchsorted(self.at, i, "right") - 1) * pairs + self.x[i] * self.b.size + self.y[np.searchsorted(self.eb, ends)]
+        link, times = np.unique(link, return_counts=True)
+        document = link // pairs
+        return document, link - document * pairs, times
+
+
+ALIGNED = "kind int, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, pair long, n long"
+
+
+def align(docs: DataFrame, name_a: str = BYTE_LEVEL, name_b: str = PIECES, ranks: str | None = RANKS, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """Aligned documents, and partial counts (pair, n) of the documents that hold a pair linked; stored.
+
+    A document's row: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (its distinct ones,
+    little-endian 64-bit) and times (32-bit).
+    """
+    fields = [("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
+              ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())]
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 33
         a, b = sides(name_a, ranks, name_b)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
+        def counts() -> pa.RecordBatch:
+            n = len(parts[0][0])
+            return batch(schema, np.ones(n, np.int32), *(pa.nulls(n, t) for _, t in fields[1:10]), *parts[0])
+
+        def fold() -> list[tuple[np.ndarray, np.ndarray]]:
             pairs, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-            return pairs, np.bincount(place, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+            return [(pairs, np.bincount(place, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64))]
 
         for whole in batches:
             for part in bounded(whole, 4 << 20):
-                document, pair = links(part, a, b)
-                order = np.lexsort((document, pair))
-                document, pair = document[order], pair[order]
-                new = np.append(True, (pair[1:] != pair[:-1]) | (document[1:] != document[:-1]))[:len(pair)]
-                pairs, n = np.unique(pair[new], return_counts=True)
-                parts.append((pairs, n))
-                size += len(pairs)
+                own = Batch(texts_of(part), a, b)
+                document, pair, times = own.links()
+                bounds = np.searchsorted(document, np.arange(own.n + 1))
+                cut = lambda v, kind, bounds=bounds: [v[s:e].tobytes() for v in [v.astype(kind)] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in own.texts()]
+                links = np.bincount(document, times, own.n).astype(np.int64)
+                yield batch(schema, np.zeros(own.n, np.int32), np.arange(number, number + own.n), part.column(0), np.diff(own.at), np.diff(own.bt), own.groups, links, digests,
+                            cut(pair, "<i8"), cut(times, "<i4"), pa.nulls(own.n, pa.int64()), pa.nulls(own.n, pa.int64()))
+                number += own.n
+                parts.append((pair, np.ones(len(pair), np.int64)))
+                size += len(pair)
                 if size >= held:
-                    parts = [fold()]
+                    parts = fold()
                     size = len(parts[0][0])
                     if size >= held // 2:
-                        yield batch(schema, *parts[0])
+                        yield counts()
                         parts, size = [], 0
         if parts:
-            yield batch(schema, *fold())
-    n = aligned.select("n_a", "a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            parts = fold()
+            yield counts()
+    both = stored(docs.select("doc_id", "text").mapInArrow(run, ALIGNED), "alignment", "kind")
+    return both.filter("kind = 0").drop("kind", "pair", "n"), both.filter("kind = 1").select("pair", "n")
+
+
+def pair_counts(partial: DataFrame, size_b: int) -> DataFrame:
+    """pair, n (documents that hold it linked), best (n is the highest of its A id)."""
+    n = partial.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {size_b}"))
     # An id has no more partners than the other vocabulary has ids.
-    n = n.withColumn("a", F.shiftright("pair", 32))
     top = n.groupBy("a").agg(F.max("n").alias("top"))
     return n.join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
@@ -275,33 +316,32 @@ def compare(docs: DataFrame, name_a: str = BYTE_LEVEL, name_b: str = PIECES, ran
     and an empty digest. A null doc_id is kept; a repeated row gives its result again and counts as a
     document of its own; an empty table gives no rows. Other columns are not read.
     """
-    aligned = stored(align(docs, name_a, name_b, ranks), "alignment-ids")
-    counts = stored(pair_counts(aligned, name_a, name_b, ranks), "alignment-pairs")
+    aligned, partial = align(docs, name_a, name_b, ranks)
+    counts = stored(pair_counts(partial, sides(name_a, ranks, name_b)[1].size), "alignment-pairs")
     top = most_frequent(counts, listed, "pair").toPandas().sort_values("pair")
     known, known_n, known_best = top.pair.to_numpy("int64"), top.n.to_numpy("int64"), top.best.to_numpy(bool)
     rest_type = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
-    schema = pa.schema([("row", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("rest", rest_type)])
+    schema = pa.schema([("row", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("rest", rest_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(name_a, ranks, name_b)
         for whole in batches:
             for part in bounded(whole, 4 << 20):
-                document, pair = links(part, a, b)
-                n = part.num_rows
-                at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+                pair, times = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(v, kind) for v in part.column(c).to_pylist())]).astype(np.int64)
+                               for c, kind in ((1, "<i8"), (2, "<i4")))
+                bounds = np.append(0, np.cumsum([len(v) // 8 for v in part.column(1).to_pylist()]))
+                at = np.searchsorted(known, pair)
+                at[at == len(known)] = 0
                 hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
-                own, at = document[hit], at[hit]
-                rest, times = np.unique(np.stack([document[~hit], pair[~hit]]), axis=1, return_counts=True) if not hit.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                pairs = pa.StructArray.from_arrays([pa.array(rest[1]), pa.array(times.astype(np.int64))], ["pair", "times"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest[0], np.arange(n + 1)).astype(np.int32)), pairs)
-                bounds, sums = np.searchsorted(own, np.arange(n + 1)), np.append(0, np.cumsum(known_n[at]))
-                yield batch(schema, part.column(0), np.bincount(document, minlength=n), np.bincount(own, known_best[at], n).astype(np.int64),
-                            sums[bounds[1:]] - sums[bounds[:-1]], lists)
-
-    first = stored(aligned.select("row", "n_a", "a", "b").mapInArrow(run, "row long, n_links long, n_best long, count_sum long, rest array<struct<pair:long,times:long>>"), "alignment-links")
+                at, weight = at[hit], np.where(hit, times, 0)[hit]
+                total = lambda v, hit=hit, bounds=bounds: np.diff(np.append(0, np.cumsum(v))[np.append(0, np.cumsum(hit))[bounds]])
+                pairs = pa.StructArray.from_arrays([pa.array(pair[~hit]), pa.array(times[~hit])], ["pair", "times"])
+                rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(~hit))[bounds].astype(np.int32)), pairs)
+                yield batch(schema, part.column(0), total(weight * known_best[at]), total(weight * known_n[at]), rest)
+
+    first = stored(aligned.select("row", "pairs", "times").mapInArrow(run, "row long, n_best long, count_sum long, rest array<struct<pair:long,times:long>>"), "alignment-links")
     rest = first.select("row", F.explode("rest").alias("r")).select("row", "r.pair", "r.times")
     more = rest.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best"), F.sum(F.col("times") * F.col("n")).alias("sum"))
-    whole = aligned.drop("a", "b").join(first.drop("rest"), "row").join(more, "row", "left")
+    whole = aligned.drop("pairs", "times").join(first.drop("rest"), "row").join(more, "row", "left")
     zero = F.lit(0)
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("best", zero)).alias("n_best"),
                         (F.col("count_sum") + F.coalesce("sum", zero)).alias("count_sum"), "groups_sha256")

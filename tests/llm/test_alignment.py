@@ -4,6 +4,7 @@ import base64
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tokenizers")
@@ -95,10 +96,11 @@ def test_empty_table(spark):
     assert [c for c, _ in df.dtypes] == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def test_partial_counts_are_merged(spark, libraries):
+def test_partial_counts_are_merged(spark):
     docs = spark.createDataFrame([(i, t, "en", 5, b"x", 6, 7) for i, t in enumerate(TEXTS * 3)], SCHEMA).coalesce(1)
-    few = alignment.pair_counts(alignment.align(docs), held=8).orderBy("pair").collect()
-    assert few == alignment.pair_counts(alignment.align(docs)).orderBy("pair").collect()
+    size = alignment.sides(alignment.BYTE_LEVEL, alignment.RANKS, alignment.PIECES)[1].size
+    few, whole = (alignment.pair_counts(alignment.align(docs, held=held)[1], size).orderBy("pair").collect() for held in (8, 1 << 22))
+    assert few == whole
     assert min(r.n for r in few) == 3
 
 
@@ -106,9 +108,20 @@ def test_partial_counts_are_merged(spark, libraries):
 @given(st.lists(st.booleans(), max_size=60), st.lists(st.booleans(), max_size=60))
 def test_shared_cuts_are_the_common_ends(x, y):
     n = max(len(x), len(y)) + 1
-    ea, eb = ([i + 1 for i, on in enumerate(s) if on and i + 1 < n] + [n] for s in (x, y))
-    got = alignment.shared_cuts(ea, eb)
-    assert [ea[i] for i, _ in got] == [eb[j] for _, j in got] == sorted(set(ea) & set(eb))
+    ea, eb = (np.array([i + 1 for i, on in enumerate(s) if on and i + 1 < n] + [n]) for s in (x, y))
+    want = [i for i, e in enumerate(ea.tolist()) if e in set(eb.tolist())]
+    assert alignment.shared_cuts(ea, eb, np.array([0, len(ea)])).tolist() == want
+    # Many documents at once: level by level, and the rest one by one.
+    k = 40
+    many_a, many_b = (np.concatenate([e + n * d for d in range(k)]) for e in (ea, eb))
+    got = alignment.shared_cuts(many_a, many_b, np.arange(k + 1) * len(ea)).tolist()
+    assert got == [i + d * len(ea) for d in range(k) for i in want]
+
+
+def test_long_stretches_without_a_cut():
+    ea = np.append(np.arange(1, 200_000, 2), 200_000)
+    eb = np.append(np.arange(2, 200_000, 2), 200_000)
+    assert alignment.shared_cuts(ea, eb, np.array([0, len(ea)])).tolist() == [len(ea) - 1]
 
 
 @settings(max_examples=150, deadline=None)
