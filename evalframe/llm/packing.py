@@ -1,8 +1,8 @@
 """Packing by first-fit decreasing in randomised groups of documents (operator 10).
 
 Documents become ids plus one end id; each is cut into full sequences and a
-remainder. Only the pieces' lengths are shuffled: a hash of the document deals them
-to groups of a fixed expected size, and each group fills its own sequences, largest
+remainder. Only the pieces' lengths are shuffled: a hash of the document deals its
+pieces to a group of a fixed expected size, and each group fills its own sequences, largest
 piece first, into the first one with room. The first fit is found by descending a
 tournament tree whose inner nodes hold the largest free capacity below them.
 """
@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, word_encoder
-from .common import arrow_map, batch, texts_of
+from .common import arrow_map, batch, stored, texts_of
 
 LENGTH = 2048
 END_ID = 1
-#: Expected pieces in a group: one group is one pandas frame of about 50 bytes a piece.
+#: Expected pieces in a group: one group is one Arrow table of about 50 bytes a piece.
 GROUP_PIECES = 2048
 SEED = 17
 
@@ -68,46 +70,57 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pieces(docs: DataFrame, name: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document's ids and its end id: full sequences, then the remainder. ``key``: a hash of id, text and start."""
+    """Pieces of every document's ids and its end id: full sequences, then the remainder.
+
+    ``key``: a hash of the document, alike for its pieces. Rows repeated in a partition are numbered, and
+    the partition counts, so that equal rows have keys of their own; which of them has which key is all the same.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("doc_tokens", pa.int64()), ("key", pa.int64())])
     end = np.asarray([end_id], "<u4").tobytes()
 
     def make():
-        enc = word_encoder(name)
+        from pyspark import TaskContext
+        enc, part_id, seen = word_encoder(name), TaskContext.get().partitionId(), Counter()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             got = []
             for d, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
                 ids = enc.encode(t) + end
                 n = len(ids) // 4
+                own = xxhash.xxh3_64_intdigest(ids, 0 if d is None else d & 0xFFFFFFFFFFFFFFFF)
+                key = xxhash.xxh3_64_intdigest(f"{d} {own} {part_id} {seen[own]}".encode()) - (1 << 63)
+                seen[own] += 1
                 for s in range(0, n, length):
                     part = ids[4 * s:4 * (s + length)]
-                    crc = zlib.crc32(part)
-                    got.append((d, s, len(part) // 4, crc, n, zlib.crc32(f"{d} {s} {crc}".encode())))
+                    got.append((d, s, len(part) // 4, zlib.crc32(part), n, key))
             return batch(schema, *zip(*got, strict=True))
         return step
     return arrow_map(docs.select("doc_id", "text"), make, PIECE)
 
 
+PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
 def pack(docs: DataFrame, name: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = SEED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty: one piece with the end id alone. A null doc_id is kept and repeated
-    rows are packed each. An empty table gives no rows. Only doc_id and text are read. The row count
-    of ``docs`` sets the number of groups; the rows of one document spread over groups by their hash,
-    so no key grows a group. Ties in length go to the smaller (doc_id, start, checksum).
+    rows are packed each. An empty table gives no rows. Only doc_id and text are read. The pieces are
+    counted, and their documents dealt to groups of about ``group_pieces`` by a hash that differs
+    between equal rows, so no key grows a group. Ties in length go to the smaller (doc_id, start,
+    checksum), a null id last.
     """
-    groups = max(1, math.ceil(docs.count() / group_pieces))
-    dealt = pieces(docs, name, length, end_id).withColumn("grp", F.pmod(F.xxhash64("key", "doc_id", "start", F.lit(seed)), F.lit(groups)))
+    cut = stored(pieces(docs, name, length, end_id), "packing-pieces")
+    groups = max(1, math.ceil(cut.count() / group_pieces))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)))
 
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(g.length.tolist(), length)
+    def fill(g: pa.Table) -> pa.Table:
+        g = g.take(pc.sort_indices(g, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")], null_placement="at_end"))
+        bins, offsets = first_fit_decreasing(g.column("length").to_pylist(), length)
         # Sequence ids are unique over groups: the group's number above, the sequence's below.
-        g["sequence_id"] = np.asarray(bins, "int64") + (g.grp.to_numpy("int64") << 32)
-        g["offset"] = np.asarray(offsets, "int64")
-        g["doc_id"] = g.doc_id.astype("Int64")
-        return g[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
-    return dealt.drop("key").groupBy("grp").applyInPandas(
+        sequence = np.asarray(bins, "int64") + (g.column("grp")[0].as_py() << 32)
+        return pa.Table.from_arrays([*(g.column(c) for c in PACKED.names[:5]), pa.array(sequence), pa.array(offsets, pa.int64())], schema=PACKED)
+    return dealt.drop("key").groupBy("grp").applyInArrow(
         fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
