@@ -74,28 +74,12 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(output, T.StringType()), T.StructField("failed", T.BooleanType()),
                                                            T.StructField("error", T.StringType())])
 
-    def one_call(call, part):
-        outs = [("" if o is None else str(o)) for o in call(part)]
-        if len(outs) != len(part):
-            raise ValueError(f"prediction function returned {len(outs)} rows for {len(part)}")
-        return outs
-
-    def one_group(call, part):
-        try:
-            return [(o, False, None) for o in one_call(call, part)]
-        except Exception as e:
-            if whole_call or len(part) == 1:
-                return [("", True, describe(e))] * len(part)
-        # halves, down to the rows that fail: few calls where few rows do
-        mid = len(part) // 2
-        return [r for half in (part.iloc[:mid], part.iloc[mid:]) for r in one_group(call, half.reset_index(drop=True))]
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = fn() if factory else fn
         for pdf in it:
             rows = []
             for start in range(0, len(pdf), batch_size):
-                rows += one_group(call, pdf.iloc[start:start + batch_size].reset_index(drop=True))
+                rows += call_group(call, pdf.iloc[start:start + batch_size].reset_index(drop=True), whole_call)
             res = pdf[keys].reset_index(drop=True)
             res[output] = [r[0] for r in rows]
             res["failed"] = [r[1] for r in rows]
@@ -105,6 +89,21 @@ def predict(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequence[s
     return src.mapInPandas(run, schema)
 
 
+def call_group(call: Callable, part, whole_call: bool = False) -> list[tuple[str, bool, str | None]]:
+    """(reply, failed, error) of each row of a pandas batch: one call, or by halves down to the rows that fail."""
+    try:
+        outs = [("" if o is None else str(o)) for o in call(part)]
+        if len(outs) != len(part):
+            raise ValueError(f"prediction function returned {len(outs)} rows for {len(part)}")
+        return [(o, False, None) for o in outs]
+    except Exception as e:
+        if whole_call or len(part) == 1:
+            return [("", True, describe(e))] * len(part)
+    # halves, down to the rows that fail: few calls where few rows do
+    mid = len(part) // 2
+    return [r for half in (part.iloc[:mid], part.iloc[mid:]) for r in call_group(call, half.reset_index(drop=True), whole_call)]
+
+
 def describe(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 

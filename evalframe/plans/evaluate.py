@@ -12,9 +12,10 @@
   requests -> the caller's reflector -> parsed suggestions and an event log.
 
 Model and scorer calls are user functions run by ``predict`` / ``score_with``;
-everything else is DataFrame work. Outputs are written once under the shared
-checkpoint folder (or ``out_dir``) before any metric reads them. A flow that is run again
-with the same ``out_dir`` calls the model only for keys that have no output there and appends.
+everything else is DataFrame work. Replies land in a log under the shared checkpoint
+folder (or ``out_dir``) while the job runs, and outputs are written once before any metric reads
+them. A flow that is run again with the same ``out_dir``, after a failure or with more rows, calls
+the model only for requests, keys and texts, that have no reply there; failed calls are tried again.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe.functions.code import extract_code, status_of
-from evalframe.operators import compare, feedback, inference, joins, metrics, scoring, shaping, splits
+from evalframe.operators import compare, feedback, inference, joins, landing, metrics, scoring, shaping, splits
 from evalframe.session import scratch_path
 
 EXEC_RESULT = T.StructType([T.StructField("passed", T.BooleanType()), T.StructField("error_type", T.StringType()),
@@ -35,14 +36,10 @@ def _out(spark, out_dir: str | None, name: str) -> str:
     return f"{out_dir.rstrip('/')}/{name}" if out_dir else scratch_path(spark, name)
 
 
-def resumed(requests: DataFrame, fn, keys: list[str], path: str, partition_by=(), **how) -> DataFrame:
-    """Outputs of ``fn`` for all requests: those that lie at ``path``, and new ones for the keys that have none (appended)."""
-    spark = requests.sparkSession
-    schema = T.StructType([requests.schema[k] for k in keys] + [T.StructField(how.get("output", "response"), T.StringType()),
-                                                                T.StructField("failed", T.BooleanType()), T.StructField("error", T.StringType())])
-    done = inference.landed_outputs(spark, path, schema)
-    out = inference.predict(splits.remaining(requests, done, keys), fn, keys=keys, **how)
-    return inference.persist_outputs(out, path, partition_by)
+def _dealt(rows: DataFrame, key: str, candidates: DataFrame, path: str, parallelism: int | None, samples: int = 1) -> tuple[DataFrame, str]:
+    """Rows dealt out by their key for a log at ``path`` of all their requests, and the path."""
+    n = rows.count() * candidates.select("candidate_id").distinct().count() * samples
+    return landing.dealt(rows, [key], landing.slots_of(path, n, parallelism or 1)), path
 
 
 def training_set(examples: DataFrame, fewshots: DataFrame | None = None, fraction: float = 0.8, seed=42, key: str = "claim_id",
@@ -69,10 +66,10 @@ def generate_fewshots(examples: DataFrame, model_fn, key: str = "claim_id", out_
     ``model_fn`` gets a pandas batch with ``request``. ``stored`` is the validated JSON array, or the reply
     wrapped with the reason why it is not one. Resumable by ``out_dir``.
     """
-    spread = examples.repartition(parallelism) if parallelism else examples
+    path = _out(examples.sparkSession, out_dir, "fewshot_replies")
+    spread = landing.dealt(examples, [key], landing.slots_of(path, examples.count(), parallelism or 1))
     req = shaping.fewshot_requests(spread)
-    out = resumed(req.select(key, "request"), model_fn, [key], _out(examples.sparkSession, out_dir, "fewshot_replies"),
-                  inputs=["request"], output="reply", batch_size=batch_size, factory=factory)
+    out = landing.predict_landed(req, model_fn, [key], ["request"], path, output="reply", batch_size=batch_size, factory=factory)
     got = shaping.parse_fewshot(out.join(examples.select(key, "input", "answer"), key))
     return got.select(key, "input", "answer", "valid", "n_items", "stored", "failed")
 
@@ -87,17 +84,16 @@ def evaluate_claims(examples: DataFrame, candidates: DataFrame, model_fn, key: s
     few-shots and ``raw`` names the column of few-shots kept as text; ``candidates``:
     (candidate_id, system_prompt). ``model_fn`` gets a pandas batch with ``system_content`` /
     ``user_content`` and returns reply texts. Examples are dealt out before they are multiplied
-    by the candidates, so their texts are shuffled once.
+    by the candidates, so their texts are shuffled once, also when replies are taken from the log.
     """
     spark = examples.sparkSession
     cols = [key, "input"] + [c for c in ("items", raw) if c in examples.columns]
-    spread = examples.select(*cols)
-    spread = spread.repartition(parallelism) if parallelism else spread
+    spread, path = _dealt(examples.select(*cols), key, candidates, _out(spark, out_dir, "claims_outputs"), parallelism)
     grid = joins.evaluation_grid(spread, candidates.select("candidate_id", "system_prompt"))
     req = shaping.build_requests(grid, style="claims", items="items", raw=raw, system_prompt="system_prompt")
     # one folder per candidate: reading one candidate's outputs prunes the others
-    out = resumed(req, model_fn, [key, "candidate_id"], _out(spark, out_dir, "claims_outputs"), partition_by=["candidate_id"],
-                  inputs=["system_content", "user_content"], batch_size=batch_size, factory=factory, whole_call=whole_call)
+    out = landing.predict_landed(req, model_fn, [key, "candidate_id"], ["system_content", "user_content"], path, partition_by=["candidate_id"],
+                                 batch_size=batch_size, factory=factory, whole_call=whole_call)
     # the outputs hold one row per grid key, failed calls included
     scored = joins.score_failed(out, examples.select(key, "answer"), failure_score=failure_score, key=key)
     acc = metrics.accuracy(scored)
@@ -129,22 +125,25 @@ def evaluate_code(tasks: DataFrame, candidates: DataFrame, model_fn, scorer_fn,
     n = max(ks)
     keys = ["task_id", "candidate_id", "sample_idx"]
     t = tasks.select("task_id", "prompt", "entry_point", "test")
-    spread = t.repartition(parallelism) if parallelism else t
+    spread, path = _dealt(t, "task_id", candidates, _out(spark, out_dir, "code_outputs"), parallelism, n)
     grid = joins.evaluation_grid(spread, candidates.select("candidate_id", "system_prompt"))
     # the sample index is part of the key: the feature asks for n samples per pair
     grid = grid.withColumn("sample_idx", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
     req = shaping.build_requests(grid, style="code", input_col="prompt", items="items", system_prompt="system_prompt")
-    out = resumed(req, model_fn, keys, _out(spark, out_dir, "code_outputs"), partition_by=["candidate_id"],
-                  inputs=["system_content", "user_content", "sample_idx"], batch_size=batch_size, factory=factory, whole_call=whole_call)
+    out = landing.predict_landed(req, model_fn, keys, ["system_content", "user_content"], path, partition_by=["candidate_id"],
+                                 batch_size=batch_size, factory=factory, whole_call=whole_call)
     # the task's fields come along once, by its own key
     gens = out.join(t, "task_id").withColumn("code", extract_code(F.col("response")))
+    # a result belongs to what was run: other code or another test for the same key is run again
+    ran = F.sha2(F.to_json(F.struct(*keys, "code", "test"), {"ignoreNullFields": "false"}), 256)
+    gens = gens.withColumn("_ef_run", ran)
     path = _out(spark, out_dir, "code_results")
-    schema = T.StructType([gens.schema[k] for k in keys] + EXEC_RESULT.fields)
+    schema = T.StructType([gens.schema["_ef_run"], *EXEC_RESULT.fields])
     todo = scoring.needs_execution(gens.filter(~F.col("failed")))
-    todo = splits.remaining(todo, inference.landed_outputs(spark, path, schema), keys)
-    results = inference.score_with(todo, scorer_fn, keys=keys, inputs=["code", "test"], result_schema=EXEC_RESULT, on_error=_unknown)
-    results = inference.persist_outputs(results, path).withColumn("_ef_ran", F.lit(True))
-    classified = scoring.classify(gens.join(results, keys, "left"), F.col("_ef_ran").isNotNull()).drop("_ef_ran", "test")
+    todo = splits.remaining(todo, inference.landed_outputs(spark, path, schema), ["_ef_run"])
+    results = inference.score_with(todo, scorer_fn, keys=["_ef_run"], inputs=["code", "test"], result_schema=EXEC_RESULT, on_error=_unknown)
+    results = inference.persist_outputs(results, path).dropDuplicates(["_ef_run"]).withColumn("_ef_ran", F.lit(True))
+    classified = scoring.classify(gens.join(results, "_ef_run", "left"), F.col("_ef_ran").isNotNull()).drop("_ef_ran", "_ef_run", "test")
     classified = inference.fill_llm_failures(classified)
     classified = classified.withColumn("score", F.when(F.col("failed"), F.lit(float(failure_score))).when(F.col("passed"), 1.0).otherwise(0.0))
     pk = metrics.pass_at_k(classified, ks=ks)
@@ -173,8 +172,10 @@ def reflection_log(detailed: DataFrame, reflector_fn, order_cols: list, run_name
     spark = detailed.sparkSession
     fails = feedback.extract_failures(detailed, order_cols, limit)
     req = feedback.reflection_requests(fails)
-    out = resumed(req, reflector_fn, ["failure_idx"], _out(spark, out_dir, "reflections"), inputs=["request"],
-                  output="reflector_output", batch_size=batch_size, factory=factory)
+    # a reflection belongs to its failure and request, not to the failure's place among others
+    same = [c for c in order_cols if isinstance(c, str)]
+    out = landing.predict_landed(req, reflector_fn, ["failure_idx"], ["request"], _out(spark, out_dir, "reflections"), output="reflector_output",
+                                 identity=[*same, "request"], batch_size=batch_size, factory=factory)
     parsed = feedback.parse_reflections(out.join(fails, "failure_idx"))
     summary = parsed.agg(F.count(F.lit(1)).alias("failures_found"),
                          F.count_if(F.col("reflector_output").isNotNull()).alias("reflections_generated"),
