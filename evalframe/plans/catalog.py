@@ -741,6 +741,95 @@ def claims_evaluation_resumed(spark, sf_dir):
     return r["scored"].select("claim_id", "candidate_id", "failed", "predicted_label", "score")
 
 
+class Killed(BaseException):
+    """Stands for an executor that goes away: no batch call catches it."""
+
+
+def stub_model_killed(batch):
+    """``stub_replies`` until a call meets one of the claims that end the job."""
+    if (batch["claim_id"] % 9 == 4).any():
+        raise Killed("executor lost")
+    return stub_replies(batch)
+
+
+@query
+def resume_after_failure(spark, sf_dir):
+    """The claims flow in a job that dies on the way, then again: outputs per candidate, calls in the log, and requests called twice."""
+    from evalframe.operators.landing import call_log
+    from evalframe.plans.evaluate import evaluate_claims
+    from evalframe.session import scratch_path
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    ex = claims(fx).select("claim_id", "input", "answer")
+    out = scratch_path(spark, "killed")
+    try:
+        evaluate_claims(ex, cands, stub_model_killed, out_dir=out, batch_size=1)
+        raise AssertionError("the first job should have died")
+    except Exception as e:
+        if "executor lost" not in str(e):
+            raise
+    r = evaluate_claims(ex, cands, stub_replies, out_dir=out, batch_size=16)
+    calls = call_log(spark, f"{out}/claims_outputs").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("n_calls"), F.count_if(F.col("n") > 1).alias("n_called_twice"))
+    return r["accuracy"].select("candidate_id", "correct", "total").join(F.broadcast(calls), F.lit(True))
+
+
+@query
+def resume_changed_prompt(spark, sf_dir):
+    """The claims flow with one set of prompts, then with others and the same folder: the accuracies are the others'."""
+    from evalframe.plans.evaluate import evaluate_claims
+    from evalframe.session import scratch_path
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    ex = claims(fx).select("claim_id", "input", "answer")
+    out = scratch_path(spark, "prompts")
+    evaluate_claims(ex, cands.withColumn("system_prompt", F.concat("system_prompt", F.lit(" old"))), stub_silent, out_dir=out, batch_size=64)
+    r = evaluate_claims(ex, cands, stub_model, out_dir=out, batch_size=16)
+    return r["accuracy"].select("candidate_id", "correct", "total")
+
+
+def stub_silent(batch):
+    """A model that has no answer to anything."""
+    return [""] * len(batch)
+
+
+@query
+def resume_retries_failed(spark, sf_dir):
+    """The claims flow with calls that fail, then again: per candidate failures left, and attempts in the log."""
+    from evalframe.operators.landing import call_log
+    from evalframe.plans.evaluate import evaluate_claims
+    from evalframe.session import scratch_path
+    fx = Fixture(spark, sf_dir)
+    cands = fx.view("v_candidates").withColumn("system_prompt", F.col("prompt_type"))
+    ex = claims(fx).select("claim_id", "input", "answer")
+    out = scratch_path(spark, "failed-calls")
+    first = evaluate_claims(ex, cands, stub_model, out_dir=out, batch_size=16)["outputs"].filter("failed").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_failed_before"))
+    then = evaluate_claims(ex, cands, stub_replies, out_dir=out, batch_size=16)["outputs"]
+    left = then.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_outputs"), F.count_if("failed").alias("n_failed"))
+    attempts = call_log(spark, f"{out}/claims_outputs").agg(F.count(F.lit(1)).alias("n_attempts"), F.count_if("failed").alias("n_failed_attempts"))
+    return left.join(first, "candidate_id", "left").join(F.broadcast(attempts), F.lit(True))
+
+
+def stub_reflector_plain(batch):
+    """``stub_reflector`` that answers from the request alone, as its place among others may change."""
+    return [f"MUTATION_ANALYSIS: x\n\nSUGGESTED_PROMPT_CHANGE: handle {r.split(chr(10) + '- Error Type: ', 1)[1].split(chr(10), 1)[0]} of {r.split('- Task ID: ', 1)[1].split(chr(10), 1)[0]}"
+            for r in batch["request"]]
+
+
+@query
+def reflection_resumed(spark, sf_dir):
+    """Reflections of the failures of every other task, then of all with the same folder: each failure keeps its own, and is reflected on once."""
+    from evalframe.operators.landing import call_log
+    from evalframe.plans.evaluate import reflection_log
+    from evalframe.session import scratch_path
+    d = Fixture(spark, sf_dir).view("v_exec_details").select("task_id", "candidate_id", "sample_idx", "passed", "error_type", "error_message", "traceback")
+    keys, out = ["task_id", "candidate_id", "sample_idx"], scratch_path(spark, "reflections")
+    reflection_log(d.filter("task_id % 2 = 1"), stub_reflector_plain, keys, run_name="half", batch_size=64, out_dir=out)
+    r = reflection_log(d, stub_reflector_plain, keys, run_name="all", batch_size=64, out_dir=out)
+    calls = call_log(spark, f"{out}/reflections").agg(F.count(F.lit(1)).alias("n_calls"))
+    return r["reflections"].select("failure_idx", "task_id", "error_type", "change").join(F.broadcast(calls), F.lit(True))
+
+
 @query
 def event_log_roundtrip(spark, sf_dir):
     """Runs written as log lines of the real shape (no run name in invocations), read back and audited."""

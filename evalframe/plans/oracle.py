@@ -565,6 +565,16 @@ r AS (SELECT claim_id, candidate_id, (claim_id + candidate_id) % 11 = 10 AS fail
 SELECT r.claim_id, r.candidate_id, r.failed, r.predicted_label,
        CASE WHEN r.failed THEN CAST(0.0 AS DOUBLE) WHEN {S.label_match('r.predicted_label', 'f.answer')} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score
 FROM r LEFT JOIN v_fmt f ON r.claim_id = f.claim_id"""
+_ANSWERED = ORACLE_BODY["claims_evaluation_resumed"].replace(_LANDED, "response").replace("(claim_id + candidate_id) % 11 = 10 AS failed", "false AS failed")
+ORACLE_BODY["resume_after_failure"] = f"""WITH o AS ({_ANSWERED})
+SELECT candidate_id, CAST(sum(score) AS BIGINT) AS correct, count(*) AS total, (SELECT count(*) FROM o) AS n_calls, CAST(0 AS BIGINT) AS n_called_twice FROM o GROUP BY candidate_id"""
+ORACLE_BODY["resume_changed_prompt"] = f"""SELECT candidate_id, correct, total FROM ({ORACLE_BODY["claims_evaluation"]})"""
+ORACLE_BODY["resume_retries_failed"] = """WITH o AS (SELECT candidate_id, (claim_id + candidate_id) % 11 = 10 AS failed FROM v_replies)
+SELECT candidate_id, count(*) AS n_outputs, CAST(0 AS BIGINT) AS n_failed, nullif(count_if(failed), 0) AS n_failed_before,
+       (SELECT count(*) + count_if(failed) FROM o) AS n_attempts, (SELECT count_if(failed) FROM o) AS n_failed_attempts FROM o GROUP BY candidate_id"""
+ORACLE_BODY["reflection_resumed"] = f"""WITH {FAILURES}
+SELECT failure_idx, task_id, error_type, 'handle ' || {S.pystr('error_type')} || ' of ' || {S.pystr('task_id')} AS change, (SELECT count(*) FROM v_fail) AS n_calls
+FROM v_fail"""
 ORACLE_BODY["event_log_roundtrip"] = """
 SELECT run_name, error_type, count(*) AS n_calls, CAST(sum(total_tokens) AS BIGINT) AS sum_tokens,
        CAST(grouping_id(run_name, error_type) AS INTEGER) AS level
