@@ -4,9 +4,9 @@
   single-partition window: range-partition, sort inside partitions, then add
   per-partition offsets from a table with one row per partition.
 * ``running_count`` / ``keyed_lag``: per-key running sums and previous values
-  where one key may hold a large share of the rows. The key is split by a time
-  bucket; each (key, bucket) is a window partition, and a small per-bucket
-  table carries what came before the bucket.
+  where one key may hold a large share of the rows. The key is split into segments
+  (time buckets, or ranges of equal size where a bucket is crowded); each (key, segment)
+  is a window partition, and a small per-segment table carries what came before it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from evalframe.functions.text import col_of
 from evalframe.session import ensure_checkpoint_dir
 
+#: Rows of one key in one time bucket up to which the bucket is a segment: one window task sorts them.
+CELL_ROWS = 4_000_000
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -71,11 +74,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(r, cond, "inner").drop(*[f"_ef_r_{k}" for k in keys])
 
 
+def segments(df: DataFrame, key: str, ts: str, tie: str, bucket: str = "hour", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` with ``_ef_b``: a segment that rises with (ts, tie) within each key, so that no key and segment holds a large share.
+
+    A segment is a time bucket where every key's buckets hold at most ``cell_rows`` rows: a function of
+    the row, nothing is written. Where one holds more, whatever its times, the rows are cut into
+    ranges of (key, ts, tie) of about equal size and materialised, and a segment is a range.
+    """
+    cut = df.withColumn("_ef_b", F.date_trunc(bucket, F.col(ts)))
+    if (cut.groupBy(key, "_ef_b").count().agg(F.max("count")).first()[0] or 0) <= cell_rows:
+        return cut
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = [F.col(c).asc_nulls_first() for c in (key, ts, tie)]
+    return df.repartitionByRange(_partitions(df, None), *cols).withColumn("_ef_b", F.spark_partition_id().cast("long")).checkpoint(eager=True)
+
+
 def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: Column | None = None,
-                  name: str = "running", bucket: str = "hour") -> DataFrame:
-    """Running count of rows (or of rows where ``flag``) per ``key`` in (ts, tie) order, inclusive."""
+                  name: str = "running", bucket: str = "hour", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Running count of rows (or of rows where ``flag``) per ``key`` in (ts, tie) order, inclusive.
+
+    A segmented scan: counts within each key's segment, and the sum of its earlier segments carried in.
+    """
     f = F.lit(1) if flag is None else F.when(flag, F.lit(1)).otherwise(F.lit(0))
-    d = df.withColumn("_ef_b", F.date_trunc(bucket, F.col(ts))).withColumn("_ef_f", f.cast("long"))
+    d = segments(df, key, ts, tie, bucket, cell_rows).withColumn("_ef_f", f.cast("long"))
     per_bucket = d.groupBy(key, "_ef_b").agg(F.sum("_ef_f").alias("_ef_bn"))
     prior = Window.partitionBy(key).orderBy("_ef_b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select(key, "_ef_b", F.coalesce(F.sum("_ef_bn").over(prior), F.lit(0)).alias("_ef_before"))
@@ -87,9 +108,9 @@ def running_count(df: DataFrame, key: str, ts: str, tie: str, flag: Column | Non
 
 
 def keyed_lag(df: DataFrame, key: str, ts: str, tie: str, value: str, name: str,
-              bucket: str = "hour") -> DataFrame:
+              bucket: str = "hour", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Previous row's ``value`` per ``key`` in (ts, tie) order (null for the first row)."""
-    d = df.withColumn("_ef_b", F.date_trunc(bucket, F.col(ts)))
+    d = segments(df, key, ts, tie, bucket, cell_rows)
     last = d.groupBy(key, "_ef_b").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_ef_last"))
     wb = Window.partitionBy(key).orderBy("_ef_b")
     last = last.select(key, "_ef_b", F.lag("_ef_last").over(wb).alias("_ef_prev_last"))
@@ -131,3 +152,26 @@ def hashed_rows(df: DataFrame, hex_key: str, tie: str, name: str = "rn",
     out = d.withColumn("_ef_in", F.row_number().over(w)).join(off, ["_ef_g", "_ef_b"])
     return (out.withColumn(name, (F.col("_ef_off") + F.col("_ef_in")).cast("long"))
                .drop("_ef_g", "_ef_b", "_ef_in", "_ef_off")), total
+
+
+def first_hashed(df: DataFrame, hex_key: str, n: int, most: int = 1 << 17) -> DataFrame:
+    """The rows with the ``n`` smallest uniform hex digests, and few more: a filter, no sort.
+
+    A histogram of the leading digits tells up to which prefix there are ``n`` rows; the last prefix is
+    refined, four digits at a time, while it holds more than ``most`` rows.
+    """
+    key, prefix, before = F.col(hex_key), "", 0
+    while len(prefix) < 32:
+        width = len(prefix) + 4
+        own = df.filter(key.startswith(prefix)) if prefix else df
+        size = 0
+        for r in own.groupBy(F.substring(key, 1, width).alias("p")).count().orderBy("p").collect():  # 65,536 rows at most
+            if before + r["count"] >= n:
+                prefix, size = r.p, r["count"]
+                break
+            before += r["count"]
+        else:
+            return df  # fewer than n rows
+        if size <= most:
+            break
+    return df.filter(F.substring(key, 1, len(prefix)) <= F.lit(prefix))

@@ -11,8 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalframe.operators.ordering import global_row_number, hashed_rows, number_rows
+from evalframe.operators.ordering import first_hashed, global_row_number, hashed_rows, number_rows
 
 
 def shuffle_key(id_col, seed) -> Column:
@@ -57,23 +58,29 @@ def split_fixed(df: DataFrame, id_col: str, sizes=(50, 50), seed=42,
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed=42) -> DataFrame:
-    """``n`` rows of the seeded shuffle, with their sample position (LONG)."""
-    return shuffled(df, id_col, seed, name="sample_rank").filter(F.col("sample_rank") <= n)
+    """``n`` rows of the seeded shuffle, with their sample position (LONG). Only the rows that can be among them are numbered."""
+    first = first_hashed(df.withColumn("_ef_first", shuffle_key(id_col, seed)), "_ef_first", n).drop("_ef_first")
+    return shuffled(first, id_col, seed, name="sample_rank").filter(F.col("sample_rank") <= n)
 
 
 def head_pct(df: DataFrame, order_col: str, pct: float) -> DataFrame:
     """First ``max(1, int(n * pct / 100))`` rows in ``order_col`` order (a unique key) and their ``position``.
 
-    Only the keys are sorted and numbered; the rows are cut by the boundary key, a filter that
-    reaches the scan, and meet their positions in a join on the key.
+    A numeric key's quantile, a little beyond the boundary, tells which keys can be among them: those alone
+    are sorted and numbered. The rows are cut by the boundary key, a filter that reaches the scan, and
+    meet their positions in a join on the key.
     """
-    keys, n = number_rows(df.select(order_col), [order_col], name="position")
+    n, keys, key = df.count(), df.select(order_col), F.col(order_col)
     k = max(1, int(n * pct / 100))
-    first = keys.filter(F.col("position") <= k)
+    if n and isinstance(df.schema[order_col].dataType, T.NumericType):
+        edge = keys.agg(F.percentile_approx(key, min(1.0, 1.02 * k / n + 0.001), 10_000)).first()[0]
+        few = keys.filter(key.isNull() | (key <= F.lit(edge))) if edge is not None else keys
+        keys = few if few.count() >= k else keys  # the quantile is an estimate, the size is not
+    first = number_rows(keys, [order_col], name="position")[0].filter(F.col("position") <= k)
     if df.columns == [order_col]:
         return first
     bound = first.agg(F.max(order_col)).first()[0]
-    rows = df.filter(F.col(order_col) <= F.lit(bound)) if bound is not None else df
+    rows = df.filter(key <= F.lit(bound)) if bound is not None else df
     return rows.join(first, order_col).select(*df.columns, "position")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalframe.operators import ordering, splits
@@ -132,3 +133,44 @@ def test_minibatches_keep_null_ids(spark):
     rows = splits.minibatches(df, "id", 2, 6).collect()
     assert len(rows) == 10 and sum(r.id is None for r in rows) == 4
     assert sorted((r.iteration, r.slot) for r in rows) == [(i, s) for i in range(6) for s in ((1, 2) if i % 3 < 2 else (1,))]
+
+
+@pytest.mark.parametrize("cell_rows", [4, 50])
+def test_crowded_times_are_cut_into_ranges(spark, cell_rows):
+    """One run holds nearly all rows, all in one second and many at one time."""
+    rng = random.Random(6)
+    rows = [(i, "hot" if i % 10 else f"r{i % 3}", dt.datetime(2026, 1, 1, 5, 0, 0, rng.choice([0, 0, 0, 7, 9])), bool(rng.randrange(2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, run string, ts timestamp_ntz, flag boolean").repartition(5)
+    cut = ordering.segments(df, "run", "ts", "event_id", cell_rows=cell_rows)
+    sizes = cut.groupBy("run", "_ef_b").count().filter("run = 'hot'").select("count").collect()
+    assert len(sizes) >= 6 and max(r[0] for r in sizes) <= 120  # spread over the partitions' ranges
+    rc = {r.event_id: r.running for r in ordering.running_count(df, "run", "ts", "event_id", F.col("flag"), cell_rows=cell_rows).collect()}
+    lg = {r.event_id: r.prev for r in ordering.keyed_lag(df, "run", "ts", "event_id", "event_id", "prev", cell_rows=cell_rows).collect()}
+    seen, last = {}, {}
+    for i, run, _, flag in sorted(rows, key=lambda r: (r[2], r[0])):
+        seen[run] = seen.get(run, 0) + flag
+        assert rc[i] == seen[run] and lg[i] == last.get(run)
+        last[run] = i
+
+
+def test_first_hashed_keeps_the_smallest(spark):
+    df = spark.range(3000).withColumn("h", F.md5(F.col("id").cast("string")))
+    want = sorted(r.h for r in df.collect())
+    for n, most in ((1, 1), (10, 1), (500, 40), (3000, 10), (5000, 10)):
+        got = sorted(r.h for r in ordering.first_hashed(df, "h", n, most).collect())
+        assert got[:n] == want[:n] and len(got) <= min(3000, n + max(most, 3))
+    same = df.withColumn("h", F.md5(F.lit("x")))
+    assert ordering.first_hashed(same, "h", 10, 5).count() == 3000  # equal digests are not told apart here
+
+
+def test_head_pct_numbers_few_keys(spark, monkeypatch):
+    from evalframe.operators import splits
+    seen = []
+    number = splits.number_rows
+    monkeypatch.setattr(splits, "number_rows", lambda keys, *a, **k: seen.append(keys.count()) or number(keys, *a, **k))
+    df = spark.range(2000).selectExpr("(id * 7919) % 100003 as k", "id as v")
+    want = [r.k for r in df.orderBy("k").collect()]
+    got = splits.head_pct(df, "k", 5).orderBy("position").collect()
+    assert [(r.position, r.k) for r in got] == list(enumerate(want[:100], 1)) and seen[0] <= 110
+    text = df.selectExpr("cast(k as string) as k", "v")
+    assert [r.k for r in splits.head_pct(text, "k", 1).orderBy("position").collect()] == sorted(map(str, want))[:20]
