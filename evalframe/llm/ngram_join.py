@@ -1,8 +1,8 @@
 """N-gram Jaccard join with count-vector R-trees (operator 11).
 
-A document is the set of its distinct word shingles. Shingles are hashed into DIMS groups, and
-the counts by group are the document's point: two sets share at most the sum of the smaller
-count in each group. Points are the rows of R-trees whose nodes hold the largest and smallest
+A document is the set of its distinct word shingles. Shingles are hashed into groups, about as
+many as the set has shingles within bounds, and the counts by group are the document's point: two
+sets share at most the sum of the smaller count in each group. Points are the rows of R-trees whose nodes hold the largest and smallest
 coordinates below them; a search leaves a node whose bound, the summed minima with the node's
 upper corner, is less than the overlap that a link to any of its rows needs. What survives is
 verified on the sets themselves.
@@ -34,7 +34,8 @@ from .simhash import connected
 SHINGLE = 4
 #: A link needs NEED / 100 of the union in common.
 NEED = 85
-DIMS = 32
+#: Fewest and most groups of a point; between them as many as the power of two at or below the set's size.
+DIMS = (32, 1024)
 LEAF = 16
 TREE_ROWS = 8192
 #: Counters of the sketch, and how many go in a row of it.
@@ -43,7 +44,7 @@ SKETCH, CHUNK = 1 << 20, 1 << 14
 ROUNDS = ((2, 64, 1), (6, 512, 2))
 #: Coordinates looked at in one numpy step of a search.
 FRONT = 1 << 21
-WORDS_HELD = 1 << 19
+WORDS_HELD = 1 << 18
 
 
 class _WordHash(dict):
@@ -78,11 +79,27 @@ def shingle_set(text: str, hashes: _WordHash, size: int = SHINGLE) -> np.ndarray
     return np.unique(h)
 
 
-def counts_of(own: np.ndarray, dims: int = DIMS) -> np.ndarray:
+def dims_of(band: int) -> int:
+    """Groups of the points of a band of sizes, from 2^band on."""
+    return min(max(1 << min(band, 20), DIMS[0]), DIMS[1])
+
+
+def bands_of(n: int, need: int = NEED) -> list[int]:
+    """Bands a set of ``n`` is in: its own, and the next where it may link into that."""
+    band = n.bit_length() - 1
+    return [band, band + 1] if 100 * n >= 2 * need << band else [band]
+
+
+def counts_of(own: np.ndarray, dims: int) -> np.ndarray:
     """The set's point: how many of its shingles fall in each group."""
     return np.bincount((own & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
 
 
+def width_of(n: int) -> np.dtype:
+    """Type of a set's counts: groups hold a set evenly, far from the type's largest number."""
+    return np.dtype("<u1" if n < 1 << 15 else "<u2" if n < 1 << 23 else "<u4")
+
+
 def least_overlap(n: int, need: int = NEED) -> int:
     """What a set of ``n`` has in common with any set it links with."""
     return -(-need * n // 100)
@@ -149,8 +166,8 @@ def points(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE, need: int
                 if not n:
                     continue
                 order = np.lexsort((own, level[(own >> np.uint64(44)).astype(np.int64)]))
-                width = np.uint8 if n < 1 << 11 else np.uint16 if n < 1 << 20 else np.uint32  # 32 groups hold n evenly: far from their largest number
-                got.append((x, xxhash.xxh3_128_digest(own.tobytes()), n, counts_of(own).astype(width).tobytes(), own[order[:n - least_overlap(n, need) + 1]].view(np.int64)))
+                point = counts_of(own, dims_of(bands_of(n, need)[-1])).astype(width_of(n))
+                got.append((x, xxhash.xxh3_128_digest(own.tobytes()), n, point.tobytes(), own[order[:n - least_overlap(n, need) + 1]].view(np.int64)))
             return batch(schema, *(zip(*got, strict=True) if got else [[]] * 5))
         return step
     rows = arrow_map(docs.select(F.xxhash64("text").alias("text_hash"), "text"), make, "text_hash long, digest binary, n long, point binary, first array<long>")
@@ -160,7 +177,7 @@ def points(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE, need: int
 
 
 def shards(point: DataFrame, need: int = NEED) -> DataFrame:
-    """shard, sid, size: the documents of each shard of two or more, each set of documents once.
+    """shard, band, sid, size: the documents of each shard of two or more, each set of documents once.
 
     A shard is a shingle and a band of sizes, between a power of two and the next; a set so near the
     next band that it may link into it is in that band as well.
@@ -169,12 +186,13 @@ def shards(point: DataFrame, need: int = NEED) -> DataFrame:
     near = F.lit(100) * F.col("n") >= F.lit(2 * need) * F.call_function("shiftleft", F.lit(1).cast("long"), band)
     bands = F.when(near, F.array(band, band + 1)).otherwise(F.array(band))
     rows = point.select("sid", F.explode("first").alias("token"), bands.alias("bands")).select("sid", F.explode("bands").alias("band"), "token") \
-        .select(F.xxhash64("token", "band").alias("shard"), "sid")
+        .select(F.xxhash64("token", "band").alias("shard"), "band", "sid")
     # Equal numbers of documents with equal sums of two hashes: the same documents.
     exact = [F.sum(F.xxhash64("sid", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in (1, 2)]
-    own = rows.groupBy("shard").agg(F.count("*").alias("size"), *exact).filter("size > 1")
-    own = own.groupBy("size", "sum1", "sum2").agg(F.min("shard").alias("shard")).select("shard", "size")
-    return stored(rows.join(own, "shard"), "ngram-shards")
+    own = rows.groupBy("shard", "band").agg(F.count("*").alias("size"), *exact).filter("size > 1")
+    own = own.groupBy("band", "size", "sum1", "sum2").agg(F.min("shard").alias("shard")).select("shard", "size")
+    # Both sides are large: no broadcast, whatever their compressed sizes suggest.
+    return stored(rows.join(own.hint("merge"), "shard"), "ngram-shards")
 
 
 # ------------------------------------------------------------------------------- R-trees
@@ -265,21 +283,24 @@ def nearest(a: np.ndarray, b: np.ndarray, share: np.ndarray, pairs: int) -> np.n
     return order[np.arange(len(s)) - first < pairs]
 
 
-def candidates(units: DataFrame, pairs: int | None, need: int = NEED, held_rows: int = 1 << 15) -> DataFrame:
-    """Distinct (a, b), a < b: sets of one unit that the trees' bounds leave; ``pairs``: at most so many, the nearest, for a row of a unit. ``units``: unit, sid, label, n, point."""
+def candidates(units: DataFrame, pairs: int | None, need: int = NEED, held_rows: int = 1 << 13) -> DataFrame:
+    """Distinct (a, b), a < b: sets of one unit that the trees' bounds leave; ``pairs``: at most so many, the nearest, for a row of a unit. ``units``: unit, band, sid, label, n, point."""
     dealt = units.repartition("unit").sortWithinPartitions("unit", "sid")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        unit, sid, label, n = (t.column(i).to_numpy() for i in range(4))
-        raw = t.column(4).to_pylist()
-        length = np.fromiter(map(len, raw), np.int64, len(raw))
-        width = {w: np.dtype(f"<u{w // DIMS}") for w in np.unique(length).tolist()}
-        point = np.empty((len(raw), DIMS), width[int(length.max())])
-        for w, kind in width.items():
-            at = np.flatnonzero(length == w)
-            point[at] = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), kind).reshape(-1, DIMS)
+        band = t.column(1).to_numpy()
+        for g in np.unique(band).tolist():
+            yield from of_band(t.filter(pa.array(band == g)), dims_of(g))
+
+    def of_band(t: pa.Table, dims: int) -> Iterator[pa.RecordBatch]:
+        unit, _, sid, label, n = (t.column(i).to_numpy() for i in range(5))
+        width = width_of(int(n.max()))
+        point = np.empty((len(n), dims), width)
+        for i, (raw, size) in enumerate(zip(t.column(5).to_pylist(), n.tolist(), strict=True)):
+            own = np.frombuffer(raw, width_of(size))
+            point[i] = own if len(own) == dims else own.reshape(-1, dims).sum(0)  # finer groups fold into these
         _, unit = np.unique(unit, return_inverse=True)
         forest = RForest(unit, label, n, point)
         sid, n = sid[forest.order], n[forest.order]
@@ -312,25 +333,25 @@ def candidates(units: DataFrame, pairs: int | None, need: int = NEED, held_rows:
             rows += b.num_rows
         if held:
             yield from search(held)
-    return dealt.select("unit", "sid", "label", "n", "point").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("unit", "band", "sid", "label", "n", "point").mapInArrow(run, "a long, b long").distinct()
 
 
 def units_of_round(shard: DataFrame, salt: int, own: int, rows: int) -> DataFrame:
-    """unit, sid: ``own`` shards of each document, chosen alike by alike documents, in random parts of about ``rows``."""
+    """unit, band, sid: ``own`` shards of each document, chosen alike by alike documents, in random parts of about ``rows``."""
     order = F.xxhash64("shard", F.lit(salt))
-    few = shard.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "shard", "size"))), 1, own).alias("s")) \
+    few = shard.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "shard", "band", "size"))), 1, own).alias("s")) \
         .select("sid", F.explode("s").alias("s"))
     part = F.pmod(F.xxhash64("sid", F.lit(salt)), F.ceil(F.col("s.size") / rows))
-    return few.select(F.xxhash64("s.shard", part).alias("unit"), "sid")
+    return few.select(F.xxhash64("s.shard", part).alias("unit"), "s.band", "sid")
 
 
 def units_of_rest(shard: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """unit, sid: all shards with more than one component, those of more than ``rows`` as pairs of parts.
+    """unit, band, sid: all shards with more than one component, those of more than ``rows`` as pairs of parts.
 
     Documents of a shard's largest component need not meet each other: its parts meet those of the rest,
     and only the rest's parts meet among themselves.
     """
-    named = shard.select("shard", "sid").join(labels, "sid", "left").select("shard", "sid", F.coalesce("label", "sid").alias("label"))
+    named = shard.select("shard", "band", "sid").join(labels, "sid", "left").select("shard", "band", "sid", F.coalesce("label", "sid").alias("label"))
     sizes = named.groupBy("shard", "label").agg(F.count("*").alias("n")).groupBy("shard").agg(
         F.count("*").alias("labels"), F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1")
     both = named.join(sizes.drop("labels"), "shard")
@@ -345,7 +366,7 @@ def units_of_rest(shard: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .when(main, F.transform(F.sequence(zero, rests - 1), lambda j: unit(1, pick(mains), j))) \
         .otherwise(F.concat(F.transform(F.sequence(zero, mains - 1), lambda i: unit(1, i, mine)),
                             F.transform(F.sequence(zero, rests - 1), lambda j: unit(2, F.least(mine, j), F.greatest(mine, j)))))
-    return both.select("shard", "sid", F.explode(meets).alias("m")).select(F.xxhash64("shard", "m.k", "m.i", "m.j").alias("unit"), "sid")
+    return both.select("shard", "band", "sid", F.explode(meets).alias("m")).select(F.xxhash64("shard", "m.k", "m.i", "m.j").alias("unit"), "band", "sid")
 
 
 # ------------------------------------------------------------------------------ the join
@@ -392,7 +413,7 @@ def components(docs: DataFrame, point: DataFrame, need: int = NEED, shingle: int
     labels = spark.createDataFrame([], "sid long, label long")
 
     def with_points(units: DataFrame) -> DataFrame:
-        return units.join(point.select("sid", "n", "point"), "sid").join(labels, "sid", "left").select("unit", "sid", F.coalesce("label", "sid").alias("label"), "n", "point")
+        return units.join(point.select("sid", "n", "point"), "sid").join(labels, "sid", "left").select("unit", "band", "sid", F.coalesce("label", "sid").alias("label"), "n", "point")
 
     for i, (own, rows, pairs) in enumerate(rounds):
         found = stored(candidates(with_points(units_of_round(shard, i, own, rows)), pairs, need), "ngram-pairs")

@@ -124,7 +124,16 @@ def test_bound_holds_for_sets():
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 62, 80).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, 8).astype(np.uint64)]))
-        assert len(np.intersect1d(a, b)) <= np.minimum(nj.counts_of(a), nj.counts_of(b)).sum()
+        for dims in (4, 32, 256):
+            assert len(np.intersect1d(a, b)) <= np.minimum(nj.counts_of(a, dims), nj.counts_of(b, dims)).sum()
+        assert (nj.counts_of(a, 256).reshape(-1, 32).sum(0) == nj.counts_of(a, 32)).all()
+
+
+def test_linking_sizes_have_a_band_in_common():
+    for n in range(1, 3000):
+        for m in {n, n + 1, n * 20 // 17, max(n, n * 100 // 85)}:
+            if 100 * n >= 85 * m:
+                assert set(nj.bands_of(n)) & set(nj.bands_of(m)), (n, m)
 
 
 def test_linking_sets_share_a_first_shingle(spark):
