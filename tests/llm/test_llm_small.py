@@ -1,5 +1,6 @@
 """Unit and brute-force tests of the llm operators on small rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -151,22 +152,79 @@ def test_packing_covers_every_id_once(docs, empty):
 RANKS = {w: i + 1 for i, w in enumerate([*secrets.COMMON, "correct", "horse", "battery"])}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab1Zq.sw2-e19", max_size=12))
+def plain_cost(value, i, j):
+    """Least log10 guesses of value[i:j] as one segment that is no brute-force span, written out apart from the operator; None: it is no such segment."""
+    part, n, found = value[i:j], j - i, []
+    cost = secrets._word_cost(part, RANKS) if n >= 3 else None
+    if cost is not None:
+        found.append(cost)
+    if any(m and m.end() == j for m in [secrets._DATE.match(value, i)]):
+        found.append(math.log10(365 * 100 * 4))
+    if re.fullmatch(r"(?:19|20)[0-9][0-9]", part):
+        found.append(math.log10(119))
+    for unit in (1, 2, 3, 4):
+        if n >= 3 and n % unit == 0 and n // unit >= 2 and part == part[:unit] * (n // unit):
+            found.append(sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in part[:unit]) + math.log10(n // unit))
+    low = part.lower()
+    steps = [secrets.ADJACENT.get(a, "").find(b) for a, b in zip(low, low[1:])]
+    if n >= 3 and -1 not in steps:
+        turns = 2 + sum(a != b for a, b in zip(steps, steps[1:]))
+        found.append(math.log10(secrets.KEYS) + turns * math.log10(secrets.DEGREE) + math.log10(n))
+    jumps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+    if n >= 3 and jumps in ({1}, {-1}):
+        found.append(math.log10(52) + math.log10(n))
+    return min(found, default=None)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab1Zq.sw2-e19", max_size=11) | st.lists(st.sampled_from(["zxcv", "foo", "bar", "pass", "1999", "abc", "cba", "aa", "xyx", "2001-02-03", "w", "7"]), max_size=3).map("".join))
 def test_guess_cost_is_the_least_over_all_segmentations(value):
-    own = secrets.segments(value, RANKS)
+    n = len(value)
+    own = {(i, j): plain_cost(value, i, j) for i in range(n) for j in range(i + 1, n + 1)}
 
+    @functools.cache
     def least(i, brute):
-        if i == len(value):
+        if i == n:
             return 0.0
-        return min(c + (math.log10(2) if i and not (k == "brute" and brute) else 0.0) + least(j, k == "brute") for j, c, k in own[i])
+        char = math.log10(10 if value[i].isdigit() else 26 if value[i].isalpha() else 33)
+        after = math.log10(2) if i else 0.0
+        ways = [char + (0.0 if brute else after) + least(i + 1, True)]
+        ways += [own[i, j] + after + least(j, False) for j in range(i + 1, n + 1) if own[i, j] is not None]
+        return min(ways)
     got, parts = secrets.guess_cost(value, RANKS)
-    # The program keeps the cheapest way to each place; a dearer way that ends in brute force can save one factor of two.
-    assert least(0, False) - 1e-9 <= got <= least(0, False) + math.log10(2) + 1e-9
+    assert abs(got - least(0, False)) < 1e-9
+    # The segmentation is one of that cost.
     assert "".join(value[a:b] for a, b, _ in parts) == value
+    price = sum(sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value[a:b]) if k == "brute" else own[a, b] for a, b, k in parts)
+    assert abs(price + math.log10(2) * max(0, len(parts) - 1) - got) < 1e-9
+
+
+def test_parts_of_stretches_are_offered():
+    cost, parts = secrets.guess_cost("zxcvfoobar", RANKS)
+    assert [k for _, _, k in parts] == ["walk", "word"] and parts[0][1] == 4
+    assert secrets.guess_cost("a" * 20_000, RANKS)[1] == [(0, 20_000, "repeat")]
+
 
+def test_values_in_quotes_and_short_values():
+    for q in "'\"":
+        text = f"password = {q}x9k Qv2, LpZ 7w#{q} and more"
+        assert secrets.guess_spans(text, RANKS, []) == [(12, 12 + 16, "guess")]
+    assert secrets.guess_spans('token: "correct horse', RANKS, []) == []  # not closed: to white space
+    assert secrets.guess_spans("pwd=#%~&$^*", RANKS, []) == [(4, 11, "guess")]  # seven characters
 
-@pytest.mark.parametrize(("value", "kind", "most"), [("password", "word", 1), ("qwertyuiop", "walk", 5), ("aaaaaaaaaaaa", "repeat", 3), ("19991231", "date", 6), ("abcdefgh", "run", 3)])
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(12)
+    pieces = ["password", "Secret", "api_key", "apikey", "TOKEN", ":", "=", " ", '"', "'", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "x", "/+_.=-", "é", "\n", "K", "ſ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        want = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 12]
+        want += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert secrets.base_spans(text) == secrets.ordered(want)
+
+
+@pytest.mark.parametrize(("value", "kind", "most"), [("password", "word", 1), ("asdfghjkl", "walk", 5), ("aaaaaaaaaaaa", "repeat", 3), ("19991231", "date", 6), ("abcdefgh", "run", 3)])
 def test_cheap_values(value, kind, most):
     cost, parts = secrets.guess_cost(value, RANKS)
     assert cost <= most and [k for _, _, k in parts] == [kind]
@@ -223,6 +281,27 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_topk_takes_every_row(spark):
+    """Repeated ids, equal and other vectors, and vectors of other lengths: each row is a query and a candidate."""
+    rng = random.Random(9)
+    rows = [(i % 40, [rng.randrange(-40, 40) / 64 for _ in range(4 if i % 3 else 2)]) for i in range(160)] + [(0, [0.5, 0.5]), (0, [0.5, 0.5]), (20, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<float>, row double")
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            own = sorted((-sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(v, w)), j) for b, (j, w) in enumerate(rows) if a != b and len(v) == len(w))
+            want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(own[:5])]
+    for blocks in ({}, {"block_rows": 7, "block_queries": 2}):
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 5, **blocks).collect()))
+        assert got == sorted(want)
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(1, [1e12]), (2, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df, F.lit(True)).collect()
+
+
 # -------------------------------------------------------------------- PII
 def plain_base(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
