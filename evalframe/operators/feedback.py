@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.code import ERROR_GUIDANCE, guidance, guidance_key
 from evalframe.functions.constants import (CLAIMS_FEEDBACK_NOTES,
-                                           CODE_PASS_NOTES, FAILURE_DEFAULTS,
+                                           CODE_PASS_NOTES, DEFAULT_GUIDANCE,
+                                           FAILURE_DEFAULTS,
                                            REFLECTION_ANALYSIS_MARKER,
                                            REFLECTION_CHANGE_MARKER,
                                            REFLECTION_FOOTER,
@@ -35,6 +36,35 @@ def attach_guidance(df: DataFrame, status: str = "status", error_type: str = "er
               .withColumn("guidance", guidance(F.col(status), F.col(error_type), rules)))
 
 
+def attach_guidance_table(df: DataFrame, rules: DataFrame, status: str = "status", error_type: str = "error_type", default: str = DEFAULT_GUIDANCE) -> DataFrame:
+    """``attach_guidance`` with the rules as rows: (priority, rule, guidance); the match of least priority wins.
+
+    Rules are compared without case with the distinct (status, error type) pairs, far fewer than the rows
+    as a rule: each pair's texts are cut into their substrings of the lengths that rules have, and meet the
+    rules in a join on the text. The work is linear in the pairs' texts, however many rules there are, and
+    rows meet their pair's rule in a join. A null status or error type is read as empty; an empty rule
+    matches all. Of rules with one priority the smaller text wins.
+    """
+    r = rules.filter(F.col("rule").isNotNull() & F.col("priority").isNotNull()).select(
+        F.lower("rule").alias("_ef_k"), F.struct(F.col("priority").alias("p"), F.col("rule").alias("k"), F.col("guidance").alias("g")).alias("_ef_r"))
+    r = r.groupBy("_ef_k").agg(F.min("_ef_r").alias("_ef_r"))
+    lengths = F.broadcast(r.agg(F.sort_array(F.collect_set(F.length("_ef_k"))).alias("_ef_n")))  # one row: the lengths that rules have
+    s, e = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in (status, error_type))
+    pairs = df.select(s.alias("_ef_s"), e.alias("_ef_e")).distinct()
+    parts = lambda c: F.flatten(F.transform("_ef_n", lambda n: F.when(n == 0, F.array(F.lit(""))).when(
+        F.length(c) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.col(c).substr(i, n)))))
+    cut = pairs.join(lengths, F.lit(True)).select("_ef_s", "_ef_e", F.explode(F.array_distinct(F.concat(parts("_ef_s"), parts("_ef_e")))).alias("_ef_k"))
+    best = cut.join(r, "_ef_k").groupBy("_ef_s", "_ef_e").agg(F.min("_ef_r").alias("_ef_r"))
+    out = df.withColumn("_ef_s", s).withColumn("_ef_e", e).join(best, ["_ef_s", "_ef_e"], "left")
+    return out.withColumn("guidance_key", F.coalesce(F.col("_ef_r.k"), F.lit("default"))).withColumn(
+        "guidance", F.when(F.col("_ef_r").isNull(), F.lit(default)).otherwise(F.col("_ef_r.g"))).drop("_ef_s", "_ef_e", "_ef_r")
+
+
+def guidance_rules(spark, rules=ERROR_GUIDANCE) -> DataFrame:
+    """The fixed rules as a table (priority, rule, guidance)."""
+    return spark.createDataFrame([(i, k, g) for i, (k, g) in enumerate(rules)], "priority int, rule string, guidance string")
+
+
 def claims_feedback(scored: DataFrame, input_col: str = "input", response: str = "response",
                     predicted: str = "predicted_label", answer: str = "answer", score: str = "score",
                     component: str = COMPONENT, check_nonempty: bool = False) -> DataFrame:

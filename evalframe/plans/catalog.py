@@ -233,6 +233,16 @@ def error_guidance(spark, sf_dir):
                                               "guidance_key", "guidance")
 
 
+@query
+def error_guidance_table(spark, sf_dir):
+    """Guidance by rules that are rows: the fixed ones, and one per error type of the tables that names it in full."""
+    g = exec_status(Fixture(spark, sf_dir).view("v_generations")).filter(~F.col("passed"))
+    own = g.filter(F.col("error_type").isNotNull()).select("error_type").distinct().select(
+        F.lit(1000).alias("priority"), F.upper("error_type").alias("rule"), F.concat(F.lit("see "), "error_type").alias("guidance"))
+    rules = feedback.guidance_rules(spark).unionByName(own)
+    return feedback.attach_guidance_table(g, rules).select("task_id", "candidate_id", "sample_idx", "status", "error_type", "guidance_key", "guidance")
+
+
 # ---------------------------------------------------------------- E: parsing
 @query
 def parse_verdicts(spark, sf_dir):
@@ -337,6 +347,29 @@ def gate_pairs(fx: Fixture) -> DataFrame:
                     (F.col("candidate_id") - 1).alias("parent_id"))
 
 
+@query
+def frontier_bitmaps(spark, sf_dir):
+    """How many examples each candidate is on the frontier of, by bitmaps of wins."""
+    fx = Fixture(spark, sf_dir)
+    return candidates.coverage_of(candidates.win_bitmaps(scored_claims(fx)), fx.view("v_candidates"))
+
+
+@query
+def undominated_candidates(spark, sf_dir):
+    """Candidates whose wins no other candidate has all of, with wins and mean score."""
+    scored = scored_claims(Fixture(spark, sf_dir))
+    return candidates.undominated(candidates.win_bitmaps(scored), candidates.candidate_scores(scored))
+
+
+@query
+def select_parents(spark, sf_dir):
+    """Two parents for each of 50 rounds, drawn from the undominated candidates by their wins."""
+    scored = scored_claims(Fixture(spark, sf_dir))
+    front = candidates.undominated(candidates.win_bitmaps(scored), candidates.candidate_scores(scored))
+    rounds = front.withColumn("iteration", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long"))))
+    return candidates.select_parents(rounds, 2, by=["iteration"], round_=F.col("iteration")).select("iteration", "draw", "candidate_id", "n_wins")
+
+
 @query
 def minibatch_gate(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
@@ -692,7 +725,7 @@ def stream_scored_append(spark, sf_dir):
     """Scored claims appended batch by batch by a resumable stream (batch-id keyed overwrite), read back."""
     from evalframe.plans.views import landed, replies_for
     from evalframe.session import scratch_path
-    from evalframe.streaming.live import parquet_stream, stream_score
+    from evalframe.streaming.live import parquet_stream, read_committed, stream_score
     fx = Fixture(spark, sf_dir)
     docs = parquet_stream(spark, sf_dir, "documents", fx.table("documents").schema)
     resp = landed(replies_for(docs, fx.view("v_candidates")))
@@ -701,7 +734,7 @@ def stream_scored_append(spark, sf_dir):
     q = stream_score(scored.select("claim_id", "candidate_id", "predicted_label", "answer", "correct", "score"),
                      sink, scratch_path(spark, "scored-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+    return read_committed(spark, sink, scored.select("claim_id", "candidate_id", "predicted_label", "answer", "correct", "score").schema)
 
 
 def stub_reflector(batch):
@@ -941,6 +974,35 @@ def runs_roundtrip(spark, sf_dir):
     return s.select(F.regexp_replace("run_dir", "^run_id=", "").alias("run_id"), "candidate_id", "score")
 
 
+@query
+def prompts_roundtrip(spark, sf_dir):
+    """Prompt files of one run per code task, written and read back; every third run has its seed prompt in its config alone."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import read_prompts, write_files
+    root = scratch_path(spark, "prompts")
+    t = Fixture(spark, sf_dir).view("v_code_tasks").select(F.concat(F.lit("run"), "task_id").alias("run_dir"), "task_id", "prompt")
+    seed = t.filter("task_id % 3 <> 0").select(F.concat("run_dir", F.lit("/seed_prompt.txt")).alias("path"), F.concat(F.lit("  "), "prompt", F.lit("\n")).alias("text"))
+    best = t.select(F.concat("run_dir", F.lit("/optimized_prompt.txt")).alias("path"), F.concat(F.lit("\n"), "prompt", F.lit(" better ")).alias("text"))
+    write_files(seed.unionByName(best), root)
+    runs = t.select("run_dir", F.concat(F.lit("config of "), "run_dir").alias("seed_prompt_text"))
+    return read_prompts(spark, f"{root}/*/*_prompt.txt", runs).select("run_dir", "seed_prompt", "optimized_prompt")
+
+
+@query
+def best_outputs_roundtrip(spark, sf_dir):
+    """The best generation of each code task as a file named by task, iteration and program, read back as a table."""
+    from evalframe.session import scratch_path
+    from evalframe.sources.files import read_best_outputs, write_files
+    root = scratch_path(spark, "best")
+    fx = Fixture(spark, sf_dir)
+    g = fx.view("v_generations").join(fx.view("v_code_tasks").select("task_id"), "task_id", "left_semi")
+    score = F.when(F.coalesce("passed", F.lit(False)), 1.0).otherwise(0.0)
+    best = g.groupBy("task_id").agg(F.min(F.struct((-score).alias("s"), F.col("candidate_id").alias("p"), F.col("sample_idx").alias("i"))).alias("b"))
+    name = F.format_string("task_%d/iter_%d_prog_%d.json", F.col("task_id"), F.col("b.i"), F.col("b.p"))
+    write_files(best.select(name.alias("path"), (0 - F.col("b.s")).cast("string").alias("text")), root)
+    return read_best_outputs(spark, f"{root}/task_*/*.json")
+
+
 @query
 def metrics_log_roundtrip(spark, sf_dir):
     """Metric points appended to a log, read back, and the latest value of each metric."""

@@ -230,6 +230,15 @@ SELECT task_id, candidate_id, sample_idx, {STATUS} AS status, error_type,
        {guidance_sql(STATUS, 'error_type', True)} AS guidance_key, {guidance_sql(STATUS, 'error_type', False)} AS guidance
 FROM v_generations WHERE NOT passed"""
 
+ORACLE_BODY["error_guidance_table"] = f"""WITH g AS ({ORACLE_BODY["error_guidance"]}),
+e AS (SELECT DISTINCT error_type FROM v_generations WHERE NOT passed AND error_type IS NOT NULL),
+m AS (SELECT g.task_id, g.candidate_id, g.sample_idx, min(upper(e.error_type)) AS rule, min_by(e.error_type, upper(e.error_type)) AS own
+      FROM g JOIN e ON contains(lower(coalesce(g.status, '')), lower(e.error_type)) OR contains(lower(coalesce(g.error_type, '')), lower(e.error_type)) GROUP BY ALL)
+SELECT g.task_id, g.candidate_id, g.sample_idx, g.status, g.error_type,
+       CASE WHEN guidance_key = 'default' AND m.rule IS NOT NULL THEN m.rule ELSE guidance_key END AS guidance_key,
+       CASE WHEN guidance_key = 'default' AND m.rule IS NOT NULL THEN 'see ' || m.own ELSE guidance END AS guidance
+FROM g LEFT JOIN m ON g.task_id = m.task_id AND g.candidate_id = m.candidate_id AND g.sample_idx = m.sample_idx"""
+
 # ---------------------------------------------------------------- E
 ORACLE_BODY["parse_verdicts"] = f"SELECT claim_id, candidate_id, response, {S.verdict('response')} AS predicted_label FROM v_responses"
 ORACLE_BODY["extract_code"] = f"WITH {EXTRACT} SELECT reply_id, entry_point, code FROM v_code"
@@ -298,6 +307,21 @@ ORACLE_BODY["frontier_coverage"] = f"""WITH {CLAIMS}, {SCORED}, {FRONTIER},
 w AS (SELECT unnest(fl) AS candidate_id FROM v_fr)
 SELECT k.candidate_id, CAST(coalesce((SELECT count(*) FROM w WHERE w.candidate_id = k.candidate_id), 0) AS BIGINT) AS n_wins
 FROM v_candidates k"""
+ORACLE_BODY["frontier_bitmaps"] = ORACLE_BODY["frontier_coverage"]
+UNDOMINATED = """v_w AS (SELECT claim_id, unnest(fl) AS candidate_id FROM v_fr),
+v_n AS (SELECT candidate_id, count(*) AS n_wins FROM v_w GROUP BY candidate_id),
+v_m AS (SELECT candidate_id, sum(score) / count(score) AS val_score FROM v_sc GROUP BY candidate_id),
+v_b AS (SELECT a.candidate_id, b.candidate_id AS o, count(*) AS n FROM v_w a JOIN v_w b ON a.claim_id = b.claim_id AND a.candidate_id <> b.candidate_id GROUP BY ALL),
+v_u AS (SELECT n.candidate_id, n.n_wins, m.val_score FROM v_n n JOIN v_m m USING (candidate_id)
+        WHERE NOT EXISTS (SELECT 1 FROM v_b b JOIN v_n p ON p.candidate_id = b.o JOIN v_m q ON q.candidate_id = b.o WHERE b.candidate_id = n.candidate_id AND b.n = n.n_wins
+                          AND (p.n_wins > n.n_wins OR q.val_score > m.val_score OR (q.val_score = m.val_score AND b.o < n.candidate_id))))"""
+ORACLE_BODY["undominated_candidates"] = f"WITH {CLAIMS}, {SCORED}, {FRONTIER}, {UNDOMINATED} SELECT candidate_id, n_wins, val_score FROM v_u"
+ORACLE_BODY["select_parents"] = f"""WITH {CLAIMS}, {SCORED}, {FRONTIER}, {UNDOMINATED},
+k AS (SELECT r.range AS iteration, candidate_id, n_wins,
+             -ln((CAST(CAST('0x' || substr(md5('42|' || r.range || '|' || candidate_id), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710656.0) / n_wins AS e
+      FROM v_u CROSS JOIN range(1, 51) r),
+o AS (SELECT iteration, CAST(row_number() OVER (PARTITION BY iteration ORDER BY e, candidate_id) AS INTEGER) AS draw, candidate_id, n_wins FROM k)
+SELECT * FROM o WHERE draw <= 2"""
 ORACLE_BODY["minibatch_gate"] = f"""WITH {CLAIMS}, {SCORED}, {MINIBATCH},
 pairs AS (SELECT CAST(candidate_id - 1 AS BIGINT) AS iteration, candidate_id, candidate_id - 1 AS parent_id FROM v_candidates WHERE candidate_id > 0)
 SELECT p.iteration, p.candidate_id, p.parent_id,
@@ -622,6 +646,12 @@ ORACLE_BODY["code_tasks_file_roundtrip"] = """
 SELECT CAST(task_id AS VARCHAR) AS task_id, prompt, test, entry_point, CAST(NULL AS VARCHAR) AS canonical_solution FROM v_code_tasks"""
 ORACLE_BODY["runs_roundtrip"] = """
 SELECT run_id, CAST(variant AS INTEGER) AS candidate_id, CAST(correct AS BIGINT) / total AS score FROM v_run_metrics"""
+ORACLE_BODY["prompts_roundtrip"] = """
+SELECT 'run' || task_id AS run_dir, CASE WHEN task_id % 3 <> 0 THEN trim(prompt, chr(32) || chr(9) || chr(10) || chr(13)) ELSE 'config of run' || task_id END AS seed_prompt,
+       trim(prompt || ' better', chr(32) || chr(9) || chr(10) || chr(13)) AS optimized_prompt FROM v_code_tasks"""
+ORACLE_BODY["best_outputs_roundtrip"] = """
+SELECT CAST(task_id AS INTEGER) AS task, CAST(sample_idx AS INTEGER) AS iteration, CAST(candidate_id AS INTEGER) AS program, CASE WHEN coalesce(passed, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coalesce(passed, false) DESC, candidate_id, sample_idx) AS rn FROM v_generations WHERE task_id IN (SELECT task_id FROM v_code_tasks)) WHERE rn = 1"""
 ORACLE_BODY["metrics_log_roundtrip"] = """
 SELECT name, count(*) AS n_points, max(step) AS last_step, min(value) AS least, max(value) AS greatest FROM v_metrics GROUP BY name"""
 ORACLE_BODY["stream_windows_append"] = """

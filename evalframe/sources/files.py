@@ -141,13 +141,33 @@ def read_fewshot(spark: SparkSession, path: str) -> DataFrame:
              .withColumn("few_shot_raw", F.when(items.isNull(), raw)))
 
 
+def write_files(df: DataFrame, root: str, path: str = "path", text: str = "text") -> int:
+    """One file per row, ``text`` at ``root``/``path``, written by the tasks and never half; the number of files.
+
+    A path that repeats is written again: its rows should be alike.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from evalframe.operators.landing import file_system, write_whole
+
+    def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = file_system(root)
+        for pdf in it:
+            for p, t in zip(pdf[path], pdf[text], strict=True):
+                write_whole(store, f"{at.rstrip('/')}/{p}", lambda f, t=t: f.write((t or "").encode()))
+            yield pd.DataFrame({"n": [len(pdf)]})
+    return df.select(path, text).mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 # ---------------------------------------------------------------- A5 prompts
 def read_prompts(spark: SparkSession, runs_glob: str, runs: DataFrame | None = None,
                  name_pattern: str = r"([^/]+)_prompt\.txt$") -> DataFrame:
     """Prompt texts per run directory, stripped; the run folder and the prompt kind come from
     the path. A missing seed prompt falls back to the run config's ``seed_prompt.system_prompt``;
     a missing optimised prompt is an error."""
-    t = (spark.read.option("wholetext", "true").text(runs_glob)
+    t = (spark.read.text(runs_glob, wholetext=True)
               .select(py_strip(F.col("value")).alias("text"), F.col("_metadata.file_path").alias("file_path")))
     t = t.select(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("run_dir"),
                  F.regexp_extract("file_path", name_pattern, 1).alias("kind"), "text")
@@ -208,7 +228,7 @@ def flatten_detailed(df: DataFrame, doc: str = "doc", item_type: str = DETAILED_
 
 
 def read_detailed(spark: SparkSession, glob: str, item_type: str = DETAILED_ITEM) -> DataFrame:
-    d = spark.read.option("wholetext", "true").text(glob).select(
+    d = spark.read.text(glob, wholetext=True).select(
         F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file_path"))
     return flatten_detailed(d, "doc", item_type)
 
@@ -247,7 +267,7 @@ def read_comparisons(spark: SparkSession, glob: str) -> DataFrame:
 # ---------------------------------------------------------------- A8 best outputs
 def read_best_outputs(spark: SparkSession, glob: str) -> DataFrame:
     """Best-output files: a bare float per file; task, iteration and program come from the path."""
-    d = spark.read.option("wholetext", "true").text(glob).select(
+    d = spark.read.text(glob, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias("p"))
     pat = r"task_(\d+)/iter_(\d+)_prog_(\d+)\.json$"
     return d.select(F.regexp_extract("p", pat, 1).cast("int").alias("task"),

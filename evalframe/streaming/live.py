@@ -8,10 +8,14 @@ the registered queries run them.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.verdicts import label_match, parse_verdict
+from evalframe.operators import landing
 from evalframe.operators.events import epoch_micros
 from evalframe.session import scratch_path
 
@@ -72,7 +76,7 @@ def token_windows(events: DataFrame, kind: str, ts: str = "ts", run: str = "run_
 def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Drive an aggregating stream in complete mode to the end of the available input.
 
-    Every micro-batch replaces the result folder (the complete result); the
+    Every micro-batch takes the place of the result before it (``commit``); the
     last one is read back.
     """
     return run_stream(stream, name, "complete", checkpoint)
@@ -84,38 +88,55 @@ def run_stream(stream: DataFrame, name: str, mode: str = "append", checkpoint: s
     ``complete``: each micro-batch replaces the output. ``append``: each
     micro-batch adds the rows finalised by the watermark (windowed state is then
     evicted, so state stays bounded on an endless stream); a replayed batch
-    overwrites its own ``batch_id`` folder.
+    takes its own place.
     """
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     checkpoint = checkpoint or scratch_path(spark, f"{name}-ckpt")
-    written: list[int] = []  # the sink runs on the driver
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        written.append(batch_id)
-        if mode == "complete":
-            # a reader of the folder during a micro-batch sees it empty; readers come after the last one here
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # complete: every batch takes the place of the one before; append: a replayed batch that of itself
+        commit(batch, out, "complete" if mode == "complete" else f"batch-{batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    if not written:
-        return spark.createDataFrame([], stream.schema)
-    # the stream's own schema: no look at the files, whichever store they are in
-    got = spark.read.schema(stream.schema).parquet(out)
-    return got.select(*stream.columns)
+    return read_committed(spark, out, stream.schema).select(*stream.columns)
+
+
+def commit(batch: DataFrame, path: str, name: str) -> None:
+    """Write ``batch`` to a folder of its own and let it take the place of what ``name`` stood for, at once.
+
+    The manifest file of the name is replaced after the folder is written: a reader that goes by the
+    manifest sees what was there before or what is there now, never nothing and never a part.
+    """
+    folder = f"{name}-{uuid.uuid4().hex}"
+    batch.write.parquet(f"{path.rstrip('/')}/data/{folder}")
+    store, at = landing.file_system(path)
+    landing.write_whole(store, f"{at.rstrip('/')}/manifest/{name}.json", lambda f: f.write(json.dumps({"folder": folder}).encode()))
+
+
+def read_committed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all committed batches at ``path``, as their manifest files name them at this moment."""
+    from pyarrow import fs
+    store, at = landing.file_system(path)
+    folders = []
+    if store.get_file_info(f"{at.rstrip('/')}/manifest").type == fs.FileType.Directory:
+        for info in store.get_file_info(fs.FileSelector(f"{at.rstrip('/')}/manifest")):
+            if info.base_name.endswith(".json") and not info.base_name.startswith("."):
+                with store.open_input_stream(info.path) as f:
+                    folders.append(f"{path.rstrip('/')}/data/{json.loads(f.read())['folder']}")
+    return spark.read.schema(schema).parquet(*sorted(folders)) if folders else spark.createDataFrame([], schema)
 
 
 def stream_score(stream: DataFrame, sink_path: str, checkpoint: str, trigger_available_now: bool = True):
-    """Resumable append of scored batches: batch ``n`` is written to ``batch_id=n`` with overwrite,
-    so a batch replayed after a failure replaces its own output instead of duplicating it."""
+    """Resumable append of scored batches: batch ``n`` is committed under its number, so a batch replayed
+    after a failure takes its own place instead of duplicating it, and ``read_committed`` sees one of the
+    two, whole, all the while."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
+        commit(batch, sink_path, f"batch-{batch_id}")
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")

@@ -102,7 +102,7 @@ def test_stream_score_restart_idempotent(spark, tmp):
     live.stream_score(spark.readStream.schema(schema).parquet(os.path.join(src, "*")), sink, ck).awaitTermination()
     # a restart with nothing new adds nothing
     live.stream_score(spark.readStream.schema(schema).parquet(os.path.join(src, "*")), sink, ck).awaitTermination()
-    out = spark.read.parquet(sink)
+    out = live.read_committed(spark, sink, schema)
     assert sorted(r.k for r in out.collect()) == [1, 2, 3]
 
 
