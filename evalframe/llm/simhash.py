@@ -1,9 +1,11 @@
 """SimHash near-duplicates with BK-trees (operator 8).
 
 Every document has a 64-bit fingerprint; two link at three or fewer differing bits.
-Distinct fingerprints are cut into four bands of 16 bits: two that differ in three bits
-agree in one band, so the links lie inside the groups that share a band's value. Each
-group is the shard of one BK-tree, whose children are keyed by their Hamming distance to
+Distinct fingerprints are cut into blocks of bits: two that differ in three bits agree in
+all blocks but three, so the links lie inside the groups that share the bits of some choice
+of all blocks but three. There are as many blocks as keep the groups near the size of a
+tree: four of 16 bits, and from about a hundred million fingerprints on five or more, with
+longer keys. Each group is the shard of one BK-tree, whose children are keyed by their Hamming distance to
 the parent; a search follows only the edges within the radius of the distance to the
 node. The trees of a task's groups are built and searched level by level in numpy.
 
@@ -16,6 +18,7 @@ small-star steps on Spark, with each step's edges in the shared checkpoint folde
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,6 @@ from .common import arrow_map, batch, stored, texts_of
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-BANDS = 4
 TREE_ROWS = 8192
 #: (item, node) pairs looked at in one numpy step of a search.
 FRONT = 1 << 17
@@ -142,13 +144,28 @@ def stars(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.n
     return fp[other], fp[label[other]]
 
 
-def group_stars(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Star edges (u, v) of the links within each group of fingerprints (column fp) that share a band."""
-    if bands <= radius:
-        raise ValueError("more bands than differing bits are needed")
-    width = 64 // bands
-    band = F.explode(F.array([F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1 if i < bands - 1 else -1).alias("value"))
-                              for i in range(bands)]))
+def key_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Masks (signed 64-bit) of all choices of ``blocks - radius`` of about equal blocks of the 64 bits."""
+    if not radius < blocks <= 64:
+        raise ValueError("more blocks than differing bits are needed")
+    edge = [64 * i // blocks for i in range(blocks + 1)]
+    block = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(blocks)]
+    masks = [sum(block[i] for i in own) for own in itertools.combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def blocks_for(rows: int, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> int:
+    """Fewest blocks for which an even spread of ``rows`` over the shortest key leaves a quarter of a tree in a group."""
+    blocks = radius + 1
+    while blocks < 64 and rows >> min(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in key_masks(blocks, radius)) > tree_rows // 4:
+        blocks += 1
+    return blocks
+
+
+def group_stars(distinct: DataFrame, radius: int = RADIUS, bands: int | None = None, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Star edges (u, v) of the links within each group of fingerprints (column fp) that share a key; ``bands``: the number of blocks, else by the row count."""
+    bands = blocks_for(distinct.count(), radius, tree_rows) if bands is None else bands
+    band = F.explode(F.array([F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(m).alias("value")) for i, m in enumerate(key_masks(bands, radius))]))
     rows = distinct.select("fp", band.alias("b")).select("fp", "b.band", "b.value")
     big = rows.groupBy("band", "value").count().filter(F.col("count") > tree_rows) \
         .select("band", "value", F.ceil(F.col("count") / tree_rows).cast("int").alias("shards"))
@@ -211,14 +228,14 @@ def connected(edges: DataFrame, name: str = "simhash-edges") -> DataFrame:
         now = stored(small(stored(large(now), name)), name)
 
 
-def components(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
+def components(prints: DataFrame, radius: int = RADIUS, bands: int | None = None, tree_rows: int = TREE_ROWS) -> DataFrame:
     """fp, root: a common fingerprint for all that reach each other, from prints (doc_id, fp, ...)."""
     distinct = prints.select("fp").distinct()
     ends = connected(group_stars(distinct, radius, bands, tree_rows))
     return distinct.join(ends.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS, tree_rows: int = TREE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int | None = None, tree_rows: int = TREE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row.
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other. Rows
