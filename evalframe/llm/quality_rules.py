@@ -14,9 +14,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, batch, bounded, stored, texts_of
 
@@ -26,8 +28,6 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 TREES = 160
 SAMPLE_PER_TREE = 128
-#: Distinct statistics rows, least by hash, from which the trees draw: the bound of the fitting sample.
-FIT_ROWS = 8192
 KEEP_GOOD = 0.999
 BINS = 4096
 
@@ -118,7 +118,10 @@ class IsolationForest:
 
         for _ in range(trees if len(rows) else 0):
             roots.append(node())
-            todo = [(roots[-1], rows[rng.choice(len(rows), min(self.sample, len(rows)), replace=False)], 0)]
+            # Rows come in random order: where there are enough of them, each tree has its own.
+            tree = len(roots) - 1
+            drawn = slice(tree * self.sample, (tree + 1) * self.sample) if len(rows) >= trees * self.sample else rng.choice(len(rows), min(self.sample, len(rows)), replace=False)
+            todo = [(roots[-1], rows[drawn], 0)]
             while todo:
                 at, own, depth = todo.pop()
                 low, high = own.min(0), own.max(0)
@@ -162,12 +165,16 @@ class IsolationForest:
 def fit(stats: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> tuple[IsolationForest, float]:
     """Forest and threshold from the statistics of all documents and the labelled rows (doc_id, quality).
 
-    The forest draws from FIT_ROWS distinct statistics rows, so copies count once. The threshold
-    comes from all labelled rows that pass the base rule; without any, nothing is rejected.
+    The forest's draws, SAMPLE_PER_TREE rows for each of TREES trees, come from the distinct statistics
+    of all rows, by their hash; copies count once. The threshold comes from all labelled rows that pass
+    the base rule; without any, nothing is rejected.
     """
     features = [F.col(c) for c in FEATURES]
     ok = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    rows = ok.select(*features).distinct().orderBy(F.xxhash64(*features), *features).limit(FIT_ROWS).toPandas()
+    distinct, draws, part = ok.select(*features).distinct(), TREES * SAMPLE_PER_TREE, 1 << 30
+    # About twice as many rows as are drawn are sorted, whatever their number.
+    share = min(part, int(2 * part * draws / max(1, distinct.count())) + 1000)
+    rows = distinct.filter(F.pmod(F.xxhash64(*features, F.lit(5)), F.lit(part)) < share).orderBy(F.xxhash64(*features), *features).limit(draws).toPandas()
     forest = IsolationForest(rows.to_numpy("float64"))
     labelled = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     scored = ok.select("doc_id", *features).join(labelled, "doc_id").select("good", *features)
@@ -217,14 +224,27 @@ def verdict(b: pa.RecordBatch, forest: IsolationForest) -> tuple[np.ndarray, np.
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. Statistics are computed once to fit and again to filter: no join, no stored texts."""
-    forest, threshold = fit(stored(rule_statistics(docs), "rule-statistics"), labels, keep_good)
+    """The rows of ``docs`` that pass, with all their columns.
+
+    The documents are stored once with their statistics, so each text is read once; the verdict takes the
+    statistics alone to Python.
+    """
+    named = {c: f"__{c}" for c in (*COUNTS, *FEATURES)}
+    while set(named.values()) & set(docs.columns):
+        named = {c: f"_{n}" for c, n in named.items()}
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            nulls = pa.nulls(b.num_rows, pa.int64())
-            stats = batch(STATS, nulls, *zip(*map(statistics, texts_of(b)), strict=True))
-            failed, score = verdict(stats, forest)
-            return b.filter(pa.array(~failed & (score < threshold)))
+            own = zip(*map(statistics, texts_of(b)), strict=True)
+            columns = [*b.columns, *(pa.array(x, f.type) for x, f in zip(own, list(STATS)[1:], strict=True))]
+            return pa.RecordBatch.from_arrays(columns, [*b.schema.names, *named.values()])
         return step
-    return arrow_map(docs, make, docs.schema)
+    fields = [T.StructField(named[f.name], T.LongType() if f.name in COUNTS else T.DoubleType()) for f in list(STATS)[1:]]
+    both = stored(arrow_map(docs, make, T.StructType([*docs.schema.fields, *fields])), "rule-documents")
+    forest, threshold = fit(both.select("doc_id", *(F.col(n).alias(c) for c, n in named.items())), labels, keep_good)
+
+    @F.pandas_udf("boolean")
+    def passes(n_words: pd.Series, n_repeat: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy("float64") for v in (a, b, c, d)])
+        return pd.Series(~base_failed(n_words.to_numpy(), n_repeat.to_numpy()) & (forest.score(x) < threshold))
+    return both.filter(passes(*(F.col(named[c]) for c in ("n_words", "n_repeat_words", *FEATURES)))).select(*docs.columns)
