@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.text import pct_string
 from evalframe.operators.ordering import global_row_number, null_safe_join
+from evalframe.session import ensure_checkpoint_dir
+
+#: Rows that one window task may rank.
+FEW = 10_000
 
 
 def compare(metrics: DataFrame, baseline: str = "1", zero_baseline: float | None = None, run: str = "run_id",
@@ -95,16 +99,21 @@ def latest(df: DataFrame, by: str, order: str, required: bool = False) -> DataFr
 def leaderboard(compared: DataFrame, baseline: str = "1", run: str = "run_id", variant: str = "variant") -> DataFrame:
     """Per run: best variant (ties: smallest name), its accuracy, the baseline's, the gain and a dense rank.
 
-    The distinct accuracies are numbered by a range partitioning, not in one window task; the runs
-    meet their rank in a join.
+    The runs are computed once. Up to ``FEW`` distinct accuracies are ranked in one window, more are
+    numbered by a range partitioning; the runs meet their rank in a join.
     """
     per_run = compared.groupBy(run).agg(
         F.min_by(F.col(variant), F.struct(-F.col("accuracy"), F.col(variant))).alias("best_variant"),
         F.max("accuracy").alias("best_accuracy"),
         F.max(F.when(F.col(variant) == baseline, F.col("accuracy"))).alias("baseline_accuracy"))
-    per_run = per_run.withColumn("gain", F.col("best_accuracy") - F.col("baseline_accuracy"))
-    ranks = global_row_number(per_run.select("best_accuracy").distinct(), [F.col("best_accuracy").desc()], name="rank")
-    return null_safe_join(per_run, ranks.withColumn("rank", F.col("rank").cast("int")), ["best_accuracy"])
+    ensure_checkpoint_dir(compared.sparkSession)
+    per_run = per_run.withColumn("gain", F.col("best_accuracy") - F.col("baseline_accuracy")).checkpoint(eager=True)
+    values = per_run.select("best_accuracy").distinct()
+    if per_run.count() <= FEW:  # one row per run bounds the distinct values
+        ranks = values.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("best_accuracy").desc())))
+    else:
+        ranks = global_row_number(values, [F.col("best_accuracy").desc()], name="rank").withColumn("rank", F.col("rank").cast("int"))
+    return null_safe_join(per_run, ranks, ["best_accuracy"])
 
 
 def compare_pass_at_k(pk: DataFrame, seed_id: int = 0, other_id: int = 1, ks=(1, 3, 5),

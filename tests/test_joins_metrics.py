@@ -200,3 +200,16 @@ def test_latest_required(spark):
     assert compare.latest(df, "exp", "run").collect()[0].score == 2.0
     with pytest.raises(ValueError):
         compare.latest(df.limit(0), "exp", "run", required=True)
+
+
+def test_leaderboard_ranks_alike_by_window_and_by_ranges(spark, monkeypatch):
+    from evalframe.operators import compare
+    rows = [(f"r{i}", str(v), None if i == 7 else ((i * 7 + v) % 13) / 13) for i in range(40) for v in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "run_id string, variant string, accuracy double")
+    want = sorted(map(tuple, compare.leaderboard(df).collect()), key=repr)
+    monkeypatch.setattr(compare, "FEW", 3)
+    assert sorted(map(tuple, compare.leaderboard(df).collect()), key=repr) == want
+    best = {r[0]: max((a for q, _, a in rows if q == r[0] and a is not None), default=None) for r in rows}
+    order = sorted({b for b in best.values() if b is not None}, reverse=True)
+    got = {r.run_id: r["rank"] for r in compare.leaderboard(df).collect()}
+    assert all(got[q] == order.index(b) + 1 for q, b in best.items() if b is not None)
