@@ -624,6 +624,16 @@ def stream_accuracy(spark, sf_dir):
     return run_complete(live_accuracy(resp, claims(fx).select("claim_id", "answer"), unique=True), "stream_accuracy")
 
 
+@query
+def stream_batch_audit(spark, sf_dir):
+    """Batches per run by a stream over the event file: those that the next start, or an hour of silence, closes by the last watermark."""
+    from evalframe.streaming.live import live_batch_audit, parquet_stream, run_stream
+    static = Fixture(spark, sf_dir)
+    ev = parquet_stream(spark, sf_dir, "events", static.table("events").schema)
+    log = Fixture(spark, sf_dir, overrides={"events": ev}).view("v_event_log")
+    return run_stream(live_batch_audit(log.select("event_id", "ts", "run_name", "event_type")), "batch-audit")
+
+
 @query
 def stream_windows(spark, sf_dir):
     """Event counts and tokens per run in tumbling (1 h), sliding (2 h / 1 h) and session (30 min) windows."""

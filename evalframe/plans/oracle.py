@@ -448,6 +448,17 @@ b AS (SELECT run_name, CAST(batch_seq AS BIGINT) AS batch_seq, min(ts) FILTER (W
              count_if(event_type = 'reflector_invocation') AS n_invocations, count_if(event_type = 'batch_complete') AS n_completes
       FROM e GROUP BY run_name, batch_seq)
 SELECT run_name, batch_seq, n_invocations, n_completes, n_completes > 0 AS complete, date_diff('microsecond', s, d) AS duration_us FROM b"""
+ORACLE_BODY["stream_batch_audit"] = """
+WITH e AS (SELECT *, epoch_us(ts) AS us, sum(CASE WHEN event_type = 'batch_start' THEN 1 ELSE 0 END) OVER (
+             PARTITION BY run_name ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS batch_seq FROM v_event_log),
+w AS (SELECT max(us) // 1000 - 3600000 AS now FROM e),
+b AS (SELECT run_name, CAST(batch_seq AS BIGINT) AS batch_seq, min(us) AS first_us, max(us) AS last_us, min(ts) FILTER (WHERE event_type = 'batch_start') AS s,
+             min(ts) FILTER (WHERE event_type = 'batch_complete') AS d,
+             count_if(event_type = 'reflector_invocation') AS n_invocations, count_if(event_type = 'batch_complete') AS n_completes
+      FROM e GROUP BY run_name, batch_seq),
+n AS (SELECT *, lead(first_us) OVER (PARTITION BY run_name ORDER BY batch_seq) AS next_us FROM b)
+SELECT run_name, batch_seq, n_invocations, n_completes, n_completes > 0 AS complete, date_diff('microsecond', s, d) AS duration_us
+FROM n, w WHERE next_us <= now * 1000 OR (next_us IS NULL AND last_us <= (now - 3600000) * 1000)"""
 ORACLE_BODY["call_latency"] = """
 SELECT event_id, run_name, date_diff('microsecond', lag(ts) OVER (PARTITION BY run_name ORDER BY ts, event_id), ts) AS gap_us FROM v_event_log"""
 ORACLE_BODY["progress"] = """

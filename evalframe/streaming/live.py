@@ -73,6 +73,59 @@ def token_windows(events: DataFrame, kind: str, ts: str = "ts", run: str = "run_
                     F.unix_micros(F.col("w.end")).alias("window_end_us"), "n_events", "tokens")
 
 
+AUDITED = "batch_seq long, n_invocations long, n_completes long, complete boolean, duration_us long"
+
+
+def live_batch_audit(events: DataFrame, ts: str = "ts", run: str = "run_name", tie: str = "event_id", delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """``batch_audit`` of a stream of events: one row per batch, when the next one of its run has started or the run has been silent for ``idle_ms``.
+
+    Events of a run wait in its state until the watermark (``delay`` behind the latest event) has passed
+    them, so they are taken in the order of time and id, however they came. The state holds those and
+    the open batch's counts; a run that is silent is given out as it stands and leaves the state, and
+    what it sends later counts its batches from 0 again. Later events than the watermark are dropped.
+    """
+    import pandas as pd
+
+    e = events.select(run, event_time(F.col(ts)).alias("event_time"), epoch_micros(F.col(ts)).alias("us"), F.col(tie).cast("string").alias("tie"), "event_type") \
+        .withColumn("number", F.col("tie").cast("long")).withWatermark("event_time", delay)
+
+    def audit(key, pdfs, state):
+        seq, start, done, calls, ends, some, last, waiting = state.get if state.exists else (0, None, None, 0, 0, False, 0, "[]")
+        waiting = json.loads(waiting)
+        for pdf in pdfs:
+            waiting += [list(x) for x in zip(pdf["us"].tolist(), [None if pd.isna(n) else int(n) for n in pdf["number"]], pdf["tie"].tolist(), pdf["event_type"].tolist(), strict=True)]
+        now = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2] or ""))
+        rows, at = [], 0
+
+        def row():
+            return (key[0], seq, calls, ends, ends > 0, done - start if start is not None and done is not None else None)
+        while at < len(waiting) and waiting[at][0] <= now * 1000:
+            us, _, _, kind = waiting[at]
+            if kind == "batch_start":
+                if some:
+                    rows.append(row())
+                seq, start, done, calls, ends = seq + 1, us, None, 0, 0
+            elif kind == "batch_complete":
+                ends, done = ends + 1, us if done is None else done
+            elif kind == "reflector_invocation":
+                calls += 1
+            some, last, at = True, us, at + 1
+        waiting = waiting[at:]
+        if not waiting and last <= (now - idle_ms) * 1000:
+            rows.append(row())
+            state.remove()
+        else:
+            state.update((seq, start, done, calls, ends, some, last, json.dumps(waiting)))
+            due = waiting[0][0] // 1000 if waiting else last // 1000 + idle_ms
+            state.setTimeoutTimestamp(max(now + 1, due))
+        yield pd.DataFrame(rows, columns=[run, "batch_seq", "n_invocations", "n_completes", "complete", "duration_us"]).astype({"duration_us": "Int64"})
+
+    name = f"{run} {events.schema[run].dataType.simpleString()}"
+    return e.groupBy(run).applyInPandasWithState(audit, f"{name}, {AUDITED}", "seq long, start long, done long, calls long, ends long, some boolean, last long, waiting string",
+                                                 "append", "EventTimeTimeout")
+
+
 def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Drive an aggregating stream in complete mode to the end of the available input.
 

@@ -161,3 +161,25 @@ def test_live_accuracy_with_watermark(spark, tmp):
     s = spark.readStream.schema("claim_id long, candidate_id int, response string, et timestamp").parquet(src)
     r = live.run_complete(live.live_accuracy(s, gold, event_time_col="et"), "t_wm").collect()[0]
     assert (r.correct, r.total) == (1, 2)
+
+
+def test_live_batch_audit_equals_the_batch_one(spark, tmp):
+    """Events in several files out of order; a last event long after closes every run, so the state ends empty."""
+    import datetime as dt
+    import random
+
+    from evalframe.operators.events import batch_audit
+    rng = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, run_name string, event_type string"
+    rows = [(i, t0 + dt.timedelta(seconds=rng.randrange(6000)), rng.choice(["a", "b", "c", None]), rng.choice(["batch_start", "batch_complete"] + ["reflector_invocation"] * 3)) for i in range(300)]
+    want = sorted((tuple(r) for r in batch_audit(spark.createDataFrame(rows, schema)).select("run_name", "batch_seq", "n_invocations", "n_completes", "complete", "duration_us").collect()), key=repr)
+    src, ck = os.path.join(tmp, "in"), os.path.join(tmp, "ck")
+    out = []
+    for part in (rows[0::3], rows[1::3], rows[2::3], [(1000, t0 + dt.timedelta(days=3), "z", "batch_start")], [(1001, t0 + dt.timedelta(days=6), "y", "batch_start")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        got = live.run_stream(live.live_batch_audit(stream, delay="2 hours"), "audit", checkpoint=ck)
+        out += [tuple(r) for r in got.select("run_name", "batch_seq", "n_invocations", "n_completes", "complete", "duration_us").collect()]
+    assert sorted((r for r in out if r[0] != "z"), key=repr) == want
+    assert [r for r in out if r[0] == "z"] == [("z", 1, 0, 0, False, None)]
