@@ -387,8 +387,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataF
 
 
 def verified(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("own").alias("x")), sets.select(F.col("sid").alias("b"), F.col("own").alias("y"))
+    """The pairs (a, b) whose sets link. Sets that are in no pair stay out of the joins."""
+    ids = stored(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "ngram-ids")
+    own = sets.join(ids, "sid", "left_semi")
+    left, right = own.select(F.col("sid").alias("a"), F.col("own").alias("x")), own.select(F.col("sid").alias("b"), F.col("own").alias("y"))
     same = F.size(F.array_intersect("x", "y")).cast("long")
     both = pairs.join(left, "a").join(right, "b")
     return both.filter((100 + need) * same >= need * (F.size("x") + F.size("y"))).select("a", "b")
