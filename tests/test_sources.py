@@ -199,3 +199,29 @@ def test_frozen_split_reloads(spark, tmp):
     p = os.path.join(tmp, "frozen")
     assert [r.task_id for r in files.frozen_split(spark, a, p).collect()] == ["1"]
     assert [r.task_id for r in files.frozen_split(spark, b, p).collect()] == ["1"]
+
+
+def test_whole_files_are_listed_and_read_by_tasks(spark, tmp):
+    for i in range(300):
+        _write(f"{tmp}/runs/g{i % 7}/run {i}/optimized_prompt.txt", f" best {i}\n")
+        _write(f"{tmp}/runs/g{i % 7}/run {i}/seed_prompt.txt", f"seed é{i}")
+    _write(f"{tmp}/runs/g0/run 0/_prompt.txt", "hidden")
+    _write(f"{tmp}/runs/g0/run 0/part_prompt.txt/part-0.txt", "in a folder")
+    glob = f"{tmp}/runs/*/*/*_prompt.txt"
+    whole = files.read_whole(spark, glob)
+    # one task reads many files: their number does not follow the number of files
+    assert whole.rdd.getNumPartitions() <= 8
+    old = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
+    cut = F.regexp_replace("file_path", "^file:/*", "/").alias("file_path")
+    want = {tuple(r) for r in old.select("value", cut).collect()}
+    got = [tuple(r) for r in whole.select("value", cut).collect()]
+    assert len(got) == 601 and set(got) == want
+    assert files.read_prompts(spark, f"{tmp}/runs/g*/*/?????????_prompt.txt").count() == 300
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_best_outputs(spark, f"{tmp}/runs/*/none_*.json").collect()
+
+
+def test_rows_to_write_are_dealt_out(spark, tmp):
+    df = spark.range(64).coalesce(1).selectExpr("concat('d', id % 4, '/f', id) AS path", "'x' AS text")
+    assert files._spread(df, "path").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert files.write_files(df, tmp) == 64
