@@ -131,12 +131,13 @@ def score_with(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequenc
             out = pd.DataFrame(call(part)).reset_index(drop=True)
             if len(out) != len(part):
                 raise ValueError(f"scorer returned {len(out)} rows for {len(part)}")
-            return [{n: out[n][i] if n in out.columns else None for n in names} for i in range(len(part))]
+            return list(zip(*[out[n].tolist() if n in out.columns else [None] * len(part) for n in names], strict=True))
         except Exception as e:
             if len(part) == 1:
                 if on_error is None:
                     raise
-                return [on_error(e)]
+                failed = on_error(e)
+                return [tuple(failed.get(n) for n in names)]
         mid = len(part) // 2
         return [r for half in (part.iloc[:mid], part.iloc[mid:]) for r in one_group(call, half.reset_index(drop=True))]
 
@@ -147,8 +148,8 @@ def score_with(df: DataFrame, fn: Callable, keys: Sequence[str], inputs: Sequenc
                 part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
                 rows = one_group(call, part)
                 res = part[keys].copy()
-                for n in names:
-                    res[n] = pd.Series([r.get(n) for r in rows], dtype=object)
+                for n, values in zip(names, zip(*rows, strict=True), strict=True):
+                    res[n] = pd.Series(values, dtype=object)
                 yield res
 
     return src.mapInPandas(run, schema)

@@ -136,7 +136,8 @@ def evaluate_code(tasks: DataFrame, candidates: DataFrame, model_fn, scorer_fn,
     gens = out.join(t, "task_id").withColumn("code", extract_code(F.col("response")))
     # a result belongs to what was run: other code or another test for the same key is run again
     ran = F.sha2(F.to_json(F.struct(*keys, "code", "test"), {"ignoreNullFields": "false"}), 256)
-    gens = gens.withColumn("_ef_run", ran)
+    # code is cut out once: what is run, its results and what reads the generations meet the written rows
+    gens = inference.persist_outputs(gens.withColumn("_ef_run", ran), scratch_path(spark, "code_generations"))
     path = _out(spark, out_dir, "code_results")
     schema = T.StructType([gens.schema["_ef_run"], *EXEC_RESULT.fields])
     todo = scoring.needs_execution(gens.filter(~F.col("failed")))
@@ -170,7 +171,8 @@ def reflection_log(detailed: DataFrame, reflector_fn, order_cols: list, run_name
     """
     from evalframe.sources import files
     spark = detailed.sparkSession
-    fails = feedback.extract_failures(detailed, order_cols, limit)
+    # written once, as the requests, their number and the parsed reflections all read them
+    fails = inference.persist_outputs(feedback.extract_failures(detailed, order_cols, limit), scratch_path(spark, "failures"))
     req = feedback.reflection_requests(fails)
     # a reflection belongs to its failure and request, not to the failure's place among others
     same = [c for c in order_cols if isinstance(c, str)]

@@ -127,3 +127,48 @@ def test_other_code_for_a_key_is_run_again(spark, tmp):
     model = lambda b: [f"def s(): return {int(s == 'good')}" for s in b["system_content"]]
     got = [evaluate.evaluate_code(tasks, cands(p), model, scorer, ks=(1,), out_dir=f"{tmp}/o")["pass_at_k"].first().pass_at_1 for p in ("bad", "good", "bad")]
     assert got == [0.0, 1.0, 0.0]
+
+
+def test_many_slots_share_partitions_evenly(spark):
+    from pyspark.sql import functions as F
+    at = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for slots, most in ((at, 1), (at * 16, landing.TASK_SLOTS)):
+        out = landing.dealt(spark.range(4000).select("id"), ["id"], slots)
+        where = out.select(landing.SLOT, F.spark_partition_id().alias("p")).distinct().collect()
+        assert len(where) == len({r[landing.SLOT] for r in where})  # a slot lies in one partition
+        assert max(Counter(r.p for r in where).values()) <= most
+        assert out.rdd.getNumPartitions() == -(-slots // most)
+
+
+def test_repeated_and_null_requests_are_called_once_in_order(spark, tmp):
+    df = spark.createDataFrame([(i, f"t{i % 3}") for i in (0, 0, 1, 2, 2, 2)] + [(None, None)] * 2, "id long, request string")
+    out = landing.predict_landed(df, counted(f"{tmp}/c"), ["id"], ["request"], f"{tmp}/o", batch_size=2)
+    assert Counter((r.id, r.response, r.failed, r.error) for r in out.collect()) == Counter(
+        {(0, "re: t0", False, None): 2, (1, "re: t1", False, None): 1, (2, "re: t2", False, None): 3, (None, "re: None", False, None): 2})
+    assert sum(reader(f"{tmp}/c").values()) == 4
+
+
+def test_failures_and_generations_are_written_once(spark, tmp):
+    from evalframe.plans import catalog
+    d = spark.createDataFrame([(i, False, "E", "m", "tb") for i in range(20)], "task_id long, passed boolean, error_type string, error_message string, traceback string")
+    r = evaluate.reflection_log(d, catalog.stub_reflector_plain, ["task_id"], run_name="r")
+    assert r["failures"].inputFiles() and all("/failures-" in f for f in r["failures"].inputFiles())
+    t = spark.createDataFrame([(i, f"def f{i}(x):", f"f{i}", "assert 1") for i in range(8)], "task_id long, prompt string, entry_point string, test string")
+    c = spark.createDataFrame([(0, "a"), (1, "b")], "candidate_id int, system_prompt string")
+    g = evaluate.evaluate_code(t, c, catalog.stub_coder, catalog.stub_runner, ks=(1, 2))["generations"]
+    assert any("/code_generations-" in f for f in g.inputFiles()) and not any("/code_outputs-" in f for f in g.inputFiles())
+    assert g.count() == 32
+
+
+def test_event_log_is_written_by_several_tasks(spark, tmp):
+    import glob
+
+    from evalframe.plans import catalog
+    from evalframe.session import ensure_checkpoint_dir
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2025-01-01 00:00:00' AS ts, 7L AS user_id, 'click' AS event_type, 2.5D AS value, '' AS props FROM range(400)") \
+        .coalesce(1).write.parquet(f"{tmp}/events.parquet")
+    before = set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/event-log-*"))
+    r = {x.level: (x.n_calls, x.sum_tokens) for x in catalog.QUERIES["event_log_roundtrip"](spark, tmp).collect()}
+    assert r == {0: (400, 800), 1: (400, 800), 3: (400, 800)}
+    new = set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/event-log-*")) - before
+    assert len(glob.glob(f"{new.pop()}/run=*/part-*")) > 1
