@@ -3,11 +3,13 @@
 import functools
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -660,6 +662,24 @@ def test_rounds_grow_with_the_corpus(spark, monkeypatch):
     assert seen == [1, 4]
 
 
+def test_batches_of_texts_are_split_and_looked_up_as_a_whole():
+    # one Arrow call a batch, not Python calls for each text and word; the same tokens as by tokens_of
+    texts_ = ["  A b Z. \u00c9, \u00e9.  x ", None, "", " \n\t ", "\x1c\u0085 q,", "w1 w1 new. new. w29", "\x0bx\x0cy\r\nZ"]
+    part = pa.record_batch([pa.array(["no", *texts_])], names=["text"]).slice(1)
+    words, n = lm.words_in(part)
+    want = [lm.tokens_of(t or "") for t in texts_]
+    assert n.tolist() == [len(t) - 1 for t in want]
+    assert words.to_pylist() == [w for t in want for w in t if w != lm.END]
+    for known in ([lm.END, *(f"w{i}".encode() for i in range(30))], [f"w{i}".encode() for i in range(31)]):
+        v = lm.Vocabulary(known, np.arange(31, 0, -1), 600, 40, np.ones(6), np.ones(6), head=20, classes=5)
+        symbols, at, missing, rest = v.encode(words, n)
+        flat = [w for t in want for w in t]
+        assert at.tolist() == [known.index(w) if w in known else -1 for w in flat]
+        assert symbols.tolist() == [known.index(w) if w in known[:20] else 20 + lm.rare_class(w) for w in flat]
+        assert rest.to_pylist() == [flat[i] for i in missing] == [w for w in flat if w not in known]
+        assert v.outputs().words is None and len(pickle.dumps(v.outputs())) < len(pickle.dumps(v))
+
+
 @pytest.mark.parametrize(("before", "value", "after"), [
     ("password" + " " * 30 + ":" + " " * 12, "x9kQv2L!p", ""), ("token\t\t\t\t\t\t\t\t\t\t= '", "x9k#Qv2&LpZ7", "'"), ("authorization:" + " " * 9 + "bearer" + " " * 10, "x9kQv2LpZ7w", " x"),
     ("redis://:", "x9kQv2LpZ7w", "@host/0"), ("amqp://" + "u" * 90 + ":", "x9kQv2LpZ7w", "@host"), ("a" * 30 + "://u:", "x9kQv2LpZ7w", "@host"),
