@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, bounded, stored, texts_of
@@ -44,7 +44,8 @@ SKETCH, CHUNK = 1 << 20, 1 << 14
 ROUNDS = ((2, 64, 1), (6, 512, 2))
 #: Coordinates looked at in one numpy step of a search.
 FRONT = 1 << 21
-WORDS_HELD = 1 << 18
+#: Hashes of words that a task holds, and the bytes of texts whose sets it holds at once.
+WORDS_HELD, TEXT_BYTES = 1 << 16, 4 << 20
 
 
 class _WordHash(dict):
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch = _WordHash(), np.zeros(SKETCH, np.int64)
         for whole in batches:
-            for part in bounded(whole, 4 << 20):
+            for part in bounded(whole, TEXT_BYTES):
                 sets = [shingle_set(t, hashes, shingle) for t in texts_of(part)]
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 n = part.num_rows
@@ -151,9 +152,14 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(b.schema, b.column(0), [(4 * np.log2(1 + np.frombuffer(c, np.int64))).astype(np.uint8).tobytes() for c in b.column(1).to_pylist()])
 
 
+def text_hash() -> Column:
+    """128 bits of the text."""
+    return F.unhex(F.md5("text")).alias("text_hash")
+
+
 def points(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE, need: int = NEED) -> DataFrame:
     """sid, digest, text_hash, n, point, first: one row per distinct set that isn't empty, stored. ``first``: its rarest shingles, one of which any set it links with has among its own."""
-    schema = pa.schema([("text_hash", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("point", pa.binary()), ("first", pa.list_(pa.int64()))])
+    schema = pa.schema([("text_hash", pa.binary()), ("digest", pa.binary()), ("n", pa.int64()), ("point", pa.binary()), ("first", pa.list_(pa.int64()))])
 
     def make():
         hashes = _WordHash()
@@ -170,7 +176,7 @@ def points(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE, need: int
                 got.append((x, xxhash.xxh3_128_digest(own.tobytes()), n, point.tobytes(), own[order[:n - least_overlap(n, need) + 1]].view(np.int64)))
             return batch(schema, *(zip(*got, strict=True) if got else [[]] * 5))
         return step
-    rows = arrow_map(docs.select(F.xxhash64("text").alias("text_hash"), "text"), make, "text_hash long, digest binary, n long, point binary, first array<long>")
+    rows = arrow_map(docs.select(text_hash(), "text"), make, "text_hash binary, digest binary, n long, point binary, first array<long>", TEXT_BYTES)
     # Rows of one digest are alike in all but the text's hash.
     one = rows.groupBy("digest").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("first").alias("first"))
     return stored(one.withColumn("sid", F.monotonically_increasing_id()), "ngram-points")
@@ -371,19 +377,23 @@ def units_of_rest(shard: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 # ------------------------------------------------------------------------------ the join
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """sid, own (the set's hashes) of the sets in ``wanted`` (sid, digest, text_hash), from the texts; stored."""
-    schema = pa.schema([("digest", pa.binary()), ("own", pa.list_(pa.int64()))])
+    """sid, own (the set's hashes) of the sets in ``wanted`` (sid, digest, text_hash), from the texts; stored.
+
+    Each text is sent once from each task, to where its hash meets the set's row, and the set is made there:
+    texts are smaller than their sets, which are not sent.
+    """
+    schema = pa.schema([("sid", pa.int64()), ("own", pa.list_(pa.int64()))])
 
     def make():
         hashes = _WordHash()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, hashes, shingle) for t in texts_of(b)]
-            return batch(schema, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets])
+            return batch(schema, b.column(0), [s.view(np.int64) for s in sets])
         return step
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted.select("text_hash"), "text_hash", "left_semi")
-    sets = arrow_map(texts.select("text"), make, "digest binary, own array<long>").dropDuplicates(["digest"])
-    return stored(sets.join(wanted.select("sid", "digest"), "digest").select("sid", "own"), "ngram-sets")
+    texts = docs.select(text_hash(), "text").groupBy("text_hash").agg(F.first("text").alias("text"))
+    # The texts are large: no broadcast, whatever the compressed size suggests.
+    return stored(arrow_map(texts.hint("merge").join(wanted, "text_hash").select("sid", "text"), make, "sid long, own array<long>", TEXT_BYTES), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:

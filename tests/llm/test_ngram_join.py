@@ -149,3 +149,20 @@ def test_linking_sets_share_a_first_shingle(spark):
     linked = [(a, b) for a in sids for b in sids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     # Shards of the same documents are searched once, so linked sets still have a shard in common.
     assert linked and all(met[a] & met[b] for a, b in linked)
+
+
+def test_sets_are_made_where_their_texts_meet(spark, monkeypatch):
+    # Texts are dealt, once from each task; the larger sets are not, and each wanted set comes once.
+    rows = [(i, ["a b c d e", "a b c d e", "A b c d e", "x y", None, "", "q r s t u v"][i % 7]) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    point = nj.points(docs, nj.scan(docs)[1])
+    wanted = point.filter("n <> 1").select("sid", "digest", "text_hash")
+    seen = []
+    stored = nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name, *by: seen.append(df) or stored(df, name, *by))
+    got = {r.sid: np.array(r.own, np.int64) for r in nj.sets_of(docs, wanted).collect()}
+    assert len(got) == nj.sets_of(docs, wanted).count() == wanted.count() == 2
+    want = {tuple(nj.shingle_set(t, nj._WordHash()).view(np.int64)) for t in ("a b c d e", "q r s t u v")}
+    assert {tuple(x) for x in got.values()} == want
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")] and "Exchange" in plan
