@@ -142,7 +142,8 @@ def scan(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, np.ndarray
     parts = both.filter("kind = 1").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
     parts = parts.withColumn("part", F.spark_partition_id() % 64).repartition("chunk", "part").mapInArrow(add, "chunk int, counts binary")
     level = np.zeros(SKETCH, np.uint8)
-    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").mapInArrow(_levels, "chunk int, counts binary").collect():
+    # One Python step in a task: each further one is a further worker, which later tasks take in turn and fill.
+    for r in parts.repartition("chunk").mapInArrow(lambda batches: _levels(add(batches)), "chunk int, counts binary").collect():
         level[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint8)
     return both.filter("kind = 0").select("doc_id", "n", "digest"), level
 
@@ -193,9 +194,10 @@ def shards(point: DataFrame, need: int = NEED) -> DataFrame:
     bands = F.when(near, F.array(band, band + 1)).otherwise(F.array(band))
     rows = point.select("sid", F.explode("first").alias("token"), bands.alias("bands")).select("sid", F.explode("bands").alias("band"), "token") \
         .select(F.xxhash64("token", "band").alias("shard"), "band", "sid")
-    # Equal numbers of documents with equal sums of two hashes: the same documents.
-    exact = [F.sum(F.xxhash64("sid", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in (1, 2)]
-    own = rows.groupBy("shard", "band").agg(F.count("*").alias("size"), *exact).filter("size > 1")
+    # Equal numbers of documents with equal sums (modulo 2, by bit) of two hashes: the same documents, as none is twice in a shard.
+    # 16 bytes of state for each shard; decimal sums take three times as much of a task's memory.
+    sums = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"sum{i}") for i in (1, 2)]
+    own = rows.groupBy("shard", "band").agg(F.count("*").alias("size"), *sums).filter("size > 1")
     own = own.groupBy("band", "size", "sum1", "sum2").agg(F.min("shard").alias("shard")).select("shard", "size")
     # Both sides are large: no broadcast, whatever their compressed sizes suggest.
     return stored(rows.join(own.hint("merge"), "shard"), "ngram-shards")
@@ -422,7 +424,7 @@ def components(docs: DataFrame, point: DataFrame, need: int = NEED, shingle: int
     shard = shards(point, need)
     alive = shard.select("sid").distinct()
     sets = sets_of(docs, point.select("sid", "digest", "text_hash").join(alive, "sid", "left_semi"), shingle)
-    labels = spark.createDataFrame([], "sid long, label long")
+    labels = spark.range(0).select(F.col("id").alias("sid"), F.col("id").alias("label"))  # rows from Python would start workers of their own
 
     def with_points(units: DataFrame) -> DataFrame:
         return units.join(point.select("sid", "n", "point"), "sid").join(labels, "sid", "left").select("unit", "band", "sid", F.coalesce("label", "sid").alias("label"), "n", "point")

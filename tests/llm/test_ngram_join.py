@@ -166,3 +166,33 @@ def test_sets_are_made_where_their_texts_meet(spark, monkeypatch):
     assert {tuple(x) for x in got.values()} == want
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("MapInArrow")] and "Exchange" in plan
+
+
+def test_tasks_hold_one_python_worker_and_narrow_sums(spark, monkeypatch):
+    frame, plans = type(spark.range(0)), {}
+    below, deal = [], ("Repartition", "Sort", "Aggregate", "Join", "Relation")
+    mapped, stored = frame.mapInArrow, nj.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    def recorded(self, *a, **b):
+        below.append(plan(self))
+        return mapped(self, *a, **b)
+
+    def kept(df, name, *by):
+        plans.setdefault(name, []).append(plan(df))
+        return stored(df, name, *by)
+    monkeypatch.setattr(frame, "mapInArrow", recorded)
+    monkeypatch.setattr(nj, "stored", kept)
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, base), (2, base + " more"), (3, "alone in here now")], "doc_id long, text string")
+    assert sorted(map(tuple, nj.join(docs).collect())) == [(1, 197, 1), (2, 198, 1), (3, 1, 3)]
+    assert below
+    for p in below:  # nothing but a shuffle or a stored table between two Python steps
+        lines = p.splitlines()
+        first = next((i for i, x in enumerate(lines) if any(d in x for d in deal)), len(lines))
+        assert not any("MapInArrow" in x for x in lines[:first])
+    assert "decimal" not in "".join(plans["ngram-shards"])
+    # `docs` itself has rows from Python, the empty labels do not.
+    assert not any("LogicalRDD" in x for name in ("ngram-labels", "ngram-ids") for x in plans[name])
