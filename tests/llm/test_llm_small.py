@@ -207,6 +207,37 @@ def test_parts_of_stretches_are_offered():
     assert secrets.guess_cost("a" * 20_000, RANKS)[1] == [(0, 20_000, "repeat")]
 
 
+def walk(rng, key, n):
+    """A walk over the keyboard from ``key`` that turns at random."""
+    out = [key]
+    while len(out) < n:
+        out.append(rng.choice(secrets.ADJACENT[out[-1]]))
+    return "".join(out)
+
+
+def test_parts_of_long_stretches_are_all_offered():
+    # One walk of 4,500 keys whose first 2,400 are cheaper as a repeat: the rest is a part that begins and ends far from its ends.
+    value = "qwsa" * 600 + walk(random.Random(3), "q", 2100)
+    cost, parts = secrets.guess_cost(value, RANKS)
+    assert parts == [(0, 2400, "repeat"), (2400, 4500, "walk")]
+    assert abs(cost - plain_cost(value, 0, 2400) - plain_cost(value, 2400, 4500) - math.log10(2)) < 1e-9
+
+
+def test_stretches_within_stretches():
+    rng = random.Random(8)
+    for _ in range(12):
+        value = "".join(rng.choice(["qwsa" * 5, "12" * 8, "aaa" * 4, "abcdefgh", walk(rng, rng.choice("qgm5"), 14), "zq"]) for _ in range(5))
+        least = [0.0]  # the cheapest way to each place, and that which ends in a brute-force span
+        brute = [math.inf]
+        for j in range(1, len(value) + 1):
+            after = [x + (math.log10(2) if i else 0.0) for i, x in enumerate(least)]
+            char = math.log10(10 if value[j - 1].isdigit() else 26 if value[j - 1].isalpha() else 33)
+            brute.append(char + min(brute[j - 1], after[j - 1]))
+            own = [after[i] + c for i in range(j) if (c := plain_cost(value, i, j)) is not None]
+            least.append(min([brute[j], *own]))
+        assert abs(secrets.guess_cost(value, RANKS)[0] - least[-1]) < 1e-9
+
+
 def test_values_in_quotes_and_short_values():
     for q in "'\"":
         text = f"password = {q}x9k Qv2, LpZ 7w#{q} and more"
