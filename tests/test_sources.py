@@ -225,3 +225,32 @@ def test_rows_to_write_are_dealt_out(spark, tmp):
     df = spark.range(64).coalesce(1).selectExpr("concat('d', id % 4, '/f', id) AS path", "'x' AS text")
     assert files._spread(df, "path").select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert files.write_files(df, tmp) == 64
+
+
+def test_best_outputs_rank_code_tasks_alone_and_drop_what_they_were_shuffled_by(spark, tmp, monkeypatch):
+    from evalframe import session
+    from evalframe.plans.catalog import QUERIES
+    lines = [(1, 5, 3, 1, "N", "O"), (1, 6, 3, 2, "N", "O"), (2, 5, 3, 1, "A", "O"), (2, 5, 3, 2, "N", "F"), (2, 5, 3, 2, "N", "F"), (3, 1, 1, 1, "R", "F"),
+             (4, 1, 1, 1, None, None), (None, 1, 1, 1, "N", "O"), (70, 1, 1, 1, "N", "O"), (71, 1, 1, 1, "N", "O")]
+    spark.createDataFrame([(o, p, s, n, 1.0, 2.0, 0.0, 0.0, r, t, None) for o, p, s, n, r, t in lines],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+                          " l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None), (4, "d"), (5, "e"), (None, "f")], "p_partkey long, p_name string").write.parquet(f"{tmp}/part.parquet")
+    plans = {}
+
+    def kept(module, name):
+        real = getattr(module, name)
+
+        def call(df, *args):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return real(df, *args)
+        monkeypatch.setattr(module, name, call)
+    kept(files, "write_files")
+    kept(session, "written_once")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    got = sorted(tuple(r) for r in QUERIES["best_outputs_roundtrip"](spark, tmp).collect())
+    assert got == [(1, 1, 0, 1.0), (2, 1, 1, 1.0), (3, 1, 1, 0.0), (4, 1, 1, 0.0)]
+    assert plans["written_once"].index("Window") < plans["written_once"].index("LeftSemi")  # the join is below
+    assert "Window" not in plans["write_files"] and "Aggregate" not in plans["write_files"]
+    assert spark.conf.get(key, "false") == before
